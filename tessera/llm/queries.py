@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tessera.llm.near_dup import near_duplicates
+from tessera.llm.sharding import shard_documents
 from tessera.llm.tables import load
+from tessera.llm.token_files import token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -18,3 +20,15 @@ def query(f):
 def op1_hyperminhash_near_dup(spark, sf_dir):
     """Components of documents whose 2-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return near_duplicates(load(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+@query
+def op3_stratified_shards(spark, sf_dir):
+    """Eight shards of equal row counts, each with the mixture of sources."""
+    return shard_documents(spark, sf_dir, shards=8)
+
+
+@query
+def op4_wavelet_token_files(spark, sf_dir):
+    """Every document's place and ids as read back from the wavelet-matrix files."""
+    return token_files(spark, sf_dir)
