@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.llm import warc
 from tessera.llm.near_dup import near_duplicates
+from tessera.llm.secrets import secrets_of
 from tessera.llm.sharding import shard_documents
 from tessera.llm.tables import load
 from tessera.llm.token_files import token_files
+from tessera.llm.toxicity import toxicity_of
+from tessera.llm.warc import warc_pages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +36,24 @@ def op3_stratified_shards(spark, sf_dir):
 def op4_wavelet_token_files(spark, sf_dir):
     """Every document's place and ids as read back from the wavelet-matrix files."""
     return token_files(spark, sf_dir)
+
+
+@query
+def op5_ftrl_toxicity(spark, sf_dir):
+    """Every document's toxicity score, held-out mark and decision."""
+    return toxicity_of(spark, sf_dir)
+
+
+@query
+def op7_warc_archives(spark, sf_dir):
+    """Every page's record as read back from the archives."""
+    return warc_pages(spark, sf_dir)
+
+
+ORACLES["op7_warc_archives"] = warc.ORACLE
+
+
+@query
+def op10_secret_scan(spark, sf_dir):
+    """Counts and spans of secrets in every document."""
+    return secrets_of(spark, sf_dir)

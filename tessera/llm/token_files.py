@@ -265,7 +265,7 @@ def read_token_files(manifest: DataFrame, root: str) -> DataFrame:
         fs, base = pafs.FileSystem.from_uri(root)
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                with fs.open_input_stream(f"{base}/{name}") as f:
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
                     w = WaveletFile.from_bytes(f.read())
                 ids = w.ids().astype("<u4")
                 starts = np.concatenate([[0], w.ends[:-1]]).astype(np.int64)
