@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tessera.llm import warc
+from tessera.llm.decontam import leaks_of
 from tessera.llm.near_dup import near_duplicates
+from tessera.llm.pieces import pieces_of
 from tessera.llm.secrets import secrets_of
 from tessera.llm.sharding import shard_documents
 from tessera.llm.tables import load
@@ -57,3 +59,15 @@ ORACLES["op7_warc_archives"] = warc.ORACLE
 def op10_secret_scan(spark, sf_dir):
     """Counts and spans of secrets in every document."""
     return secrets_of(spark, sf_dir)
+
+
+@query
+def op2_sampled_pieces(spark, sf_dir):
+    """Every document's sampled segmentation, and whether decoding it is lossless."""
+    return pieces_of(spark, sf_dir)
+
+
+@query
+def op9_benchmark_leaks(spark, sf_dir):
+    """Documents with a passage of a benchmark item, and the overlap."""
+    return leaks_of(spark, sf_dir)

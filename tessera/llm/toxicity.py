@@ -14,8 +14,8 @@ from tessera.llm.tables import load
 from tessera.llm.words import PUNCTUATION, U, mix, slices, text_bytes, word_hashes
 
 #: Features are hashed to 2**BITS coordinates; SAMPLE bounds the labelled rows that the model is fitted on.
-BITS, SAMPLE, EPOCHS = 20, 8192, 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+BITS, SAMPLE, EPOCHS = 20, 8192, 6
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.01
 THRESHOLD = 0.7
 
 
