@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tessera.llm import warc
 from tessera.llm.decontam import leaks_of
+from tessera.llm.graph_ann import nearest_of
+from tessera.llm.line_dedup import lines_report_of
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.pieces import pieces_of
 from tessera.llm.secrets import secrets_of
@@ -71,3 +73,23 @@ def op2_sampled_pieces(spark, sf_dir):
 def op9_benchmark_leaks(spark, sf_dir):
     """Documents with a passage of a benchmark item, and the overlap."""
     return leaks_of(spark, sf_dir)
+
+
+@query
+def op8_fuzzy_lines(spark, sf_dir):
+    """Every document's repeated lines: exact or nearly, all but the first occurrence of each group."""
+    return lines_report_of(spark, sf_dir)
+
+
+@query
+def op6_pruned_graph_neighbours(spark, sf_dir):
+    """The ten nearest vectors found for each query vector."""
+    return nearest_of(spark, sf_dir)
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
