@@ -123,7 +123,7 @@ class PieceCache:
     distinct piece is encoded by the library; every other text goes to the library whole. A cache that is full is begun anew.
     """
 
-    MOST = 400_000
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         import regex
@@ -172,7 +172,7 @@ class PieceCache:
         start &= ~joins
         at = np.flatnonzero(start)
         ends = np.append(at[1:], len(code))
-        sums = np.concatenate([[U(0)], np.cumsum(mix(code.astype(U) + U(1)) * _power_tables(len(code))[0])])
+        sums = np.concatenate([[U(0)], np.cumsum(mix(code.astype(U) + U(1)) * _power_tables(len(code))[0][: len(code)])])
         key = mix((sums[ends] - sums[at]) * _power_tables(len(code))[1][at] + (ends - at).astype(U))
         distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) > self.MOST:
