@@ -8,8 +8,8 @@ registers drops the far ones; what is left is confirmed on the full sets.
 
 Two sets of similarity 0.8 share no band with a chance of about 5e-8, and an estimate below 0.6 is more than five standard
 deviations off. Inside a band's bucket members are first compared with two pivots (the smallest and largest id). Only
-buckets that then still hold several components are compared further, member with member across components, so a group of
-n near copies costs about n comparisons, and yet no link is lost. Equal sets count as one node throughout.
+where several components are then left, members are compared further across components, in blocks, so a group of n near
+copies costs about n comparisons, and yet no link is lost. Equal sets count as one node throughout.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ _SHIFT = U(57)
 _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, (1024, REGISTERS))
 #: Registers of unrelated sets agree by chance when leading zeros (chance 1/3) and mantissa do.
 COLLISION = 2.0**-MANTISSA / 3
+#: Pairs below this estimate can't be similar. Sets in a block of a family.
+NEAR, BLOCK = 0.6, 128
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -76,16 +78,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
 
 
-def _estimates(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b, est) of the pairs whose registers promise a similarity of `least` or more."""
+def _estimates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, est): the collision-corrected similarity that the registers of each pair promise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
                 est = ((x == y).mean(1) - COLLISION) / (1 - COLLISION)
-                keep = pa.array(est >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], ["a", "b", "est"]).filter(keep)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], ["a", "b", "est"])
 
     reg = nodes.select("node", "registers")
     both = pairs.join(reg.toDF("a", "ra"), "a").join(reg.toDF("b", "rb"), "b").select("a", "b", "ra", "rb")
@@ -100,14 +101,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                keep.append(_similar(p, q, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     own = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return own.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _family_links(family: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components inside each family (node, root: the family) of near documents.
+
+    The largest component of a family needs no further links in itself. Every other member is compared with all members
+    of other components, in pairs of blocks of about BLOCK sets, each pair of blocks a task's group of its own; inside it
+    a link that joins what is joined already is skipped, so a group yields fewer links than it has members.
+    """
+    named = family.toDF("node", "family").join(root, "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
+    named = table(named, "families")
+    parts = named.groupBy("family", "root").agg(F.count("*").alias("n"))
+    mains = parts.groupBy("family").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    mains = mains.select("family", F.col("most.root").alias("main"), F.ceil(F.col("most.n") / BLOCK).alias("of_main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("of_rest"))
+    rows = named.join(mains, "family").withColumn("is_main", F.col("root") == F.col("main")).join(sets, "node")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("of_main")).otherwise(F.col("of_rest")))
+    rows = rows.withColumn("own", own).withColumn("with_main", F.sequence(F.lit(0), F.col("of_main") - 1)).withColumn("with_rest", F.sequence(F.lit(0), F.col("of_rest") - 1))
+    across = F.transform(F.col("with_rest"), lambda i: F.struct(F.lit(True).alias("m"), i.alias("i"), F.col("own").alias("j")))
+    down = F.transform(F.col("with_main"), lambda j: F.struct(F.lit(True).alias("m"), F.col("own").alias("i"), j.alias("j")))
+    among = F.transform(F.col("with_rest"), lambda j: F.struct(F.lit(False).alias("m"), F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    rows = rows.select("family", "node", "root", "is_main", "set", F.explode(F.when(F.col("is_main"), across).otherwise(F.concat(down, among))).alias("at"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        nodes, roots, main = group["node"].to_pylist(), group["root"].to_pylist(), group["is_main"].to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in group["set"]]
+        regs = np.array([registers(s) for s in sets]).reshape(-1, REGISTERS)
+        above = {r: r for r in roots}
+
+        def top(r: int) -> int:
+            while above[r] != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        found = []
+        for i in range(len(nodes)):
+            if not main[i]:
+                est = ((regs == regs[i]).mean(1) - COLLISION) / (1 - COLLISION)
+                for j in np.flatnonzero(est >= NEAR):
+                    if (main[j] or j > i) and top(roots[i]) != top(roots[j]) and _similar(sets[i], sets[j], percent):
+                        above[max(top(roots[i]), top(roots[j]))] = min(top(roots[i]), top(roots[j]))
+                        found.append((nodes[i], nodes[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return rows.groupBy("family", "at").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text and any other columns).
 
@@ -126,7 +175,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ends = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     members = table(bands.join(ends, "bucket").select("bucket", "node", "lo", "hi"), "members")
     pairs = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    near = table(_estimates(pairs, able, 0.6), "near")
+    guessed = table(_estimates(pairs, able), "guessed")
+    near = guessed.where(f"est >= {NEAR}")
 
     def sets_of(some: DataFrame) -> DataFrame:
         """(node, set) of the nodes in some; equal sets have one node, so one row of a node does."""
@@ -151,16 +201,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     links = table(links.unionAll(_confirmed(apart(near), sets, percent)), "links")
     root = components(links)
-    # What two pivots of a bucket can't decide: members of buckets that hold more than one component.
+    # What two pivots of a bucket can't decide. Members near a pivot: families of near pairs that still hold several components.
+    links = table(links.unionAll(_family_links(components(near), root, sets, percent)), "links")
+    root = components(links)
+    # The others, bucket by bucket. Jaccard distance is a metric: similar documents have similar distances to the pivot
+    # (0.2 apart at most, and 0.35 for the error of two estimates).
     named = members.join(root, "node", "left").select("bucket", "node", "lo", "hi", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 3").select("bucket")
     inner = named.join(mixed, "bucket").where("node <> lo AND node <> hi")
-    e = near.select("a", "b", "est")
-    inner = table(inner.join(e.toDF("lo", "node", "est"), ["lo", "node"], "left").select("bucket", "node", "root", F.coalesce("est", F.lit(0.0)).alias("est")), "inner")
-    x, y = inner.toDF("bucket", "a", "xa", "ea"), inner.toDF("bucket", "b", "xb", "eb")
-    # Jaccard distance is a metric: similar documents have similar distances to the pivot (0.2, and 0.35 for the estimates).
-    rest = x.join(y, "bucket").where("a < b AND xa <> xb AND (abs(ea - eb) <= 0.55)").select("a", "b").distinct()
-    rest = table(_estimates(rest, able, 0.6), "rest")
+    inner = table(inner.join(guessed.toDF("lo", "node", "est"), ["lo", "node"]).select("bucket", "node", "root", "est"), "inner")
+    x, y = inner.toDF("bucket", "a", "xa", "ea"), inner.where(f"est < {NEAR}").toDF("bucket", "b", "xb", "eb")
+    rest = x.join(y, "bucket").where(f"xa <> xb AND abs(ea - eb) <= 0.55 AND (ea >= {NEAR} OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = table(_estimates(rest, able).where(f"est >= {NEAR}"), "rest")
     if not rest.isEmpty():
         links = links.unionAll(_confirmed(rest, sets_of(rest), percent))
         root = components(links)
