@@ -273,7 +273,7 @@ def read_token_files(manifest: DataFrame, root: str) -> DataFrame:
                 none = w.doc_ids == -(2**63)
                 yield pa.RecordBatch.from_arrays([pa.array(w.doc_ids, pa.int64(), mask=none), pa.array(starts + start), pa.array(w.ends - starts), pa.array(crc, pa.int64()), pa.array([name] * len(crc))], ["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
-    return files.repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return files.repartition(max(1, min(manifest.count(), 4096)), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

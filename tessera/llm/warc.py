@@ -137,7 +137,7 @@ def read_warc(manifest: DataFrame, root: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file"])
 
-    return manifest.select("file").repartition("file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string")
+    return manifest.select("file").repartition(max(1, min(manifest.count(), 4096)), "file").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string")
 
 
 def warc_pages(spark, sf_dir: str) -> DataFrame:
