@@ -171,47 +171,53 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = table(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("registers").alias("registers")), "nodes")
     # Sets of fewer than 4 shingles are this similar only if they are equal.
     able = nodes.where(f"n >= {-(-percent // (100 - percent)) if percent < 100 else 2**62}")
-    bands = able.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)])).alias("bucket"))
+    bands = able.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)])).alias("bucket"))
     ends = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = table(bands.join(ends, "bucket").select("bucket", "node", "lo", "hi"), "members")
-    pairs = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    guessed = table(_estimates(pairs, able), "guessed")
-    near = guessed.where(f"est >= {NEAR}")
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        """(node, set) of the nodes in some; equal sets have one node, so one row of a node does."""
+    members = table(bands.join(ends, "bucket").select("bucket", "node", "n", "lo", "hi"), "members")
+    def sets_of(some: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        """(node, set) of the nodes in some, less those in but; equal sets have one node, so one row of a node does."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, sets in shingle_sets(batches, k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
 
         wanted = some.select(F.col("a").alias("doc_id")).unionAll(some.select("b")).distinct()
+        if but is not None:
+            wanted = wanted.join(but.select(F.col("a").alias("doc_id")).unionAll(but.select("b")), "doc_id", "left_anti")
         return table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, set binary"), "sets")
 
-    sets = sets_of(near)
-    best = near.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b")
-    links = table(_confirmed(best, sets, percent), "links")
-    root = components(links)
-
     def apart(some: DataFrame) -> DataFrame:
         """Those pairs whose ends are in different components so far."""
         r = root.select("node", "root")
         some = some.join(r.toDF("a", "xa"), "a", "left").join(r.toDF("b", "xb"), "b", "left")
         return some.where("coalesce(xa, a) <> coalesce(xb, b)").drop("xa", "xb")
 
+    # One pair for each node, with the smallest pivot of its buckets, joins most of a large group; ends that are joined need no estimate.
+    first = members.where("lo < node").groupBy("node").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("a"), F.col("node").alias("b"))
+    tried = table(_estimates(first, able).where(f"est >= {NEAR}"), "tried")
+    sets = sets_of(tried)
+    links = table(_confirmed(tried, sets, percent), "links")
+    root = components(links)
+    pairs = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
+    near = table(_estimates(apart(pairs), able).where(f"est >= {NEAR}"), "near")
+    sets = sets.unionAll(sets_of(near, but=tried))
+    best = near.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b")
+    links = table(links.unionAll(_confirmed(best, sets, percent)), "links")
+    root = components(links)
     links = table(links.unionAll(_confirmed(apart(near), sets, percent)), "links")
     root = components(links)
     # What two pivots of a bucket can't decide. Members near a pivot: families of near pairs that still hold several components.
-    links = table(links.unionAll(_family_links(components(near), root, sets, percent)), "links")
+    links = table(links.unionAll(_family_links(components(near.unionAll(tried)), root, sets, percent)), "links")
     root = components(links)
     # The others, bucket by bucket. Jaccard distance is a metric: similar documents have similar distances to the pivot
     # (0.2 apart at most, and 0.35 for the error of two estimates).
-    named = members.join(root, "node", "left").select("bucket", "node", "lo", "hi", F.coalesce("root", "node").alias("root"))
+    named = members.join(root, "node", "left").select("bucket", "node", "n", "lo", "hi", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 3").select("bucket")
-    inner = named.join(mixed, "bucket").where("node <> lo AND node <> hi")
-    inner = table(inner.join(guessed.toDF("lo", "node", "est"), ["lo", "node"]).select("bucket", "node", "root", "est"), "inner")
-    x, y = inner.toDF("bucket", "a", "xa", "ea"), inner.where(f"est < {NEAR}").toDF("bucket", "b", "xb", "eb")
-    rest = x.join(y, "bucket").where(f"xa <> xb AND abs(ea - eb) <= 0.55 AND (ea >= {NEAR} OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    inner = table(named.join(mixed, "bucket").where("node <> lo AND node <> hi"), "inner")
+    to_pivot = _estimates(inner.select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), able)
+    inner = table(inner.join(to_pivot.toDF("lo", "node", "est"), ["lo", "node"]).select("bucket", "node", "n", "root", "est"), "inner")
+    x, y = inner.toDF("bucket", "a", "na", "xa", "ea"), inner.where(f"est < {NEAR}").toDF("bucket", "b", "nb", "xb", "eb")
+    rest = x.join(y, "bucket").where(f"xa <> xb AND abs(ea - eb) <= 0.55 AND (ea >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = table(_estimates(rest, able).where(f"est >= {NEAR}"), "rest")
     if not rest.isEmpty():
         links = links.unionAll(_confirmed(rest, sets_of(rest), percent))
