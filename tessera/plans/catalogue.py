@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import games as G
+from tessera.operators import graph as N
 from tessera.operators import profile as P
 from tessera.operators import registry as R
+from tessera.operators import resolution as E
 from tessera.operators import usage as U
 from tessera.plans.standins import standin, with_standins
+from tessera.streaming import usage as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -442,3 +445,72 @@ def month_grid(spark, sf_dir):
     days = spark.range(1).select(F.explode(F.sequence(F.lit("1995-05-29").cast("date"), F.date_add(F.lit("1995-05-29").cast("date"), 41))).alias("day"))
     own = Tables(spark, sf_dir)["orders"].groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
     return days.join(own, "day", "left").select("day", (F.month("day") == 6).alias("inside"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# --- graph -----------------------------------------------------------------------------------
+
+
+@query("SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type")
+def graph_counts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return N.graph_counts(t.nodes, t.edges)
+
+
+@query("WITH u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), d1 AS (SELECT b AS id FROM u WHERE a = 'nation:3'), d2 AS (SELECT DISTINCT b AS id FROM u JOIN d1 ON a = d1.id WHERE b <> 'nation:3' AND b NOT IN (SELECT id FROM d1)), hit AS (SELECT id, 1 AS distance FROM d1 UNION ALL SELECT id, 2 FROM d2) SELECT nodes.id, label, type, CAST(distance AS INT) AS distance FROM hit JOIN nodes ON nodes.id = hit.id")
+def graph_neighbors(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return N.neighbors(t.nodes, t.edges, "nation:3", 2)
+
+
+@query("SELECT type, CASE WHEN src = 'nation:3' THEN 'out' ELSE 'in' END AS direction, count(DISTINCT CASE WHEN src = 'nation:3' THEN dst ELSE src END) AS n FROM edges WHERE src = 'nation:3' OR dst = 'nation:3' GROUP BY 1, 2")
+def graph_neighbor_groups(spark, sf_dir):
+    return N.neighbor_groups(Tables(spark, sf_dir).edges, "nation:3")
+
+
+@query("WITH r AS (SELECT 'region:' || r_regionkey AS id, r_regionkey AS k FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'customer:' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT id, min(id) OVER (PARTITION BY k) AS root FROM r")
+def graph_components(spark, sf_dir):
+    return N.components(Tables(spark, sf_dir).edges)
+
+
+# --- entity resolution -----------------------------------------------------------------------
+
+
+def _clustered(spark, sf_dir):
+    items = Tables(spark, sf_dir).items.withColumn("name", T.norm(F.col("label")))
+    return E.pick_canonical(items, ["kind", "name"], [F.asc("n"), F.asc("key")])
+
+
+@query("SELECT key, kind, first_value(key) OVER (PARTITION BY kind, lower(trim(label)) ORDER BY n, key) AS canonical, count(*) OVER (PARTITION BY kind, lower(trim(label))) AS members FROM items")
+def cluster_exact(spark, sf_dir):
+    return _clustered(spark, sf_dir).select("key", "kind", "canonical", "members")
+
+
+@query("WITH c AS (SELECT key, kind, first_value(key) OVER (PARTITION BY kind, lower(trim(label)) ORDER BY n, key) AS canonical FROM items) SELECT canonical, kind, count(*) AS members, coalesce(string_agg(CASE WHEN key <> canonical THEN key END, ',' ORDER BY key), '') AS extra_keys FROM c GROUP BY canonical, kind")
+def fold_duplicates(spark, sf_dir):
+    return E.fold_duplicates(_clustered(spark, sf_dir))
+
+
+@query("WITH c AS (SELECT kind, lower(trim(label)) AS name, count(*) AS n FROM items GROUP BY 1, 2) SELECT kind, count(*) AS clusters, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM c WHERE n > 1 GROUP BY kind")
+def cluster_report(spark, sf_dir):
+    return E.cluster_report(_clustered(spark, sf_dir))
+
+
+@query("SELECT key, CASE WHEN n % 11 = 0 THEN CASE WHEN n % 3 = 0 THEN 'dropped' ELSE 'orphan' END WHEN n % 7 = 0 THEN 'new' WHEN n % 3 = 0 THEN 'ready' WHEN n % 5 = 0 THEN 'changed' ELSE 'pushed' END AS change FROM items WHERE NOT (n % 11 = 0 AND n % 7 = 0)")
+def change_status(spark, sf_dir):
+    items = Tables(spark, sf_dir).items
+    prev = items.where("n % 7 <> 0").select("key", F.when(F.col("n") % 3 != 0, F.sha1("label")).alias("pushed_hash"))
+    label = F.when(F.col("n") % 5 == 0, F.concat("label", F.lit("!"))).otherwise(F.col("label"))
+    return E.change_status(prev, items.where("n % 11 <> 0").select("key", F.sha1(label).alias("content_hash")))
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+def stream_usage_daily(spark, sf_dir):
+    return S.landed(S.daily_usage(S.arrived(spark, f"{sf_dir}/events.parquet")), "daily")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, sf_dir):
+    return S.landed(S.first_seen(S.arrived(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"], "3650 days"), "seen")
