@@ -1,12 +1,12 @@
 """Near-duplicate documents by HyperMinHash.
 
-Each document becomes a set of word shingles, each set 128 registers of 16 bits: the shingles are dealt to buckets by
-the first 7 bits of their hash, and a register holds, of the smallest remaining value in its bucket, the count of leading
+Each document becomes a set of word shingles, each set 256 registers of 16 bits: the shingles are dealt to buckets by
+the first 8 bits of their hash, and a register holds, of the smallest remaining value in its bucket, the count of leading
 zeros and 10 mantissa bits. An empty bucket borrows the register of the first non-empty one in a fixed random order of
-its own. 32 bands of 4 compressed registers propose candidates; a collision-corrected Jaccard estimate from the
+its own. 42 bands of 6 compressed registers propose candidates; a collision-corrected Jaccard estimate from the
 registers drops the far ones; what is left is confirmed on the full sets.
 
-Two sets of similarity 0.8 share no band with a chance of about 5e-8, and an estimate below 0.6 is more than five standard
+Two sets of similarity 0.8 share no band with a chance of about 3e-6, and an estimate below 0.67 is more than five standard
 deviations off. Inside a band's bucket members are first compared with two pivots (the smallest and largest id). Only
 where several components are then left, members are compared further across components, in blocks, so a group of n near
 copies costs about n comparisons, and yet no link is lost. Equal sets count as one node throughout.
@@ -25,23 +25,24 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import components, table
 from tessera.llm.words import U, shingle_hashes, slices, text_bytes, word_hashes
 
-REGISTERS, MANTISSA, ROWS = 128, 10, 4
-_SHIFT = U(57)
+REGISTERS, MANTISSA, ROWS = 256, 10, 6
+#: Bits of a hash besides those that choose its bucket.
+REST = 56
 _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, (1024, REGISTERS))
 #: Registers of unrelated sets agree by chance when leading zeros (chance 1/3) and mantissa do.
 COLLISION = 2.0**-MANTISSA / 3
 #: Pairs below this estimate can't be similar. Sets in a block of a family.
-NEAR, BLOCK = 0.6, 128
+NEAR, BLOCK = 0.67, 128
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """The 128 registers of a non-empty sorted array of distinct hashes."""
+    """The registers of a non-empty sorted array of distinct hashes."""
     bucket = np.arange(REGISTERS, dtype=U)
-    at = np.minimum(np.searchsorted(shingles, bucket << _SHIFT), len(shingles) - 1)
-    full = (shingles[at] >> _SHIFT) == bucket
-    part, power = np.frexp((shingles[at] & U((1 << 57) - 1)).astype(np.float64))
+    at = np.minimum(np.searchsorted(shingles, bucket << U(REST)), len(shingles) - 1)
+    full = (shingles[at] >> U(REST)) == bucket
+    part, power = np.frexp((shingles[at] & U((1 << REST) - 1)).astype(np.float64))
     mantissa = np.maximum((part - 0.5) * (2 << MANTISSA), 0).astype(np.uint16)
-    out = ((57 - np.minimum(power, 57)).astype(np.uint16) << MANTISSA) | mantissa
+    out = ((REST - np.minimum(power, REST)).astype(np.uint16) << MANTISSA) | mantissa
     empty = np.flatnonzero(~full)
     for depth in (64, len(_PROBES)):
         if len(empty):
@@ -171,9 +172,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = table(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("registers").alias("registers")), "nodes")
     # Sets of fewer than 4 shingles are this similar only if they are equal.
     able = nodes.where(f"n >= {-(-percent // (100 - percent)) if percent < 100 else 2**62}")
-    bands = able.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)])).alias("bucket"))
+    own_bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)])
+    bands = able.select("node", F.explode(own_bands).alias("bucket"))
+    bands = bands.repartition("bucket")  # one exchange serves the ends and the members
     ends = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = table(bands.join(ends, "bucket").select("bucket", "node", "n", "lo", "hi"), "members")
+    members = table(bands.join(ends, "bucket").select("bucket", "node", "lo", "hi"), "members")
+
     def sets_of(some: DataFrame, but: DataFrame | None = None) -> DataFrame:
         """(node, set) of the nodes in some, less those in but; equal sets have one node, so one row of a node does."""
 
@@ -209,15 +213,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # What two pivots of a bucket can't decide. Members near a pivot: families of near pairs that still hold several components.
     links = table(links.unionAll(_family_links(components(near.unionAll(tried)), root, sets, percent)), "links")
     root = components(links)
-    # The others, bucket by bucket. Jaccard distance is a metric: similar documents have similar distances to the pivot
-    # (0.2 apart at most, and 0.35 for the error of two estimates).
-    named = members.join(root, "node", "left").select("bucket", "node", "n", "lo", "hi", F.coalesce("root", "node").alias("root"))
+    # The others, bucket by bucket. The share of registers that differ is a metric, so two sets whose estimates to a pivot
+    # differ by more than 1 - NEAR have an estimate below NEAR themselves: both pivots rule such pairs out unseen.
+    named = members.join(root, "node", "left").select("bucket", "node", "lo", "hi", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 3").select("bucket")
     inner = table(named.join(mixed, "bucket").where("node <> lo AND node <> hi"), "inner")
-    to_pivot = _estimates(inner.select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), able)
-    inner = table(inner.join(to_pivot.toDF("lo", "node", "est"), ["lo", "node"]).select("bucket", "node", "n", "root", "est"), "inner")
-    x, y = inner.toDF("bucket", "a", "na", "xa", "ea"), inner.where(f"est < {NEAR}").toDF("bucket", "b", "nb", "xb", "eb")
-    rest = x.join(y, "bucket").where(f"xa <> xb AND abs(ea - eb) <= 0.55 AND (ea >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both_ends = inner.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(inner.select("hi", "node")).distinct()
+    to_pivot = table(_estimates(both_ends, able), "to_pivot")
+    inner = inner.join(to_pivot.toDF("lo", "node", "el"), ["lo", "node"]).join(to_pivot.toDF("hi", "node", "eh"), ["hi", "node"]).join(able.select("node", "n", own_bands.alias("bands")), "node")
+    inner = table(inner.select("bucket", "node", "n", "root", "el", "eh", "bands"), "inner")
+    x, y = inner.toDF("bucket", "a", "na", "xa", "la", "ha", "ba"), inner.where(f"el < {NEAR}").toDF("bucket", "b", "nb", "xb", "lb", "hb", "bb")
+    apart_by = f"abs(la - lb) <= {1 - NEAR + 1e-9} AND abs(ha - hb) <= {1 - NEAR + 1e-9}"
+    # A pair comes up in the first of the buckets that it shares, and in no other.
+    first_shared = "element_at(ba, cast(array_position(zip_with(ba, bb, (p, q) -> p = q), true) AS int)) = bucket"
+    rest = x.join(y, "bucket").where(f"xa <> xb AND {apart_by} AND (la >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {first_shared}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = table(_estimates(rest, able).where(f"est >= {NEAR}"), "rest")
     if not rest.isEmpty():
         links = links.unionAll(_confirmed(rest, sets_of(rest), percent))
