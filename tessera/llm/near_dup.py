@@ -198,12 +198,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # One pair for each node, with the smallest pivot of its buckets, joins most of a large group; ends that are joined need no estimate.
     first = members.where("lo < node").groupBy("node").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("a"), F.col("node").alias("b"))
-    tried = table(_estimates(first, able).where(f"est >= {NEAR}"), "tried")
+    known = table(_estimates(first, able), "known")
+    tried = known.where(f"est >= {NEAR}")
     sets = sets_of(tried)
     links = table(_confirmed(tried, sets, percent), "links")
     root = components(links)
     pairs = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    near = table(_estimates(apart(pairs), able).where(f"est >= {NEAR}"), "near")
+    near = table(_estimates(apart(pairs.join(known, ["a", "b"], "left_anti")), able), "near")
+    known, near = known.unionAll(near), near.where(f"est >= {NEAR}")
     sets = sets.unionAll(sets_of(near, but=tried))
     best = near.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b")
     links = table(links.unionAll(_confirmed(best, sets, percent)), "links")
@@ -218,9 +220,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = members.join(root, "node", "left").select("bucket", "node", "lo", "hi", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 3").select("bucket")
     inner = table(named.join(mixed, "bucket").where("node <> lo AND node <> hi"), "inner")
-    both_ends = inner.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(inner.select("hi", "node")).distinct()
-    to_pivot = table(_estimates(both_ends, able), "to_pivot")
-    inner = inner.join(to_pivot.toDF("lo", "node", "el"), ["lo", "node"]).join(to_pivot.toDF("hi", "node", "eh"), ["hi", "node"]).join(able.select("node", "n", own_bands.alias("bands")), "node")
+    both_ends = inner.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(inner.select("node", "hi")).distinct()
+    to_pivot = known.unionAll(table(_estimates(both_ends.join(known, ["a", "b"], "left_anti"), able), "to_pivot"))
+    inner = inner.join(to_pivot.toDF("lo", "node", "el"), ["lo", "node"]).join(to_pivot.toDF("node", "hi", "eh"), ["node", "hi"]).join(able.select("node", "n", own_bands.alias("bands")), "node")
     inner = table(inner.select("bucket", "node", "n", "root", "el", "eh", "bands"), "inner")
     x, y = inner.toDF("bucket", "a", "na", "xa", "la", "ha", "ba"), inner.where(f"el < {NEAR}").toDF("bucket", "b", "nb", "xb", "lb", "hb", "bb")
     apart_by = f"abs(la - lb) <= {1 - NEAR + 1e-9} AND abs(ha - hb) <= {1 - NEAR + 1e-9}"
