@@ -3,10 +3,10 @@
 Each document becomes a set of word shingles, each set 256 registers of 16 bits: the shingles are dealt to buckets by
 the first 8 bits of their hash, and a register holds, of the smallest remaining value in its bucket, the count of leading
 zeros and 10 mantissa bits. An empty bucket borrows the register of the first non-empty one in a fixed random order of
-its own. 42 bands of 6 compressed registers propose candidates; a collision-corrected Jaccard estimate from the
+its own. 51 bands of 5 compressed registers propose candidates; a collision-corrected Jaccard estimate from the
 registers drops the far ones; what is left is confirmed on the full sets.
 
-Two sets of similarity 0.8 share no band with a chance of about 3e-6, and an estimate below 0.67 is more than five standard
+Two sets of similarity 0.8 share fewer than 3 bands with a chance of about 5e-7, and an estimate below 0.67 is more than five standard
 deviations off. Inside a band's bucket members are first compared with two pivots (the smallest and largest id). Only
 where several components are then left, members are compared further across components, in blocks, so a group of n near
 copies costs about n comparisons, and yet no link is lost. Equal sets count as one node throughout.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import components, table
 from tessera.llm.words import U, shingle_hashes, slices, text_bytes, word_hashes
 
-REGISTERS, MANTISSA, ROWS = 256, 10, 6
+REGISTERS, MANTISSA, ROWS = 256, 10, 5
 #: Bits of a hash besides those that choose its bucket.
 REST = 56
 _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, (1024, REGISTERS))
@@ -33,6 +33,8 @@ _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, (1024, REGISTER
 COLLISION = 2.0**-MANTISSA / 3
 #: Pairs below this estimate can't be similar. Sets in a block of a family.
 NEAR, BLOCK = 0.67, 128
+#: Bands that a similar pair shares at least.
+SHARED = 3
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -227,7 +229,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     x, y = inner.toDF("bucket", "a", "na", "xa", "la", "ha", "ba"), inner.where(f"el < {NEAR}").toDF("bucket", "b", "nb", "xb", "lb", "hb", "bb")
     apart_by = f"abs(la - lb) <= {1 - NEAR + 1e-9} AND abs(ha - hb) <= {1 - NEAR + 1e-9}"
     # A pair comes up in the first of the buckets that it shares, and in no other.
-    first_shared = "element_at(ba, cast(array_position(zip_with(ba, bb, (p, q) -> p = q), true) AS int)) = bucket"
+    same = "zip_with(ba, bb, (p, q) -> p = q)"
+    first_shared = f"element_at(ba, cast(array_position({same}, true) AS int)) = bucket AND size(filter({same}, p -> p)) >= {SHARED}"
     rest = x.join(y, "bucket").where(f"xa <> xb AND {apart_by} AND (la >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {first_shared}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = table(_estimates(rest, able).where(f"est >= {NEAR}"), "rest")
     if not rest.isEmpty():
