@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import load, table
 from tessera.llm.words import PUNCTUATION, shingle_hashes, slices, text_bytes, word_hashes
 
-K1, B, SHINGLE, OVERLAP, PART = 1.2, 0.75, 5, 0.8, 0.5
+K1, B, SHINGLE, OVERLAP = 1.2, 0.75, 5, 0.8
 #: Items of a block; most items in one broadcast index (larger sets of items take several passes); bytes of one item.
 BLOCK, ITEMS = 16, 2048
 
@@ -45,7 +45,7 @@ class ItemIndex:
             cut = len(w) - len(w) // 4 if len(w) >= 4 * SHINGLE else len(w)
             sets = [np.unique(shingle_hashes(p, np.array([0, len(p)]), SHINGLE)[0]) for p in (w, w[:cut], w[cut:] if cut < len(w) else w)]
             self.parts.append(sets)
-            lost = int((1 - OVERLAP) * max(1, len(w) - SHINGLE + 1))
+            lost = int((1 - OVERLAP) * max(1, len(w) - SHINGLE + 1) + 1e-9)
             mass = np.sort(bm25[:, j])[::-1]
             thresholds.append(max(mass.sum() - mass[:lost].sum(), 1e-6))
         self.impact = (bm25 / np.array(thresholds, np.float32)[None, :]).astype(np.float32) if own else tf
@@ -91,7 +91,7 @@ class ItemIndex:
         found: dict[int, dict[int, tuple[float, float, float, float]]] = {}
         for doc, a, b, item, score in self.retrieve(words, at):
             whole, question, answer = self.overlaps(words[a:b], item)
-            if whole >= OVERLAP and min(question, answer) >= PART:
+            if whole >= OVERLAP:
                 found.setdefault(doc, {})[int(self.ids[item])] = max(found.get(doc, {}).get(int(self.ids[item]), (0.0,) * 4), (whole, question, answer, score))
         return found
 
@@ -99,10 +99,10 @@ class ItemIndex:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_ids, overlap, question_overlap, answer_overlap, score of rows of docs with a passage of an item.
 
-    A row is contaminated by an item when one of its passages has 0.8 of the item's 5-word shingles and half of its
-    question's and of its answer's. Words are runs of letters and digits, lower-cased (A-Z). Null and empty texts on either
-    side match nothing. Items are indexed in blocks of about ITEMS by a hash of their id, so that what is broadcast is
-    bounded; with more blocks than one, docs is read once for each, and rows of one doc_id count as one.
+    A row is contaminated by an item when one of its passages has 0.8 of the item's 5-word shingles; the shares of its
+    question's and of its answer's are reported alone. Words are runs of letters and digits, lower-cased (A-Z). Null and
+    empty texts on either side match nothing. Items are indexed in blocks of about ITEMS by a hash of their id, so that what
+    is broadcast is bounded; with more blocks than one, docs is read once for each, and rows of one doc_id count as one.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
