@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,13 +29,26 @@ baseball shadow superman batman trustno iloveyou hello freedom whatever test tes
 root server database access private public key api the and you love summer winter spring autumn january february march april
 june july august september october november december monday tuesday wednesday thursday friday saturday sunday your my here
 none null value string insert placeholder xxxx todo foo bar baz lorem ipsum""".split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+#: Words of the documents that follow them: so many at most (a proven size for what is broadcast), each found so often.
+CORPUS_WORDS, OFTEN = 20_000, 3
+WORD = re.compile(r"[^\W\d_]{3,24}")
 #: Rows of a keyboard, the alphabet and the digits; a walk goes along one of them either way.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 STEPS = {(a, b) for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 #: Powers of ten of guesses: a value above LEAST counts as a secret. Every segment costs JOIN more.
-LEAST, JOIN, LONGEST_WORD = 10.0, 0.3, max(map(len, WORDS))
+LEAST, JOIN = 10.0, 0.3
+
+
+class Ranks:
+    """Words by the order in which guessers try them: the fixed ones, then `more`. Equal to itself alone, so it can be cached by."""
+
+    def __init__(self, more: list[str] = ()):
+        self.of = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *more]))}
+        self.longest = max(map(len, self.of))
+
+
+FIXED = Ranks()
 
 
 def _runs(s: str, follows) -> list[int]:
@@ -47,10 +61,10 @@ def _runs(s: str, follows) -> list[int]:
 
 
 @lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: Ranks = FIXED) -> float:
     """log10 of the guesses for the cheapest segmentation of value.
 
-    Segments are listed words (by rank, more for capitals), dates, repeats of a character, walks along a keyboard row or the
+    Segments are words of `ranks` (by rank, more for capitals), dates, repeats of a character, walks along a keyboard row or the
     alphabet, and brute force at the size of the character classes that value has. Repeats and walks are tried from where
     their run begins. Time grows with the length of value alone.
     """
@@ -65,8 +79,8 @@ def guess_cost(value: str) -> float:
     best = [0.0] + [math.inf] * n
     for j in range(1, n + 1):
         options = [best[j - 1] + brute]
-        for i in range(max(0, j - LONGEST_WORD), j - 2):
-            if rank := RANK.get(low[i:j]):
+        for i in range(max(0, j - ranks.longest), j - 2):
+            if rank := ranks.of.get(low[i:j]):
                 capitals = sum(c.isupper() for c in value[i:j])
                 options.append(best[i] + JOIN + math.log10(rank + 1) + (math.log10(2) * min(capitals, 3)))
         for i in dates.get(j, ()):
@@ -86,17 +100,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guessed_spans(text: str, least: float = LEAST) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of values in credential contexts that cost 10**least guesses or more and mix character classes."""
+def guessed_spans(text: str, least: float = LEAST, ranks: Ranks = FIXED) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of values in credential contexts that cost 10**least guesses or more."""
     found = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".!?:")
-        classes = sum(bool(re.search(p, value)) for p in (r"[0-9]", r"[a-z]", r"[A-Z]", r"[^0-9A-Za-z]"))
-        if len(value) >= 6 and classes >= 2 and guess_cost(value) >= least:
+        if len(value) >= 6 and guess_cost(value, ranks) >= least:
             found.append((m.start(1), 3, m.start(1) + len(value)))
     return found
 
 
+def corpus_words(docs: DataFrame) -> list[str]:
+    """The words (3 to 24 letters, lower-cased) found most often in docs outside of credential contexts, most frequent first.
+
+    What stands in a context isn't counted: a secret in many copies of a document would become a word. Counts are summed where
+    texts are read and again by Spark; at most CORPUS_WORDS words come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                low = (text or "").lower()
+                counts.update(WORD.findall(CONTEXT.sub(" ", text).lower() if any(h in low for h in HINTS) else low))
+                if len(counts) > 200_000:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()]
+
+
 KINDS = ("assign", "access", "hex", "guess")
 
 
@@ -104,10 +140,13 @@ def find_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, highest_cost for each row of docs (doc_id, text).
 
     Spans are kind:start:end in code points with the whole match of a pattern (for `guess` the value), by start and then kind,
-    comma-joined. A null or empty text has none. Rows are taken one by one, so repeats give equal rows.
+    comma-joined. A null or empty text has none. Rows are taken one by one, so repeats give equal rows. Frequent words of all
+    of docs are cheap to guess, so docs is read twice.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(Ranks(corpus_words(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = sent.value
         joined = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
         for batch in slices(batches):
             out = []
@@ -116,9 +155,9 @@ def find_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
                 low = text.lower()
                 hinted = any(h in low for h in HINTS)
                 base = base_spans(text) if hinted or "AKIA" in text else [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-                more = guessed_spans(text, least) if hinted else []
+                more = guessed_spans(text, least, ranks) if hinted else []
                 kinds = [k for _, k, _ in base]
-                out.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more), max((guess_cost(text[a:b]) for a, _, b in more), default=None)))
+                out.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more), max((guess_cost(text[a:b], ranks) for a, _, b in more), default=None)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64())
             cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "highest_cost"])
