@@ -27,14 +27,34 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
 
 
-def table(df: DataFrame, name: str = "part") -> DataFrame:
+def table(df: DataFrame, name: str = "part", compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that `table` made and nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tessera-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, a table of a few short columns, marked for broadcast if it has at most so many rows; beyond that it is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names, one for each of names, that df doesn't use."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for c in (f"_{n}{i or ''}" for i in range(len(taken) + 1)) if c.lower() not in taken) for n in names]
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
