@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import components, table
+from tessera.llm.tables import components, dropped, small, table
 from tessera.llm.words import U, shingle_hashes, slices, text_bytes, word_hashes
 
 REGISTERS, MANTISSA, ROWS = 256, 10, 5
@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         wanted = some.select(F.col("a").alias("doc_id")).unionAll(some.select("b")).distinct()
         if but is not None:
             wanted = wanted.join(but.select(F.col("a").alias("doc_id")).unionAll(but.select("b")), "doc_id", "left_anti")
-        return table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, set binary"), "sets")
+        # Ids alone are sent to where the texts are; only where they are too many are texts shuffled.
+        return table(docs.join(small(table(wanted, "wanted")), "doc_id", "left_semi").mapInArrow(run, "node long, set binary"), "sets")
 
     def apart(some: DataFrame) -> DataFrame:
         """Those pairs whose ends are in different components so far."""
@@ -233,6 +234,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first_shared = f"element_at(ba, cast(array_position({same}, true) AS int)) = bucket AND size(filter({same}, p -> p)) >= {SHARED}"
     rest = x.join(y, "bucket").where(f"xa <> xb AND {apart_by} AND (la >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {first_shared}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = table(_estimates(rest, able).where(f"est >= {NEAR}"), "rest")
+    dropped(inner)
+    dropped(members)
     if not rest.isEmpty():
         links = links.unionAll(_confirmed(rest, sets_of(rest), percent))
         root = components(links)
