@@ -3,7 +3,9 @@
 Distinct vectors are dealt to shards of about SHARD by a hash. In a shard vectors are inserted in doubling batches: each
 runs a greedy beam search from the medoid over the graph so far, and what it visits becomes its candidates; robust pruning
 keeps the nearest and drops those that a kept one is nearer to by the factor ALPHA; reverse edges are added and lists
-that overflow are pruned again. A query searches every shard with a beam of BEAM, and its best answers are merged.
+that overflow are pruned again. Nodes that no path from the medoid reaches get an edge from the nearest one that has room. A
+query searches every shard with a beam of BEAM, and its best answers are merged. Searches run in single precision on vectors
+less their shard's mean; scores are computed in double precision on the original ones.
 """
 
 from __future__ import annotations
@@ -17,15 +19,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tables import load, table
 
-SHARD, DEGREE, ALPHA, BUILD_BEAM, BEAM, K = 2048, 32, 1.2, 64, 160, 10
+#: Queries that advance together, so that what they have seen stays small.
+SHARD, DEGREE, ALPHA, BUILD_BEAM, BEAM, K, TOGETHER = 16384, 32, 1.2, 64, 160, 10, 512
 
 
 def _beam(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The `width` nearest nodes found for each row of q, and their squared distances, by greedy search from start.
 
-    All queries advance together: each expands its nearest unexpanded node until all of its beam is expanded.
+    Up to TOGETHER queries advance together: each expands its nearest unexpanded node until all of its beam is expanded.
     """
     n, m = len(x), len(q)
+    if m > TOGETHER:
+        parts = [_beam(x, norms, graph, start, q[i : i + TOGETHER], width) for i in range(0, m, TOGETHER)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     ids = np.full((m, width), -1, np.int64)
     dist = np.full((m, width), np.inf, np.float32)
     done = np.zeros((m, width), bool)
@@ -105,7 +111,37 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) ->
         new[np.repeat(np.arange(len(node)), count), np.arange(len(dst)) - np.repeat(first, count)] = src
         graph[node] = _prune(x, norms, node, np.concatenate([graph[node], new], 1), degree)
         at += len(batch)
-    return graph, start
+    return _connected(x, norms, graph, start), start
+
+
+def _connected(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int) -> np.ndarray:
+    """The graph with edges added until every node can be reached from start."""
+    reached = np.zeros(len(x), bool)
+    front = np.array([start])
+    while True:
+        while len(front):
+            reached[front] = True
+            front = np.unique(graph[front])
+            front = front[(front >= 0) & ~reached[np.maximum(front, 0)]]
+        lost = np.flatnonzero(~reached)
+        if not len(lost):
+            return graph
+        room = np.flatnonzero(reached & (graph < 0).any(1))
+        if not len(room):
+            graph = np.concatenate([graph, np.full((len(graph), 1), -1, np.int64)], 1)
+            continue
+        node = lost[0]
+        near = room[(norms[room] - 2 * x[room] @ x[node]).argmin()]
+        graph[near, np.flatnonzero(graph[near] < 0)[0]] = node
+        front = np.array([node])
+
+
+def _single(x: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """The arrays less the mean of x and scaled to it, in single precision: order and ratios of distances stay."""
+    scale = max(float(np.abs(x).max(initial=0)), 1e-300)
+    mean = (x / scale).mean(0)
+    spread = max(float(np.abs(x / scale - mean).max(initial=0)), 1e-300)
+    return [((a / scale - mean) / spread).astype(np.float32) for a in (x, *more)]
 
 
 def search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, k: int, beam: int = BEAM) -> np.ndarray:
@@ -141,7 +177,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, shard: int = SHARD
         order = np.lexsort(x.T[::-1])
         x = x[order]
         ids = group["ids"].to_pylist()
-        graph, start = build_graph(x.astype(np.float32))
+        graph, start = build_graph(_single(x)[0])
         flat = np.full((len(x), k + 1), -1, np.int64)
         for r, o in enumerate(order):
             flat[r, : len(ids[o])] = ids[o]
@@ -167,7 +203,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, shard: int = SHARD
                 asked_ = row.column("queries")[0].as_py()
                 out = []
                 q = np.array([a["v"] for a in asked_], np.float64)
-                found = search(x.astype(np.float32), graph, row.column("start")[0].as_py(), q.astype(np.float32), k + 1, beam)
+                xs, qs = _single(x, q)
+                found = search(xs, graph, row.column("start")[0].as_py(), qs, k + 1, beam)
                 for i, a in enumerate(asked_):
                     f = found[i][found[i] >= 0]
                     d = np.sqrt(((x[f] - q[i]) ** 2).sum(1))
