@@ -51,47 +51,78 @@ class Ranks:
 FIXED = Ranks()
 
 
-def _runs(s: str, follows) -> list[int]:
-    """Where the run that each position belongs to begins."""
-    start = list(range(len(s)))
-    for i in range(1, len(s)):
-        if follows(s[i - 1], s[i]):
-            start[i] = start[i - 1]
-    return start
+def _dates(value: str) -> dict[int, list[int]]:
+    """Where the dates that end at each position begin, in every reading."""
+    found: dict[int, list[int]] = {}
+    for i, c in enumerate(value):
+        if c.isdigit():
+            for n in range(4, 11):
+                if i + n <= len(value) and DATE.fullmatch(value, i, i + n):
+                    found.setdefault(i + n, []).append(i)
+    return found
+
+
+class _Run:
+    """The places from which a repeat or walk that is still going on may be cheapest.
+
+    A later place i beats an earlier one at no end if it costs log10((i + 3 - earlier) / 3) more, so only a few are kept.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[tuple[int, float]] = []
+
+    def offer(self, i: int, cost: float) -> None:
+        if all(cost < c + math.log10((i + 3 - k) / 3) for k, c in self.starts):
+            self.starts.append((i, cost))
+
+    def best(self, j: int) -> float:
+        return min((c + math.log10(j - k) for k, c in self.starts if j - k >= 3), default=math.inf)
 
 
 @lru_cache(maxsize=4096)
 def guess_cost(value: str, ranks: Ranks = FIXED) -> float:
-    """log10 of the guesses for the cheapest segmentation of value.
+    """log10 of the guesses for the cheapest segmentation of value, over all segmentations.
 
     Segments are words of `ranks` (by rank, more for capitals), dates, repeats of a character, walks along a keyboard row or the
-    alphabet, and brute force at the size of the character classes that value has. Repeats and walks are tried from where
-    their run begins. Time grows with the length of value alone.
+    alphabet, and brute force at the size of the character classes that value has. Time grows with the length of value alone.
     """
     n, low = len(value), value.lower()
-    size = sum(k for k, p in ((10, r"\d"), (26, r"[a-z]"), (26, r"[A-Z]"), (33, r"[^0-9A-Za-z]")) if re.search(p, value))
-    brute = math.log10(max(size, 2))
-    same, walk = _runs(low, lambda a, b: a == b), _runs(low, lambda a, b: (a, b) in STEPS)
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
+    if len(low) != n:  # a few letters become two when lower-cased
+        low = "".join(c.lower()[0] for c in value)
+    brute, walk_first = brute_cost(value), math.log10(60)
+    dates = _dates(value)
     best = [0.0] + [math.inf] * n
+    same, walk = _Run(), _Run()
     for j in range(1, n + 1):
-        options = [best[j - 1] + brute]
+        if j > 1 and low[j - 2] != low[j - 1]:
+            same = _Run()
+        if j > 1 and (low[j - 2], low[j - 1]) not in STEPS:
+            walk = _Run()
+        for run in (same, walk):
+            run.offer(j - 1, best[j - 1])
+        options = [best[j - 1] + brute, same.best(j) + JOIN + brute, walk.best(j) + JOIN + walk_first]
         for i in range(max(0, j - ranks.longest), j - 2):
             if rank := ranks.of.get(low[i:j]):
-                capitals = sum(c.isupper() for c in value[i:j])
-                options.append(best[i] + JOIN + math.log10(rank + 1) + (math.log10(2) * min(capitals, 3)))
-        for i in dates.get(j, ()):
-            options.append(best[i] + JOIN + (2.3 if j - i == 4 else 4.9))
-        for i, first in ((same[j - 1], brute), (walk[j - 1], math.log10(60))):
-            if j - i >= 3:
-                options.append(best[i] + JOIN + first + math.log10(j - i))
+                options.append(best[i] + word_cost(value[i:j], rank))
+        options += [best[i] + date_cost(j - i) for i in dates.get(j, ())]
         best[j] = min(options)
     return best[n]
 
 
+def brute_cost(value: str) -> float:
+    """log10 of the guesses for one character, from the classes that value has."""
+    size = sum(k for k, p in ((10, r"\d"), (26, r"[a-z]"), (26, r"[A-Z]"), (33, r"[^0-9A-Za-z]")) if re.search(p, value))
+    return math.log10(max(size, 2))
+
+
+def word_cost(word: str, rank: int) -> float:
+    return JOIN + math.log10(rank + 1) + math.log10(2) * min(sum(c.isupper() for c in word), 3)
+
+
+def date_cost(size: int) -> float:
+    return JOIN + (2.3 if size == 4 else 4.9)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three patterns; kinds 0 assign, 1 access, 2 hex."""
     found = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16] if "AKIA" in text else []
