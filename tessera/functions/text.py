@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as blank in a cell.
-BLANKS = ["", "nan", "none", "null", "n/a", "na", "-", "–", "—"]
+BLANKS = ["", "nan", "none", "null", "n/a", "-", "—"]
+#: What is no name.
+NO_NAMES = ["test", "example", "asdf", "unknown", "n/a", "na", "none", "anonymous", "tbd"]
 #: Latin letters with marks, and what they fold to.
 MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
@@ -38,8 +40,9 @@ def clean_blank(c: Column) -> Column:
 
 
 def looks_like_name(c: Column) -> Column:
-    t = F.trim(c)
-    return F.coalesce(F.length(t).between(2, 120) & ~F.contains(t, F.lit("@")) & t.rlike(r"\p{L}") & ~F.lower(t).isin(BLANKS), F.lit(False))
+    """2 to 120 characters with a Latin letter, no @, and not a placeholder."""
+    t = clean_blank(collapse(c))
+    return F.coalesce(F.length(t).between(2, 120) & ~F.contains(t, F.lit("@")) & t.rlike("[A-Za-zÀ-ɏ]") & ~F.lower(t).isin(NO_NAMES), F.lit(False))
 
 
 def slug(c: Column, n: int = 60, otherwise: str = "item") -> Column:
@@ -102,18 +105,20 @@ def key_ident(c: Column) -> Column:
 
 
 def clip(c: Column, n: int) -> Column:
-    return F.when(F.length(c) > n, F.concat(F.rtrim(F.left(c, F.lit(n - 1))), F.lit("…"))).otherwise(c)
+    """Spaces collapsed, then at most n characters, the last an ellipsis where something was cut."""
+    t = collapse(c)
+    return F.when(F.length(t) > n, F.concat(F.rtrim(F.left(t, F.lit(n - 1))), F.lit("…"))).otherwise(t)
 
 
-def row_id(tbl: str, keys: list[Column], everything: list[Column]) -> Column:
-    """The first 16 digits of the SHA-1 of table and keys; of table and every value when all keys are blank.
+def row_id(tbl: str, keys: list[Column], everything: dict[str, Column]) -> Column:
+    """The first 16 digits of the SHA-1 of table and keys; when all keys are blank, of table and `name=value` in name order.
 
     A null counts as blank, so that rows without a key don't share one id.
     """
-    parts = [F.coalesce(F.trim(k.cast("string")), F.lit("")) for k in keys]
-    whole = [F.coalesce(F.trim(k.cast("string")), F.lit("")) for k in everything]
-    blank = F.concat(*parts) == ""
-    return F.left(F.sha1(F.when(blank, F.concat_ws("|", F.lit(tbl), *whole)).otherwise(F.concat_ws("|", F.lit(tbl), *parts))), F.lit(16))
+    text = lambda k: F.coalesce(k.cast("string"), F.lit(""))
+    whole = [F.concat(F.lit(f"{n}="), text(everything[n])) for n in sorted(everything)]
+    blank = F.trim(F.concat(F.lit(""), *[text(k) for k in keys])) == ""
+    return F.left(F.sha1(F.when(blank, F.concat_ws("|", F.lit(tbl), *whole)).otherwise(F.concat_ws("|", F.lit(tbl), *[text(k) for k in keys]))), F.lit(16))
 
 
 def content_hash(*cols: Column) -> Column:

@@ -91,12 +91,19 @@ def collectors_board(claims: DataFrame, entries: DataFrame, badges: DataFrame) -
     return rank_board(out, [], [F.desc("pieces"), F.desc("studios"), F.desc("badges"), F.asc("since"), F.asc("collector_uid")])
 
 
-def award_standings(entries: DataFrame, award_votes: DataFrame, top: int = 5, solo_only: bool = False) -> DataFrame:
-    """The `top` entries of each season and category by picks."""
-    picks = award_votes.groupBy("season_id", "category_id", F.col("entry_id").alias("id")).agg(F.count("*").alias("picks"))
-    pool = entries.where("solo") if solo_only else entries
-    board = picks.join(pool.select("season_id", "id", "created_at"), ["season_id", "id"])
-    return rank_board(board, ["season_id", "category_id"], [F.desc("picks"), F.asc("created_at"), F.asc("id")]).where(F.col("rank") <= top).drop("created_at")
+def award_standings(entries: DataFrame, categories: DataFrame, award_votes: DataFrame, top: int = 5) -> DataFrame:
+    """season_id, category_id, id, value, rank by each category (season_id, category_id, kind, solo_only).
+
+    A vote category lists the `top` entries by picks, a measured one every entry with a height, the tallest first; a category
+    for solo makers takes their entries alone. value is the number of picks or the height.
+    """
+    picks = award_votes.groupBy("season_id", "category_id", F.col("entry_id").alias("id")).agg(F.count("*").cast("double").alias("value"))
+    own = entries.select("season_id", "id", "created_at", "solo", "height_mm")
+    voted = categories.where("kind = 'vote'").join(picks, ["season_id", "category_id"]).join(own, ["season_id", "id"])
+    tall = categories.where("kind = 'measured'").join(own.where("height_mm IS NOT NULL"), "season_id").withColumn("value", F.col("height_mm").cast("double"))
+    both = voted.select(*(cols := ["season_id", "category_id", "kind", "solo_only", "id", "created_at", "solo", "value"])).unionByName(tall.select(*cols)).where("NOT solo_only OR solo")
+    board = rank_board(both, ["season_id", "category_id"], [F.desc("value"), F.asc_nulls_first("created_at"), F.asc("id")])
+    return board.where((F.col("kind") == "measured") | (F.col("rank") <= top)).select("season_id", "category_id", "id", "value", "rank")
 
 
 def measured_award(entries: DataFrame, measure: str = "height_mm") -> DataFrame:

@@ -60,14 +60,14 @@ def search_tokens(df: DataFrame, q: str, key: str, columns: list[str]) -> DataFr
 def search_records(sources: list[tuple[DataFrame, str, str]], q: str, limit: int) -> DataFrame:
     """gid, label, source_rank: hits of q over (df, id column, label column), earlier sources first, a gid once.
 
-    Exact labels come first, then the shortest.
+    Inside a source exact labels come first, then the shortest.
     """
     hits = None
     for rank, (df, key, label) in enumerate(sources):
         own = search(df.select(F.col(key).cast("string").alias("gid"), F.col(label).alias("label")), q, ["label"]).withColumn("source_rank", F.lit(rank))
         hits = own if hits is None else hits.unionByName(own)
     first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("gid").orderBy("source_rank", "label"))).where("_n = 1").drop("_n")
-    return first.orderBy(F.when(F.lower("label") == q.lower(), 0).otherwise(1), "source_rank", F.length("label"), "label", "gid").limit(limit)
+    return first.orderBy("source_rank", F.when(F.lower("label") == q.lower(), 0).otherwise(1), F.length("label"), "label", "gid").limit(limit)
 
 
 def first_table_with(q: str, tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -78,13 +78,13 @@ def first_table_with(q: str, tables: list[tuple[str, DataFrame, str]]) -> DataFr
 
 def page(df: DataFrame, order: str, desc: bool, limit: int, offset: int = 0, tie: str = "_row_id") -> DataFrame:
     """One page, with the count of all rows as `total`."""
-    total = df.agg(F.count("*").alias("total"))
+    total = df.groupBy().agg(F.count("*").alias("total"))
     by = F.desc_nulls_last(order) if desc else F.asc_nulls_first(order)
     return df.orderBy(by, tie).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str, seq: str) -> DataFrame:
-    """base and delta together, the row of the highest seq for each key; on ties delta wins."""
+    """base and delta together: delta replaces base whatever their seq; of several delta rows of a key the highest seq wins."""
     both = base.withColumn("_new", F.lit(0)).unionByName(delta.withColumn("_new", F.lit(1)))
     last = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(seq))
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")

@@ -26,13 +26,16 @@ def cluster_report(clustered: DataFrame) -> DataFrame:
 
 
 def change_status(prev: DataFrame, now: DataFrame) -> DataFrame:
-    """key, change from the content hashes of two stagings (key, content_hash; prev also pushed_hash).
+    """key, status after a staging: prev has key, status, content_hash, pushed_hash, qid; now has key, content_hash.
 
-    new: only now. dropped: only before and never pushed; orphan: only before and pushed. pushed: as it was pushed.
-    changed: pushed with other content. ready: known and never pushed.
+    New keys are new. Pushed or changed ones are pushed if the content is what was pushed, else changed. An orphan that is
+    back is changed if it has a qid, else new. A failed one with other content is ready if it has a qid, else new. Others
+    keep their status. Of keys that are gone, those with a qid become orphans, the others are dropped.
     """
-    old = prev.select("key", F.lit(True).alias("was"), "pushed_hash")
+    old = prev.select("key", F.lit(True).alias("was"), "status", F.col("content_hash").alias("old_hash"), "pushed_hash", "qid")
     both = old.join(now.select("key", F.lit(True).alias("is"), "content_hash"), "key", "full")
-    gone = F.when(F.col("pushed_hash").isNull(), "dropped").otherwise("orphan")
-    known = F.when(F.col("pushed_hash").isNull(), "ready").when(F.col("pushed_hash") == F.col("content_hash"), "pushed").otherwise("changed")
-    return both.select("key", F.when(F.col("is").isNull(), gone).when(F.col("was").isNull(), "new").otherwise(known).alias("change"))
+    has = F.coalesce(F.col("qid"), F.lit("")) != ""
+    kept = F.when(F.col("status").isin("pushed", "changed"), F.when(F.col("pushed_hash").eqNullSafe(F.col("content_hash")), "pushed").otherwise("changed"))
+    kept = kept.when(F.col("status") == "orphan", F.when(has, "changed").otherwise("new"))
+    kept = kept.when((F.col("status") == "failed") & ~F.col("old_hash").eqNullSafe(F.col("content_hash")), F.when(has, "ready").otherwise("new")).otherwise(F.col("status"))
+    return both.select("key", F.when(F.col("is").isNull(), F.when(has, "orphan").otherwise("dropped")).when(F.col("was").isNull(), "new").otherwise(kept).alias("status"))

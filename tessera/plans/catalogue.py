@@ -83,7 +83,7 @@ def token_search(spark, sf_dir):
     return R.search_tokens(Tables(spark, sf_dir)["customer"], "build 7", "c_custkey", ["c_name", "c_mktsegment"]).select("c_custkey", "c_name")
 
 
-@query("WITH u AS (SELECT 's' || s_suppkey AS gid, s_name AS label, 0 AS source_rank FROM supplier WHERE contains(lower(s_name), '00001') UNION ALL SELECT 'c' || c_custkey, c_name, 1 FROM customer WHERE contains(lower(c_name), '00001')) SELECT * FROM u ORDER BY source_rank, length(label), label, gid LIMIT 25")
+@query("WITH u AS (SELECT 's' || s_suppkey AS gid, s_name AS label, 0 AS source_rank FROM supplier WHERE contains(lower(s_name), '00001') UNION ALL SELECT 'c' || c_custkey, c_name, 1 FROM customer WHERE contains(lower(c_name), '00001')) SELECT * FROM u ORDER BY source_rank, CASE WHEN lower(label) = '00001' THEN 0 ELSE 1 END, length(label), label, gid LIMIT 25")
 def record_search(spark, sf_dir):
     t = Tables(spark, sf_dir)
     s = t["supplier"].select(F.concat(F.lit("s"), "s_suppkey").alias("gid"), "s_name")
@@ -135,7 +135,7 @@ def unique_slugs(spark, sf_dir):
 @query("SELECT c_custkey, substr(sha1('customer|' || c_name || '|' || c_mktsegment), 1, 16) AS row_id FROM customer")
 def stable_row_id(spark, sf_dir):
     c = Tables(spark, sf_dir)["customer"]
-    return c.select("c_custkey", T.row_id("customer", [F.col("c_name"), F.col("c_mktsegment")], [F.col(x) for x in c.columns]).alias("row_id"))
+    return c.select("c_custkey", T.row_id("customer", [F.col("c_name"), F.col("c_mktsegment")], {x: F.col(x) for x in c.columns}).alias("row_id"))
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_F, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_O, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_P FROM orders GROUP BY 1")
@@ -155,11 +155,11 @@ def approve_all_pending(spark, sf_dir):
     return R.set_status(t.approvals, "orders", ids, "approved").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("WITH o AS (SELECT * FROM orders), c AS (SELECT c_custkey AS id, c_name AS label FROM customer WHERE c_custkey % 2 = 0), s AS (SELECT s_suppkey AS id, s_name AS label FROM supplier) SELECT id, label FROM s UNION ALL SELECT id, label FROM c WHERE id NOT IN (SELECT id FROM s)")
+@query("WITH o AS (SELECT * FROM orders), c AS (SELECT c_custkey AS id, c_name AS label FROM customer), s AS (SELECT s_suppkey AS id, s_name AS label FROM supplier) SELECT id, label FROM s UNION ALL SELECT id, label FROM c WHERE id NOT IN (SELECT id FROM s)")
 def prioritised_union(spark, sf_dir):
     t = Tables(spark, sf_dir)
     s = t["supplier"].select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
-    c = t["customer"].where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
+    c = t["customer"].select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
     return R.priority_union([s, c], "id")
 
 
@@ -170,8 +170,8 @@ _COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 @query(
     "WITH p AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(nullif(trim(CAST({c} AS VARCHAR)), '')) AS n_filled, count(try_cast(nullif(trim(CAST({c} AS VARCHAR)), '') AS DOUBLE)) AS n_numeric, count(DISTINCT nullif(trim(CAST({c} AS VARCHAR)), '')) AS n_values, count(*) AS n FROM customer" for c in _COLUMNS)
-    + ") SELECT \"column\", n_filled, n_numeric, n_values, CASE WHEN n_numeric > 0.6 * n_filled AND n_values > 3 THEN 'numeric' WHEN n_values BETWEEN 2 AND 120 AND n_values < 0.9 * n THEN 'categorical' ELSE 'other' END AS kind FROM p"
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(nullif(trim(CAST({c} AS VARCHAR)), '')) AS n_filled, count(try_cast(nullif(trim(CAST({c} AS VARCHAR)), '') AS DOUBLE)) AS n_numeric, count(DISTINCT nullif(trim(CAST({c} AS VARCHAR)), '')) AS n_values, count(DISTINCT try_cast(nullif(trim(CAST({c} AS VARCHAR)), '') AS DOUBLE)) AS n_numbers, count(*) AS n FROM customer" for c in _COLUMNS)
+    + ") SELECT \"column\", n_filled, n_numeric, n_values, n_numbers, CASE WHEN n_filled = 0 THEN 'empty' WHEN n_numeric > 0.6 * n_filled AND n_numbers > 3 THEN 'numeric' WHEN n_values BETWEEN 2 AND 120 AND n_values < 0.9 * n THEN 'categorical' ELSE 'other' END AS kind FROM p"
 )
 def column_profile(spark, sf_dir):
     return P.profile_columns(Tables(spark, sf_dir)["customer"])
@@ -182,9 +182,9 @@ def value_counts(spark, sf_dir):
     return P.value_counts(Tables(spark, sf_dir)["part"], "p_type")
 
 
-@query("WITH e AS (SELECT quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.99) AS hi FROM orders), b AS (SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin, lo, hi FROM orders, e WHERE o_totalprice BETWEEN lo AND hi) SELECT bin, round(lo + bin * ((hi - lo) / 30), 6) AS low, round(lo + (bin + 1) * ((hi - lo) / 30), 6) AS high, count(*) AS n FROM b GROUP BY bin, lo, hi")
+@query("WITH e AS (SELECT quantile_cont(o_totalprice, 0.02) AS lo, quantile_cont(o_totalprice, 0.98) AS hi FROM orders), b AS (SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin, lo, hi FROM orders, e WHERE o_totalprice BETWEEN lo AND hi) SELECT bin, round(lo + bin * ((hi - lo) / 30), 6) AS low, round(lo + (bin + 1) * ((hi - lo) / 30), 6) AS high, count(*) AS n FROM b GROUP BY bin, lo, hi")
 def trimmed_histogram(spark, sf_dir):
-    return P.trimmed_histogram(Tables(spark, sf_dir)["orders"], "o_totalprice")
+    return P.histogram(Tables(spark, sf_dir)["orders"], "o_totalprice", 2024)
 
 
 @query("SELECT CAST(floor(year(o_orderdate) / 10) * 10 AS INT) AS decade, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1850 AND 2024 GROUP BY 1")
@@ -200,33 +200,49 @@ def group_options(spark, sf_dir):
 # --- usage -----------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS views, count(DISTINCT session) AS visitors FROM usage WHERE day >= (SELECT max(day) FROM usage) - 30")
+@query("SELECT count(*) AS views, count(DISTINCT session) AS visitors FROM usage WHERE event = 'view' AND day >= (SELECT max(day) FROM usage) - 30")
 def usage_totals(spark, sf_dir):
     return U.usage_totals(U.since(Tables(spark, sf_dir).usage, 30))
 
 
-@query("SELECT surface, count(*) AS views, count(DISTINCT session) AS visitors FROM usage WHERE day >= (SELECT max(day) FROM usage) - 30 GROUP BY 1")
+@query("SELECT surface, count(*) AS views, count(DISTINCT session) AS visitors FROM usage WHERE event = 'view' AND day >= (SELECT max(day) FROM usage) - 30 GROUP BY 1")
 def usage_by_surface(spark, sf_dir):
     return U.usage_by(U.since(Tables(spark, sf_dir).usage, 30), "surface")
 
 
-@query("SELECT view, count(*) AS views, count(DISTINCT session) AS visitors FROM usage GROUP BY 1 ORDER BY views DESC, view LIMIT 15")
+@query("SELECT surface || ' · ' || view AS label, count(*) AS views FROM usage WHERE event = 'view' AND view <> '' GROUP BY 1 ORDER BY views DESC, label LIMIT 15")
 def usage_by_view_top(spark, sf_dir):
-    return U.usage_by(Tables(spark, sf_dir).usage, "view", 15)
+    return U.usage_by_view(Tables(spark, sf_dir).usage)
 
 
-@query("SELECT day, count(*) AS views, count(DISTINCT session) AS visitors FROM usage GROUP BY 1")
+@query("SELECT country, count(DISTINCT session) AS visitors FROM usage WHERE country <> '' GROUP BY 1 ORDER BY visitors DESC, country LIMIT 15")
+def usage_by_country(spark, sf_dir):
+    return U.usage_by_country(Tables(spark, sf_dir).usage)
+
+
+@query("SELECT event, count(*) AS n FROM usage WHERE event <> 'view' GROUP BY 1 ORDER BY n DESC, event LIMIT 15")
+def usage_by_event(spark, sf_dir):
+    return U.usage_by_event(Tables(spark, sf_dir).usage)
+
+
+@query("SELECT day, count(*) AS views, count(DISTINCT session) AS visitors FROM usage WHERE event = 'view' GROUP BY 1")
 def usage_by_day(spark, sf_dir):
     return U.usage_by(Tables(spark, sf_dir).usage, "day")
 
 
-@query("WITH c AS (SELECT DISTINCT view AS code FROM usage UNION SELECT 'never'), m AS (SELECT max(day) - 7 AS d FROM usage), u AS (SELECT view AS code, count(*) FILTER (WHERE day >= d) AS scans, count(DISTINCT session) FILTER (WHERE day >= d) AS people, min(day) AS first, max(day) AS last, count(*) AS all_time FROM usage, m GROUP BY 1) SELECT code, coalesce(scans, 0) AS scans, coalesce(people, 0) AS people, first, last, coalesce(all_time, 0) AS all_time FROM c LEFT JOIN u USING (code)")
+@query("WITH c AS (SELECT DISTINCT view AS code FROM usage UNION SELECT 'never'), m AS (SELECT max(day) - 7 AS d FROM usage), u AS (SELECT view AS code, count(*) FILTER (WHERE day >= d) AS scans, count(DISTINCT nullif(session, '')) FILTER (WHERE day >= d) AS people, min(ts) FILTER (WHERE day >= d) AS first, max(ts) FILTER (WHERE day >= d) AS last, count(*) AS all_time FROM usage, m WHERE surface = 'qr' AND event = 'qr:scan' GROUP BY 1) SELECT code, coalesce(scans, 0) AS scans, coalesce(people, 0) AS people, first, last, coalesce(all_time, 0) AS all_time FROM c LEFT JOIN u USING (code)")
 def code_stats(spark, sf_dir):
     u = Tables(spark, sf_dir).usage
     codes = u.select(F.col("view").alias("code")).distinct().unionAll(spark.range(1).select(F.lit("never").alias("code")))
     return U.code_stats(u, codes, 7)
 
 
+@query("SELECT view AS code, day, count(*) AS scans, count(DISTINCT nullif(session, '')) AS people FROM usage WHERE surface = 'qr' AND event = 'qr:scan' AND day >= (SELECT max(day) FROM usage) - 7 GROUP BY 1, 2")
+def code_stats_by_day(spark, sf_dir):
+    u = Tables(spark, sf_dir).usage
+    return U.code_stats_by_day(u, u.select(F.col("view").alias("code")).distinct(), 7)
+
+
 @query("SELECT (SELECT count(*) FROM customer) AS makers, (SELECT count(*) FROM supplier) AS studios, (SELECT count(*) FROM orders) AS objects, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS objects_public, (SELECT count(DISTINCT n_regionkey) FROM nation) AS regions")
 def site_stats(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -290,10 +306,10 @@ def collectors_board(spark, sf_dir):
     return G.collectors_board(t.claims, t.entries, G.badges(t.claims, t.entries))
 
 
-@query("WITH p AS (SELECT a.season_id, category_id, entry_id AS id, count(*) AS picks, any_value(e.created_at) AS made FROM award_votes a JOIN entries e ON a.entry_id = e.id AND a.season_id = e.season_id GROUP BY 1, 2, 3), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY season_id, category_id ORDER BY picks DESC, made, id) AS INT) AS rank FROM p) SELECT season_id, category_id, id, picks, rank FROM r WHERE rank <= 5")
+@query("WITH p AS (SELECT season_id, category_id, entry_id AS id, CAST(count(*) AS DOUBLE) AS value FROM award_votes GROUP BY 1, 2, 3), b AS (SELECT c.season_id, c.category_id, c.kind, e.id, p.value, e.created_at FROM categories c JOIN p ON p.season_id = c.season_id AND p.category_id = c.category_id JOIN entries e ON e.id = p.id AND e.season_id = c.season_id WHERE c.kind = 'vote' AND (NOT c.solo_only OR e.solo) UNION ALL SELECT c.season_id, c.category_id, c.kind, e.id, e.height_mm, e.created_at FROM categories c JOIN entries e ON e.season_id = c.season_id WHERE c.kind = 'measured' AND e.height_mm IS NOT NULL AND (NOT c.solo_only OR e.solo)), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY season_id, category_id ORDER BY value DESC, created_at, id) AS INT) AS rank FROM b) SELECT season_id, category_id, id, value, rank FROM r WHERE kind = 'measured' OR rank <= 5")
 def award_standings(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return G.award_standings(t.entries, t.award_votes)
+    return G.award_standings(t.entries, t.categories, t.award_votes)
 
 
 @query("SELECT season_id, id, height_mm AS value, CAST(row_number() OVER (PARTITION BY season_id ORDER BY height_mm DESC, created_at, id) AS INT) AS rank FROM entries WHERE height_mm IS NOT NULL")
@@ -495,10 +511,11 @@ def cluster_report(spark, sf_dir):
     return E.cluster_report(_clustered(spark, sf_dir))
 
 
-@query("SELECT key, CASE WHEN n % 11 = 0 THEN CASE WHEN n % 3 = 0 THEN 'dropped' ELSE 'orphan' END WHEN n % 7 = 0 THEN 'new' WHEN n % 3 = 0 THEN 'ready' WHEN n % 5 = 0 THEN 'changed' ELSE 'pushed' END AS change FROM items WHERE NOT (n % 11 = 0 AND n % 7 = 0)")
+@query("WITH p AS (SELECT key, CASE n % 6 WHEN 0 THEN 'pushed' WHEN 1 THEN 'changed' WHEN 2 THEN 'orphan' WHEN 3 THEN 'failed' WHEN 4 THEN 'new' ELSE 'ready' END AS status, n % 2 = 0 AS has, n % 5 = 0 AS other, n % 11 = 0 AS gone, n % 7 = 0 AS fresh FROM items) SELECT key, CASE WHEN gone THEN CASE WHEN has THEN 'orphan' ELSE 'dropped' END WHEN fresh THEN 'new' WHEN status IN ('pushed', 'changed') THEN CASE WHEN other THEN 'changed' ELSE 'pushed' END WHEN status = 'orphan' THEN CASE WHEN has THEN 'changed' ELSE 'new' END WHEN status = 'failed' AND other THEN CASE WHEN has THEN 'ready' ELSE 'new' END ELSE status END AS status FROM p WHERE NOT (gone AND fresh)")
 def change_status(spark, sf_dir):
     items = Tables(spark, sf_dir).items
-    prev = items.where("n % 7 <> 0").select("key", F.when(F.col("n") % 3 != 0, F.sha1("label")).alias("pushed_hash"))
+    status = F.element_at(F.array(*map(F.lit, ("pushed", "changed", "orphan", "failed", "new", "ready"))), (F.col("n") % 6 + 1).cast("int"))
+    prev = items.where("n % 7 <> 0").select("key", status.alias("status"), F.sha1("label").alias("content_hash"), F.sha1("label").alias("pushed_hash"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("Q"), "n")).alias("qid"))
     label = F.when(F.col("n") % 5 == 0, F.concat("label", F.lit("!"))).otherwise(F.col("label"))
     return E.change_status(prev, items.where("n % 11 <> 0").select("key", F.sha1(label).alias("content_hash")))
 
