@@ -175,10 +175,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # Sets of fewer than 4 shingles are this similar only if they are equal.
     able = nodes.where(f"n >= {-(-percent // (100 - percent)) if percent < 100 else 2**62}")
     own_bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)])
-    bands = able.select("node", F.explode(own_bands).alias("bucket"))
+    bands = able.select("node", F.col("n").cast("int").alias("n"), F.explode(own_bands).alias("bucket"))
     bands = bands.repartition("bucket")  # one exchange serves the ends and the members
-    ends = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = table(bands.join(ends, "bucket").select("bucket", "node", "lo", "hi"), "members")
+    ends = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("n", "node").alias("nlo"), F.max_by("n", "node").alias("nhi")).where("lo < hi")
+    # Whether a member's set and its pivot's are near enough in size to be similar at all.
+    sized = lambda a, b: F.col(a).cast("long") * 100 >= F.col(b).cast("long") * percent
+    fits = {"lo_fits": sized("n", "nlo") & sized("nlo", "n"), "hi_fits": sized("n", "nhi") & sized("nhi", "n")}
+    members = table(bands.join(ends, "bucket").select("bucket", "node", "lo", "hi", *[c.alias(k) for k, c in fits.items()]), "members")
 
     def sets_of(some: DataFrame, but: DataFrame | None = None) -> DataFrame:
         """(node, set) of the nodes in some, less those in but; equal sets have one node, so one row of a node does."""
@@ -200,13 +203,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return some.where("coalesce(xa, a) <> coalesce(xb, b)").drop("xa", "xb")
 
     # One pair for each node, with the smallest pivot of its buckets, joins most of a large group; ends that are joined need no estimate.
-    first = members.where("lo < node").groupBy("node").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("a"), F.col("node").alias("b"))
+    first = members.where("lo < node AND lo_fits").groupBy("node").agg(F.min("lo").alias("lo")).select(F.col("lo").alias("a"), F.col("node").alias("b"))
     known = table(_estimates(first, able), "known")
     tried = known.where(f"est >= {NEAR}")
     sets = sets_of(tried)
     links = table(_confirmed(tried, sets, percent), "links")
     root = components(links)
-    pairs = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
+    ways = F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b"), F.col("lo_fits").alias("fits")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b"), F.col("hi_fits").alias("fits")))
+    pairs = members.select(F.explode(ways).alias("p")).select("p.*").where("a < b AND fits").select("a", "b").distinct()
     near = table(_estimates(apart(pairs.join(known, ["a", "b"], "left_anti")), able), "near")
     known, near = known.unionAll(near), near.where(f"est >= {NEAR}")
     sets = sets.unionAll(sets_of(near, but=tried))
