@@ -21,8 +21,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def centred(a: Column) -> Column:
+    # The mean is handed in as an array, or it would be computed anew for each component.
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    return F.transform(a, lambda x: x.cast("double") - mean)
+    return F.zip_with(a, F.array_repeat(mean, F.size(a)), lambda x, m: x.cast("double") - m)
 
 
 def hist_corr(a: Column, b: Column) -> Column:

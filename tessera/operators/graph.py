@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import norm, split_multi
+from tessera.shared import shared_dir
+
+#: How sure a derived edge is, surest first; which type wins a name.
+CONFIDENCE = ["structured", "event", "fingerprint", "text"]
+TYPES = ["artist", "object", "studio", "technique", "collector"]
+#: Node types that stay without edges.
+ALONE = ("artist", "object", "collector")
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir (one of our own where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """df checkpointed in the folder of spark.checkpoint.dir."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -34,7 +41,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1) ->
     seen = nodes.where(F.col("id") == start).select(F.col("id").alias("a"), F.lit(0).alias("distance"))
     for step in range(1, max(1, min(depth, 4)) + 1):
         edge = seen.where(F.col("distance") == step - 1).select("a").join(links, "a").select(F.col("b").alias("a")).distinct()
-        seen = seen.unionAll(edge.join(seen, "a", "left_anti").select("a", F.lit(step).alias("distance")))
+        seen = _cut(seen.unionAll(edge.join(seen, "a", "left_anti").select("a", F.lit(step).alias("distance"))))
     return nodes.join(seen.where("distance > 0").withColumnRenamed("a", "id"), "id").select("id", "label", "type", "distance")
 
 
@@ -61,3 +68,110 @@ def components(edges: DataFrame) -> DataFrame:
         root = moved.select("a", "root")
         if moved.where("moved").isEmpty():
             return root.withColumnRenamed("a", "id")
+
+
+def _order(c: str, values: list[str]):
+    return F.coalesce(*[F.when(F.col(c) == v, i) for i, v in enumerate(values)], F.lit(len(values)))
+
+
+def resolve_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """ref, id for each row of refs (ref): a node's id, else a label (any case), else a label that contains it.
+
+    Earlier types win, then shorter labels, then smaller ids. Contained labels are looked for by the words that a ref is made of:
+    a label must have the ref's longest word inside one of its own words, by runs of three letters.
+    """
+    low = F.lower(F.trim("ref"))
+    refs = refs.select("ref", low.alias("k")).where("k <> ''").distinct()
+    by_id = refs.join(nodes.select("id"), (F.col("id") == F.trim("ref")) | (F.col("id") == F.col("k"))).select("ref", "id").groupBy("ref").agg(F.min("id").alias("id"))
+    named = nodes.select("id", "type", F.lower("label").alias("l"))
+    exact = refs.join(named, F.col("k") == F.col("l")).withColumn("how", F.lit(1))
+    gram = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
+    asked = refs.withColumn("g", F.get(gram(F.col("k")), 0))
+    inside = asked.join(named.withColumn("g", F.explode(F.array_distinct(F.concat(gram(F.col("l")), F.transform(gram(F.col("l")), lambda x: F.left(x, F.lit(2))), F.transform(gram(F.col("l")), lambda x: F.left(x, F.lit(1))))))), "g")
+    inside = inside.where(F.contains("l", F.col("k"))).select(*exact.columns[:-1]).withColumn("how", F.lit(2))
+    first = F.row_number().over(Window.partitionBy("ref").orderBy("how", _order("type", TYPES), F.length("l"), "id"))
+    named_hit = exact.unionByName(inside).withColumn("_n", first).where("_n = 1").select("ref", "id")
+    return by_id.unionByName(named_hit.join(by_id.select("ref"), "ref", "left_anti"))
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, most: int = 64) -> DataFrame:
+    """step (from 0), id, label, type of the nodes on a shortest undirected path; no rows if there is none within `most` steps.
+
+    A breadth-first frontier with the smallest parent of each node; steps are checkpointed and end when `end` is reached.
+    """
+    links = _cut(undirected(edges))
+    seen = _cut(nodes.where(F.col("id") == start).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("step")))
+    for step in range(1, most + 1):
+        if not seen.where(F.col("a") == end).isEmpty():
+            break
+        front = seen.where(F.col("step") == step - 1).select(F.col("a").alias("parent"))
+        found = front.join(links, front.parent == links.a).select(F.col("b").alias("a"), "parent").join(seen.select("a"), "a", "left_anti")
+        found = _cut(found.groupBy("a").agg(F.min("parent").alias("parent")).withColumn("step", F.lit(step)))
+        if found.isEmpty():
+            break
+        seen = seen.unionByName(found)
+    path, at = [], end
+    while at is not None and (row := seen.where(F.col("a") == at).first()) is not None:  # one row for each step of the path
+        path.append((row["step"], at))
+        at = row["parent"]
+    out = nodes.sparkSession.createDataFrame(path, "step int, id string")
+    return F.broadcast(out).join(nodes, "id").select("step", "id", "label", "type")
+
+
+def dedupe_edges(edges: DataFrame, undirected_types: tuple[str, ...] = ("similar_to",)) -> DataFrame:
+    """Each (src, dst, type) once, in the surest derivation; pairs of undirected types with the smaller id first."""
+    flip = F.col("type").isin(*undirected_types) & (F.col("src") > F.col("dst"))
+    put = edges.withColumns({"src": F.when(flip, F.col("dst")).otherwise(F.col("src")), "dst": F.when(flip, F.col("src")).otherwise(F.col("dst"))})
+    first = F.row_number().over(Window.partitionBy("src", "dst", "type").orderBy(_order("confidence", CONFIDENCE), F.desc("weight")))
+    return put.withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def drop_orphans(nodes: DataFrame, edges: DataFrame, keep: tuple[str, ...] = ALONE) -> DataFrame:
+    """nodes less those without an edge, but for the types that stay."""
+    ends = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).distinct()
+    return nodes.join(ends.withColumn("_on", F.lit(True)), "id", "left").where(F.col("type").isin(*keep) | F.col("_on")).drop("_on")
+
+
+def text_mentions(texts: DataFrame, names: DataFrame, least: int = 5) -> DataFrame:
+    """id, name_id of the names of `least` letters or more that a text contains (both in lower case, spaces collapsed).
+
+    texts: id, text. names: name_id, name. A text meets only names that begin with one of its runs of `least` letters, so the
+    join is on equal keys; the whole name is then looked for.
+    """
+    own = names.select("name_id", norm(F.col("name")).alias("n")).where(F.length("n") >= least).withColumn("g", F.left("n", F.lit(least)))
+    t = texts.select("id", norm(F.col("text")).alias("t")).where(F.length("t") >= least)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - (least - 1)), lambda i: F.substring("t", i, F.lit(least))))
+    hits = t.select("id", F.explode(grams).alias("g")).join(own, "g").select("id", "name_id", "n").distinct()
+    return hits.join(t, "id").where(F.contains("t", F.col("n"))).select("id", "name_id")
+
+
+def build_graph(artists: DataFrame, objects: DataFrame, studios: DataFrame, claims: DataFrame, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, label, type; edges: src, dst, type, confidence, weight) by rule.
+
+    artists: id, name, techniques, studio, mentor, bio. objects: id, title, maker, techniques. studios: id, name. claims:
+    object_id, collector_uid, collector_name, status. similar: a, b, similarity of objects. Rules: uses (listed techniques),
+    made_by (the maker's name), based_at (the studio's name, or its name in the bio), studied_under (the mentor's name, or an
+    artist's name in the bio after structured ones), similar_to, collected_by (held claims). A name that several have goes to
+    the smallest id. Edges whose end is no node are left out.
+    """
+    a = artists.select(F.concat(F.lit("artist:"), F.col("id").cast("string")).alias("id"), F.col("name").alias("label"), F.lit("artist").alias("type"), "techniques", "studio", "mentor", "bio")
+    o = objects.select(F.concat(F.lit("object:"), F.col("id").cast("string")).alias("id"), F.col("title").alias("label"), F.lit("object").alias("type"), "techniques", "maker")
+    s = studios.select(F.concat(F.lit("studio:"), F.col("id").cast("string")).alias("id"), F.col("name").alias("label"), F.lit("studio").alias("type"))
+    edge = lambda df, src, dst, kind, sure, weight=None: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"), (F.lit(1.0) if weight is None else F.col(weight)).cast("double").alias("weight"))
+    by_name = lambda df: df.groupBy(norm(F.col("label")).alias("k")).agg(F.min("id").alias("dst")).where("k <> ''")
+    uses = a.select("id", "techniques").unionByName(o.select("id", "techniques")).select("id", F.explode(split_multi(F.col("techniques"))).alias("t"))
+    uses = uses.withColumn("dst", F.concat(F.lit("technique:"), norm(F.col("t"))))
+    techniques = uses.groupBy(F.col("dst").alias("id")).agg(F.min("t").alias("label")).withColumn("type", F.lit("technique"))
+    known_a, known_s = by_name(a), by_name(s)
+    named = lambda df, col, known: df.withColumn("k", norm(F.col(col))).join(known, "k")
+    mentions = lambda known: text_mentions(a.select("id", F.col("bio").alias("text")), known.select(F.col("dst").alias("name_id"), F.col("k").alias("name")))
+    held = claims.where(F.col("status").isin("verified", "approved") & (F.coalesce("collector_uid", F.lit("")) != "")).select(F.concat(F.lit("object:"), F.col("object_id").cast("string")).alias("id"), F.concat(F.lit("collector:"), F.col("collector_uid")).alias("dst"), "collector_name")
+    held = held.join(o.select("id"), "id", "left_semi")
+    collectors = held.groupBy(F.col("dst").alias("id")).agg(F.coalesce(F.min("collector_name"), F.lit("a collector")).alias("label")).withColumn("type", F.lit("collector"))
+    edges = [edge(uses, "id", "dst", "uses", "structured"), edge(named(o, "maker", known_a), "id", "dst", "made_by", "structured"), edge(named(a, "studio", known_s), "id", "dst", "based_at", "structured"), edge(mentions(known_s), "id", "name_id", "based_at", "text")]
+    edges += [edge(named(a, "mentor", known_a), "id", "dst", "studied_under", "structured"), edge(mentions(known_a), "id", "name_id", "studied_under", "text"), edge(held, "id", "dst", "collected_by", "structured")]
+    if similar is not None:
+        edges.append(edge(similar.select(F.concat(F.lit("object:"), F.col("a").cast("string")).alias("id"), F.concat(F.lit("object:"), F.col("b").cast("string")).alias("dst"), F.round("similarity", 3).alias("w")), "id", "dst", "similar_to", "fingerprint", "w"))
+    found = dedupe_edges(reduce(DataFrame.unionByName, edges).where("src <> dst"))
+    nodes = reduce(DataFrame.unionByName, [x.select("id", "label", "type") for x in (a, o, s, techniques, collectors)])
+    return drop_orphans(nodes, found), found

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from difflib import SequenceMatcher
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from tessera.functions.text import fold, norm
+from tessera.operators.graph import components
+
+#: Titles before a name; the ratio of near names.
+TITLES = r"^(mr|mrs|ms|dr|prof|sir|dame)\.? +"
+NEAR = 0.94
 
 
 def pick_canonical(items: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -39,3 +51,164 @@ def change_status(prev: DataFrame, now: DataFrame) -> DataFrame:
     kept = kept.when(F.col("status") == "orphan", F.when(has, "changed").otherwise("new"))
     kept = kept.when((F.col("status") == "failed") & ~F.col("old_hash").eqNullSafe(F.col("content_hash")), F.when(has, "ready").otherwise("new")).otherwise(F.col("status"))
     return both.select("key", F.when(F.col("is").isNull(), F.when(has, "orphan").otherwise("dropped")).when(F.col("was").isNull(), "new").otherwise(kept).alias("status"))
+
+
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of characters in common blocks, as difflib counts them."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
+
+
+def name_key(c: Column) -> Column:
+    """A name's folded words in order of the alphabet, without a title."""
+    return F.array_join(F.array_sort(F.split(fold(F.regexp_replace(F.lower(F.trim(c)), TITLES, "")), " ")), " ")
+
+
+def _same(items: DataFrame, key: str, *by: str) -> DataFrame:
+    """a, b: each row of a group tied to the group's smallest key; groups are summed up first, so a hot name is no hot task."""
+    own = items.where(F.col(by[-1]) != "")
+    first = own.groupBy(*by).agg(F.min(key).alias("_first"))
+    return own.join(first, list(by)).select(F.col("_first").alias("a"), F.col(key).alias("b")).where("a <> b")
+
+
+def near_names(df: DataFrame, key: str, name: str, block: str, threshold: float = NEAR) -> DataFrame:
+    """a, b: keys whose names differ, begin alike (block) and are near: their words differ by one at most, or one name's words are
+    all in the other, and the ratio reaches the threshold. Distinct names are compared, in one block if they share a word."""
+    names = df.select(block, F.col(name).alias("n"), F.col(key).alias("k")).where("n <> ''").groupBy(block, "n").agg(F.min("k").alias("k")).withColumn("w", F.split("n", " "))
+    # Names whose words differ by one at most share a word, unless both are single words.
+    parts = F.when(F.size("w") == 1, F.array(F.lit(""), F.col("n"))).otherwise(F.array_distinct("w"))
+    spread = names.withColumn("part", F.explode(parts))
+    x, y = spread.toDF("block", "na", "ka", "wa", "part"), spread.toDF("block", "nb", "kb", "wb", "part")
+    shares = F.size(F.array_except("wa", "wb")) + F.size(F.array_except("wb", "wa"))
+    inside = (F.size(F.array_except("wa", "wb")) == 0) | (F.size(F.array_except("wb", "wa")) == 0)
+    most = 2 * F.least(F.length("na"), F.length("nb")) / (F.length("na") + F.length("nb"))
+    single = (F.size("wa") == 1) & (F.size("wb") == 1)
+    pairs = x.join(y, ["block", "part"]).where("na < nb").where((shares <= 1) | inside | single).where(most >= threshold).select("na", "nb", "ka", "kb", (shares <= 1).alias("one"), inside.alias("inside")).distinct()
+    return pairs.where("one OR inside").withColumn("ratio", ratio("na", "nb")).where(F.col("ratio") >= threshold).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ratio")
+
+
+def cluster_items(items: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """items (key, kind, label, city) with cluster: the smallest key of those that are the same.
+
+    The same are: equal names (studios: and city; all of a name if it has one city at most), a shared link (links: key, link),
+    and near names that begin with the same letter. Kinds never mix.
+    """
+    own = items.withColumn("name", name_key(F.col("label"))).withColumn("city", F.coalesce("city", F.lit("")))
+    studio = F.col("kind") == "studio"
+    placed = own.withColumn("_city", F.when(studio, F.col("city")).otherwise(""))
+    edges = [_same(placed, "key", "kind", "_city", "name")]
+    one_city = own.where(studio & (F.col("name") != "")).groupBy("name").agg(F.countDistinct(F.nullif("city", F.lit(""))).alias("n")).where("n <= 1").select("name")
+    edges.append(_same(own.where(studio).join(one_city, "name", "left_semi"), "key", "kind", "name"))
+    if links is not None:
+        edges.append(_same(own.join(links, "key"), "key", "kind", "link"))
+    first = F.concat_ws("|", "kind", F.left("name", F.lit(1)))
+    edges.append(near_names(own.withColumn("_block", first), "key", "name", "_block").select("a", "b"))
+    root = components(reduce(DataFrame.unionByName, edges).select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("key"), "root")
+    return items.join(root, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root")
+
+
+def apply_review(items: DataFrame, review: DataFrame) -> DataFrame:
+    """items (key, label, description, aliases, claims: array<struct<p, v>>) with a reviewer's edits.
+
+    review: key, label, description, aliases (null: as it is), drop (properties), add (claims). Added claims come last, once.
+    """
+    r = review.select("key", *[F.col(c).alias(f"_{c}") for c in ("label", "description", "aliases", "drop", "add")])
+    both = items.join(r, "key", "left")
+    left = F.filter("claims", lambda c: ~F.coalesce(F.array_contains("_drop", c["p"]), F.lit(False)))
+    claims = F.when(F.col("_add").isNull(), left).otherwise(F.array_distinct(F.concat(left, "_add")))
+    text = {c: F.coalesce(f"_{c}", c) for c in ("label", "description", "aliases")}
+    return both.withColumns(text | {"claims": claims}).select(*items.columns)
+
+
+def reconcile(queries: DataFrame, items: DataFrame, top: int = 5, least: float = 60.0) -> DataFrame:
+    """query, rank, key, score, match: candidates for each query by name (items: key, label, aliases).
+
+    100 for the label, 99 for an alias, else the best ratio in percent, 90 at least if all words of the query are in the label.
+    A query meets the names that share a word or the first two letters with it. Two exact candidates match neither.
+    """
+    parts = lambda c: F.array_distinct(F.concat(F.split(c, " "), F.array(F.left(c, F.lit(2)))))
+    q = queries.select("query", norm(F.col("query")).alias("nq")).where("nq <> ''").distinct()
+    names = items.select("key", "label", F.explode(F.concat(F.array(F.struct(norm(F.col("label")).alias("n"), F.lit(True).alias("own"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(norm(a).alias("n"), F.lit(False).alias("own"))))).alias("a")).select("key", "label", "a.*")
+    met = q.withColumn("part", F.explode(parts(F.col("nq")))).join(names.withColumn("part", F.explode(parts(F.col("n")))), "part").select("query", "nq", "key", "label", "n", "own").distinct()
+    subset = F.col("own") & (F.size(F.array_except(F.split("nq", " "), F.split("n", " "))) == 0)
+    share = F.when(F.col("nq") == F.col("n"), F.when(F.col("own"), 100.0).otherwise(99.0)).otherwise(F.greatest(100 * ratio("nq", "n"), F.when(subset, 90.0).otherwise(0.0)))
+    scored = met.withColumn("s", share).groupBy("query", "key", "label").agg(F.round(F.max("s"), 1).alias("score")).where(F.col("score") >= least)
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "label", "key")
+    best = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+    exact = F.count_if(F.col("score") >= 99).over(Window.partitionBy("query"))
+    return best.select("query", "rank", "key", "score", ((F.col("score") >= 99) & (exact == 1)).alias("match"))
+
+
+def alias_match(people: DataFrame, index: DataFrame) -> DataFrame:
+    """key, status, index_id: one namesake by label or alias is matched, several are unsure, none is unmatched.
+
+    people: key, label, aliases. index: index_id, label, aliases.
+    """
+    every = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), norm))).alias("n")).where("n <> ''")
+    hits = every(people, "key").join(every(index, "index_id"), "n").groupBy("key").agg(F.countDistinct("index_id").alias("n"), F.min("index_id").alias("first"))
+    status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "unsure").otherwise("unmatched")
+    return people.select("key").join(hits, "key", "left").select("key", status.alias("status"), F.when(F.col("n") == 1, F.col("first")).alias("index_id"))
+
+
+def match_by_name(left: DataFrame, right: DataFrame, left_col: str, right_col: str, priority: list[Column]) -> DataFrame:
+    """left with the columns of the right row whose name is equal (spaces and case aside), the first by priority."""
+    first = F.row_number().over(Window.partitionBy("_k").orderBy(*priority))
+    own = right.withColumn("_k", norm(F.col(right_col))).where("_k <> ''").withColumn("_n", first).where("_n = 1").drop("_n")
+    return left.withColumn("_k", norm(F.col(left_col))).join(own, "_k", "left").drop("_k")
+
+
+def merge_by_name(sources: list[DataFrame], name: str = "name") -> DataFrame:
+    """One row for each name (spaces and case aside): its first spelling in order, and the sums of the other columns."""
+    metrics = list(dict.fromkeys(c for s in sources for c in s.columns if c != name))
+    tagged = [s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)]
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged).withColumn("_k", norm(F.col(name))).where("_k <> ''")
+    return both.groupBy("_k").agg(F.min_by(name, F.struct("_source", name)).alias(name), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in metrics]).drop("_k")
+
+
+def decide_links(found: DataFrame, places: list[str]) -> DataFrame:
+    """key, status, candidate: of candidates with the exact name, those of the narrowest place that agrees.
+
+    found: key, label, candidate, name, and for each of places (narrowest first) a boolean or null (not known). One left is
+    matched, several are unsure, none is unmatched; keys without a candidate name are unmatched too.
+    """
+    level = F.coalesce(*[F.when(F.col(p), i) for i, p in enumerate(places)], F.lit(len(places)))
+    against = reduce(lambda a, b: a | b, [F.coalesce(~F.col(p), F.lit(False)) for p in places])
+    exact = found.where(norm(F.col("label")) == norm(F.col("name"))).where(~(against & (level == len(places)))).withColumn("level", level)
+    best = exact.withColumn("best", F.min("level").over(Window.partitionBy("key"))).where("level = best")
+    own = best.groupBy("key").agg(F.countDistinct("candidate").alias("n"), F.min("candidate").alias("first"))
+    status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "unsure").otherwise("unmatched")
+    return found.select("key").distinct().join(own, "key", "left").select("key", status.alias("status"), F.when(F.col("n") == 1, F.col("first")).alias("candidate"))
+
+
+def drift_report(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """key, drift: how the published copy differs from ours (key, label, claims: array<string>): missing, label, added, ok.
+
+    added: it has statements that ours lacks. A label that differs is named before statements.
+    """
+    t = theirs.select("key", F.lit(True).alias("there"), F.col("label").alias("tl"), F.col("claims").alias("tc"))
+    kind = F.when(F.col("there").isNull(), "missing").when(~F.col("label").eqNullSafe(F.col("tl")), "label").when(F.size(F.array_except("tc", "claims")) > 0, "added").otherwise("ok")
+    return ours.join(t, "key", "left").select("key", kind.alias("drift"))
+
+
+def property_usage(items: DataFrame) -> DataFrame:
+    """p, n, n_items of the claims' properties."""
+    return items.select("key", F.explode("claims").alias("c")).groupBy(F.col("c.p").alias("p")).agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_items"))
+
+
+def write_plan(items: DataFrame, live: DataFrame) -> DataFrame:
+    """key, action of a dry run: create, update, skip-current, skip-exists or skip-unresolved.
+
+    items: key, qid, content_hash, pushed_hash, refs (keys that statements point to), canonical (another key, or null). live: key,
+    qid of what exists already. A reference follows `canonical` up to five times and must end at an item that has, or in this plan
+    gets, an id. An item without qid whose key exists is not created again.
+    """
+    at = items.select("key", F.coalesce("canonical", "key").alias("to"))
+    for _ in range(4):
+        step = items.select(F.col("key").alias("to"), F.coalesce("canonical", "key").alias("next"))
+        at = at.join(step, "to", "left").select("key", F.coalesce("next", "to").alias("to"))
+    ends = at.join(items.select(F.col("key").alias("to"), F.lit(True).alias("known")), "to", "left").select(F.col("key").alias("ref"), F.coalesce("known", F.lit(False)).alias("known"))
+    refs = items.select("key", F.explode("refs").alias("ref")).join(ends, "ref", "left").groupBy("key").agg(F.bool_or(~F.coalesce("known", F.lit(False))).alias("open"))
+    both = items.join(refs, "key", "left").join(live.select("key", F.lit(True).alias("exists")), "key", "left")
+    has = F.coalesce("qid", F.lit("")) != ""
+    action = F.when(F.coalesce("open", F.lit(False)), "skip-unresolved").when(~has & F.col("exists").isNotNull(), "skip-exists").when(~has, "create").when(F.col("content_hash").eqNullSafe(F.col("pushed_hash")), "skip-current").otherwise("update")
+    return both.select("key", action.alias("action"))

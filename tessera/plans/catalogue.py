@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -14,36 +12,9 @@ from tessera.operators import profile as P
 from tessera.operators import registry as R
 from tessera.operators import resolution as E
 from tessera.operators import usage as U
-from tessera.plans.standins import standin, with_standins
+from tessera.plans.base import ORACLES, QUERIES, Tables, query
 from tessera.streaming import usage as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = with_standins(sql)
-        return f
-
-    return keep
-
-
-class Tables:
-    """Tables and stand-ins by name."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._at = (spark, sf_dir)
-
-    def __getitem__(self, name: str) -> DataFrame:
-        return self._at[0].read.parquet(f"{self._at[1]}/{name}.parquet")
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return standin(*self._at, name)
-
-
 # --- gate, search, pages ---------------------------------------------------------------------
 
 
@@ -531,3 +502,8 @@ def stream_usage_daily(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(spark, sf_dir):
     return S.landed(S.first_seen(S.arrived(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"], "3650 days"), "seen")
+
+
+from tessera.plans import matching, relations, tables, workflow  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]

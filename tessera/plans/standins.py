@@ -20,7 +20,10 @@ STANDINS: dict[str, tuple[list[str], str]] = {
     "edges": (["supplier", "nation", "region", "customer"], "SELECT concat('supplier:', CAST(s_suppkey AS STRING)) AS src, concat('nation:', CAST(s_nationkey AS STRING)) AS dst, 'based_at' AS type FROM supplier UNION ALL SELECT concat('customer:', CAST(c_custkey AS STRING)), concat('nation:', CAST(c_nationkey AS STRING)), 'based_at' FROM customer UNION ALL SELECT concat('nation:', CAST(n_nationkey AS STRING)), concat('region:', CAST(n_regionkey AS STRING)), 'part_of' FROM nation"),
     "items": (["supplier", "customer", "part"], "SELECT concat('reg:studio:', CAST(s_suppkey AS STRING)) AS key, 'studio' AS kind, s_name AS label, CAST(s_nationkey AS STRING) AS city, CAST(s_suppkey AS BIGINT) AS n FROM supplier UNION ALL SELECT concat('reg:person:', CAST(c_custkey AS STRING)), 'person', concat('Person ', CAST(c_custkey % 700 AS STRING)), CAST(c_nationkey AS STRING), CAST(c_custkey AS BIGINT) FROM customer UNION ALL SELECT concat('reg:type:', CAST(p_partkey AS STRING)), 'type', p_type, '', CAST(p_partkey AS BIGINT) FROM part"),
     "seasons": (["orders"], "SELECT CAST(year(o_orderdate) AS INT) AS season_id, CASE WHEN max(year(o_orderdate)) >= 1998 THEN 'open' ELSE 'closed' END AS status, min(o_orderdate) AS starts, count(*) AS n FROM orders GROUP BY CAST(year(o_orderdate) AS INT)"),
-    "vectors": (["embeddings"], "SELECT vec_id, embedding, label FROM embeddings"),
+    "people": (["customer", "nation"], "SELECT CAST(c_custkey AS STRING) AS id, concat('Maker ', CAST(c_custkey % 400 AS STRING), ' ', n_name) AS name, concat(' ', c_mktsegment, ', ', n_name, '|', c_mktsegment) AS techniques, concat('supplier#', lpad(CAST(c_custkey % 97 AS STRING), 9, '0')) AS studio, CASE WHEN c_custkey % 5 = 0 THEN concat('MAKER ', CAST((c_custkey + 25) % 400 AS STRING), '  ', n_name) END AS mentor, concat('Learnt from maker ', CAST(c_custkey % 31 AS STRING), ' nation_', CAST(c_custkey % 7 AS STRING), ' at Supplier#00000000', CAST(c_custkey % 10 AS STRING), '.') AS bio FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+    "pieces": (["part"], "SELECT CAST(p_partkey AS STRING) AS id, p_name AS title, concat('maker ', CAST(p_partkey % 500 AS STRING), ' NATION_', CAST(p_partkey % 25 AS STRING)) AS maker, p_type AS techniques FROM part"),
+    "shops": (["supplier"], "SELECT CAST(s_suppkey AS STRING) AS id, s_name AS name FROM supplier"),
+    "found_by": (["lineitem"], "SELECT DISTINCT CAST(l_partkey AS STRING) AS object_id, CAST(l_suppkey AS STRING) AS collector_uid, concat('Collector ', CAST(l_suppkey AS STRING)) AS collector_name, CASE l_returnflag WHEN 'R' THEN 'verified' WHEN 'A' THEN 'pending' ELSE 'approved' END AS status FROM lineitem WHERE l_linenumber = 1"),
 }
 
 
@@ -42,4 +45,6 @@ def with_standins(sql: str) -> str:
     if not used:
         return sql
     ctes = ", ".join(f"{n} AS ({STANDINS[n][1]})" for n in used)
+    if sql.strip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql.strip()[15:]}"
     return f"WITH {ctes}, {sql.strip()[5:]}" if sql.strip().upper().startswith("WITH ") else f"WITH {ctes} {sql}"
