@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import collapse, norm, rarity, rarity_points
+from tessera.shared import cut
 
 HELD = ("verified", "approved")
 
@@ -31,6 +32,16 @@ def rank_board(df: DataFrame, partition: list[str], order: list[Column]) -> Data
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
 
 
+def rank_all(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds rank over all rows: they are sorted in ranges, ranked in each range and offset by the rows before it."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(before.select("_part", "_before")), "_part")
+    return ranked.withColumn("rank", (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).cast("int")).drop("_at", "_part", "_before")
+
+
 def peoples_choice(counted_: DataFrame) -> DataFrame:
     return rank_board(counted_, ["season_id"], [F.desc("vote_count"), F.asc_nulls_first("created_at"), F.asc("id")])
 
@@ -87,8 +98,7 @@ def collectors_board(claims: DataFrame, entries: DataFrame, badges: DataFrame) -
     own = c.groupBy("collector_uid").agg(F.coalesce(F.max("collector_name"), F.lit("A collector")).alias("collector_name"), F.countDistinct("object_row_id").alias("pieces"), F.countDistinct(F.nullif(F.col("studio"), F.lit(""))).alias("studios"), F.countDistinct("season_id").alias("seasons"), F.min("created_at").alias("since"))
     b = badges.groupBy(F.col("uid").alias("collector_uid")).agg(F.count("*").alias("badges"))
     out = own.join(b, "collector_uid", "left").fillna(0, ["badges"])
-    # One row of each collector: a board of all of them is ranked as a whole.
-    return rank_board(out, [], [F.desc("pieces"), F.desc("studios"), F.desc("badges"), F.asc("since"), F.asc("collector_uid")])
+    return rank_all(out, [F.desc("pieces"), F.desc("studios"), F.desc("badges"), F.asc("since"), F.asc("collector_uid")])
 
 
 def award_standings(entries: DataFrame, categories: DataFrame, award_votes: DataFrame, top: int = 5) -> DataFrame:
@@ -119,7 +129,9 @@ def first_timers(entries: DataFrame) -> DataFrame:
 
 def prize_standings(counted_: DataFrame, claims: DataFrame, entries: DataFrame, top: int = 3) -> DataFrame:
     """season_id, awarded_for, rank, name, value: the first `top` of every board that a prize can be awarded for."""
-    studios, makers, points = studio_board(counted_).where("NOT independent"), maker_board(counted_), points_board(counted_, claims)
+    # Written once, as twelve boards read them.
+    counted_ = cut(counted_)
+    studios, makers, points = cut(studio_board(counted_).where("NOT independent").drop("rank")), cut(maker_board(counted_).drop("rank")), cut(points_board(counted_, claims).drop("rank"))
     rookies = makers.join(first_timers(entries).withColumnRenamed("artist_uid", "maker"), ["season_id", "maker"], "left_semi")
 
     def board(kind: str, df: DataFrame, name: str, metric: str, then: list[Column]) -> DataFrame:
@@ -176,6 +188,11 @@ def completeness(df: DataFrame, fields: dict[str, tuple[int, Column]]) -> DataFr
 LEVELS = ((80, "on the record"), (60, "well known"), (40, "known"), (20, "a sketch"), (0, "barely known"))
 
 
+def level(score: Column) -> Column:
+    """The word for a knowledge score."""
+    return F.coalesce(*[F.when(score >= least, word) for least, word in LEVELS])
+
+
 def knowledge_score(percent: Column, pieces: Column, registered: Column, events: Column, votes: Column, collected: Column, awards: Column, prizes: Column, badges_: Column, external: Column) -> Column:
     """0 to 100: profile 40, pieces 20, registered 10, events 10, recognition 10, outside links 10; roundings half to even."""
     profile = F.bround(0.4 * percent)

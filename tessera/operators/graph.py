@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import norm, split_multi
-from tessera.shared import shared_dir
+from tessera.shared import cut
 
 #: How sure a derived edge is, surest first; which type wins a name.
 CONFIDENCE = ["structured", "event", "fingerprint", "text"]
@@ -17,12 +17,6 @@ TYPES = ["artist", "object", "studio", "technique", "collector"]
 ALONE = ("artist", "object", "collector")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, without loops: a, b."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -41,7 +35,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1) ->
     seen = nodes.where(F.col("id") == start).select(F.col("id").alias("a"), F.lit(0).alias("distance"))
     for step in range(1, max(1, min(depth, 4)) + 1):
         edge = seen.where(F.col("distance") == step - 1).select("a").join(links, "a").select(F.col("b").alias("a")).distinct()
-        seen = _cut(seen.unionAll(edge.join(seen, "a", "left_anti").select("a", F.lit(step).alias("distance"))))
+        seen = cut(seen.unionAll(edge.join(seen, "a", "left_anti").select("a", F.lit(step).alias("distance"))))
     return nodes.join(seen.where("distance > 0").withColumnRenamed("a", "id"), "id").select("id", "label", "type", "distance")
 
 
@@ -58,13 +52,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs every node below the smallest root near it, then below that root's own root, so paths halve; the
     loop ends when nothing moves. Rounds are checkpointed.
     """
-    links = _cut(undirected(edges))
-    root = _cut(links.groupBy("a").agg(F.least("a", F.min("b")).alias("root")))
+    links = cut(undirected(edges))
+    root = cut(links.groupBy("a").agg(F.least("a", F.min("b")).alias("root")))
     while True:
         near = links.join(root.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = root.join(near, "a").select("a", F.least("root", "near").alias("up"), "root")
         above = root.select(F.col("a").alias("up"), F.col("root").alias("top"))
-        moved = _cut(step.join(above, "up").select("a", F.least("up", "top").alias("root"), (F.least("up", "top") != F.col("root")).alias("moved")))
+        moved = cut(step.join(above, "up").select("a", F.least("up", "top").alias("root"), (F.least("up", "top") != F.col("root")).alias("moved")))
         root = moved.select("a", "root")
         if moved.where("moved").isEmpty():
             return root.withColumnRenamed("a", "id")
@@ -99,14 +93,14 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, most
 
     A breadth-first frontier with the smallest parent of each node; steps are checkpointed and end when `end` is reached.
     """
-    links = _cut(undirected(edges))
-    seen = _cut(nodes.where(F.col("id") == start).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("step")))
+    links = cut(undirected(edges))
+    seen = cut(nodes.where(F.col("id") == start).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("step")))
     for step in range(1, most + 1):
         if not seen.where(F.col("a") == end).isEmpty():
             break
         front = seen.where(F.col("step") == step - 1).select(F.col("a").alias("parent"))
         found = front.join(links, front.parent == links.a).select(F.col("b").alias("a"), "parent").join(seen.select("a"), "a", "left_anti")
-        found = _cut(found.groupBy("a").agg(F.min("parent").alias("parent")).withColumn("step", F.lit(step)))
+        found = cut(found.groupBy("a").agg(F.min("parent").alias("parent")).withColumn("step", F.lit(step)))
         if found.isEmpty():
             break
         seen = seen.unionByName(found)

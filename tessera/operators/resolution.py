@@ -72,19 +72,16 @@ def _same(items: DataFrame, key: str, *by: str) -> DataFrame:
 
 
 def near_names(df: DataFrame, key: str, name: str, block: str, threshold: float = NEAR) -> DataFrame:
-    """a, b: keys whose names differ, begin alike (block) and are near: their words differ by one at most, or one name's words are
-    all in the other, and the ratio reaches the threshold. Distinct names are compared, in one block if they share a word."""
+    """a, b: keys whose names differ, begin alike (block) and are near: all but one of their words are shared, or one name's words
+    are all in the other, and the ratio reaches the threshold. Such names share a word, so distinct names meet by block and word."""
     names = df.select(block, F.col(name).alias("n"), F.col(key).alias("k")).where("n <> ''").groupBy(block, "n").agg(F.min("k").alias("k")).withColumn("w", F.split("n", " "))
-    # Names whose words differ by one at most share a word, unless both are single words.
-    parts = F.when(F.size("w") == 1, F.array(F.lit(""), F.col("n"))).otherwise(F.array_distinct("w"))
-    spread = names.withColumn("part", F.explode(parts))
+    spread = names.withColumn("part", F.explode(F.array_distinct("w")))
     x, y = spread.toDF("block", "na", "ka", "wa", "part"), spread.toDF("block", "nb", "kb", "wb", "part")
     shares = F.size(F.array_except("wa", "wb")) + F.size(F.array_except("wb", "wa"))
     inside = (F.size(F.array_except("wa", "wb")) == 0) | (F.size(F.array_except("wb", "wa")) == 0)
     most = 2 * F.least(F.length("na"), F.length("nb")) / (F.length("na") + F.length("nb"))
-    single = (F.size("wa") == 1) & (F.size("wb") == 1)
-    pairs = x.join(y, ["block", "part"]).where("na < nb").where((shares <= 1) | inside | single).where(most >= threshold).select("na", "nb", "ka", "kb", (shares <= 1).alias("one"), inside.alias("inside")).distinct()
-    return pairs.where("one OR inside").withColumn("ratio", ratio("na", "nb")).where(F.col("ratio") >= threshold).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ratio")
+    pairs = x.join(y, ["block", "part"]).where("na < nb").where((shares <= 1) | inside).where(most >= threshold).select("na", "nb", "ka", "kb").distinct()
+    return pairs.withColumn("ratio", ratio("na", "nb")).where(F.col("ratio") >= threshold).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ratio")
 
 
 def cluster_items(items: DataFrame, links: DataFrame | None = None) -> DataFrame:

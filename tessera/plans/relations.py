@@ -10,7 +10,7 @@ from tessera.operators import resolution as E
 from tessera.plans.base import Tables, query
 
 _N = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
-_GRAPH = f"""a AS (SELECT 'artist:' || id AS id, {_N.format("name")} AS k, * EXCLUDE (id) FROM people), o AS (SELECT 'object:' || id AS id, * EXCLUDE (id) FROM pieces), s AS (SELECT 'studio:' || id AS id, {_N.format("name")} AS k FROM shops),
+_GRAPH = f"""a AS (SELECT 'artist:' || id AS id, {_N.format("name")} AS k, * EXCLUDE (id) FROM people), o AS (SELECT 'object:' || id AS id, * EXCLUDE (id) FROM pieces), s AS (SELECT 'studio:' || id AS id, {_N.format("name")} AS k FROM studios_),
  ka AS (SELECT k, min(id) AS dst FROM a GROUP BY 1), ks AS (SELECT k, min(id) AS dst FROM s GROUP BY 1),
  uses AS (SELECT id AS src, 'technique:' || lower(trim(unnest(string_split_regex(techniques, '[,|;]')))) AS dst FROM (SELECT id, techniques FROM a UNION ALL SELECT id, techniques FROM o)),
  held AS (SELECT DISTINCT 'object:' || object_id AS src, 'collector:' || collector_uid AS dst FROM found_by WHERE status IN ('verified', 'approved')),
@@ -23,7 +23,7 @@ _GRAPH = f"""a AS (SELECT 'artist:' || id AS id, {_N.format("name")} AS k, * EXC
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     t = Tables(spark, sf_dir)
-    return N.build_graph(t.people, t.pieces, t.shops, t.found_by)
+    return N.build_graph(t.people, t.pieces, t.studios_, t.found_by)
 
 
 @query(f"WITH {_GRAPH} SELECT * FROM ge")

@@ -22,7 +22,7 @@ STANDINS: dict[str, tuple[list[str], str]] = {
     "seasons": (["orders"], "SELECT CAST(year(o_orderdate) AS INT) AS season_id, CASE WHEN max(year(o_orderdate)) >= 1998 THEN 'open' ELSE 'closed' END AS status, min(o_orderdate) AS starts, count(*) AS n FROM orders GROUP BY CAST(year(o_orderdate) AS INT)"),
     "people": (["customer", "nation"], "SELECT CAST(c_custkey AS STRING) AS id, concat('Maker ', CAST(c_custkey % 400 AS STRING), ' ', n_name) AS name, concat(' ', c_mktsegment, ', ', n_name, '|', c_mktsegment) AS techniques, concat('supplier#', lpad(CAST(c_custkey % 97 AS STRING), 9, '0')) AS studio, CASE WHEN c_custkey % 5 = 0 THEN concat('MAKER ', CAST((c_custkey + 25) % 400 AS STRING), '  ', n_name) END AS mentor, concat('Learnt from maker ', CAST(c_custkey % 31 AS STRING), ' nation_', CAST(c_custkey % 7 AS STRING), ' at Supplier#00000000', CAST(c_custkey % 10 AS STRING), '.') AS bio FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "pieces": (["part"], "SELECT CAST(p_partkey AS STRING) AS id, p_name AS title, concat('maker ', CAST(p_partkey % 500 AS STRING), ' NATION_', CAST(p_partkey % 25 AS STRING)) AS maker, p_type AS techniques FROM part"),
-    "shops": (["supplier"], "SELECT CAST(s_suppkey AS STRING) AS id, s_name AS name FROM supplier"),
+    "studios_": (["supplier"], "SELECT CAST(s_suppkey AS STRING) AS id, s_name AS name FROM supplier"),
     "found_by": (["lineitem"], "SELECT DISTINCT CAST(l_partkey AS STRING) AS object_id, CAST(l_suppkey AS STRING) AS collector_uid, concat('Collector ', CAST(l_suppkey AS STRING)) AS collector_name, CASE l_returnflag WHEN 'R' THEN 'verified' WHEN 'A' THEN 'pending' ELSE 'approved' END AS status FROM lineitem WHERE l_linenumber = 1"),
 }
 

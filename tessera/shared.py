@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -21,3 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed: its lineage ends there, and what reads it several times doesn't compute it again."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

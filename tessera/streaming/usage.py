@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.functions.text import visitor_hash
 from tessera.shared import shared_dir
 
 
@@ -39,3 +43,109 @@ def daily_usage(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
 def first_seen(stream: DataFrame, keys: list[str], watermark: str) -> DataFrame:
     """The keys, each once while the watermark remembers it."""
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys).select(*keys)
+
+
+def ingested(stream: DataFrame, salt: str) -> DataFrame:
+    """Events with their day (UTC) and a visitor hash that changes from day to day; texts are cut to 60 characters."""
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("ts") / 86400).cast("int"))
+    return stream.withColumn("day", day).withColumn("event_type", F.left("event_type", F.lit(60))).withColumn("visitor", visitor_hash(F.col("day"), F.col("user_id"), salt))
+
+
+def sliding_usage(stream: DataFrame, window: str, slide: str, watermark: str = "2 days") -> DataFrame:
+    """ends (of the window), event_type, n, visitors (approximate) of each window that the watermark has passed."""
+    sums = stream.withWatermark("ts", watermark).groupBy(F.window("ts", window, slide), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("visitors"))
+    return sums.select(F.col("window.end").alias("ends"), "event_type", "n", "visitors")
+
+
+def visitor_sessions(stream: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
+    """user_id, starts, n: runs of a visitor's events with no gap longer than `gap`."""
+    runs = stream.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return runs.select("user_id", F.col("session_window.start").alias("starts"), "n")
+
+
+class _Votes(StatefulProcessor):
+    """A voter's standing votes in a season: a toggle takes a vote back or casts one, up to the cap."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.standing = handle.getMapState("standing", "entry_id long", "id long")
+        self.count = handle.getValueState("count", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        n = self.count.get()[0] if self.count.exists() else 0
+        for pdf in rows:
+            for id_, entry in pdf.sort_values("id")[["id", "entry_id"]].itertuples(index=False):
+                if self.standing.containsKey((int(entry),)):
+                    self.standing.removeKey((int(entry),))
+                    n, change = n - 1, "removed"
+                elif n < self.cap:
+                    self.standing.updateValue((int(entry),), (int(id_),))
+                    n, change = n + 1, "cast"
+                else:
+                    change = "over_cap"
+                out.append((int(id_), int(key[0]), str(key[1]), int(entry), change))
+        self.count.update((n,))
+        yield pd.DataFrame(out, columns=["id", "season_id", "voter_uid", "entry_id", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def vote_state(stream: DataFrame, cap: int) -> DataFrame:
+    """id, season_id, voter_uid, entry_id, change (cast, removed, over_cap) of each toggle, in order of id within what arrives
+    together. State is kept by voter and season in RocksDB (which the session is set to): a map of standing votes, at most `cap`."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = stream.select("id", F.col("season_id").cast("long").alias("season_id"), "voter_uid", "entry_id").groupBy("season_id", "voter_uid")
+    return own.transformWithStateInPandas(_Votes(cap), "id long, season_id long, voter_uid string, entry_id long, change string", "Append", "none")
+
+
+def folded(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key after all that has arrived: each micro-batch is merged into a table of the batches before."""
+    spark = stream.sparkSession
+    at = _folder(spark, name)
+
+    def merge(batch: DataFrame, n: int) -> None:
+        both = batch if n == 0 else batch.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows/{n - 1}").unionByName(batch)
+        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+        both.withColumn("_n", last).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{at}/rows/{n}")
+
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(merge).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/{last['batchId']}")
+
+
+def latest_per_source(stream: DataFrame, source: str, order: str) -> DataFrame:
+    """The newest value of each source: what a page shows while a source is silent."""
+    return folded(stream, "latest", [source], order)
+
+
+def publish_feed(decisions: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """The rows of base whose last decision (a stream of key, status, seq) is to approve them."""
+    last = folded(decisions, "decisions", [key], "seq")
+    return base.join(last.where("status = 'approved'").select(key), key, "left_semi")
+
+
+def registration_state(moves: DataFrame) -> DataFrame:
+    """id, status of registrations after a stream of moves (id, seq, move): host_yes, admin_yes, no.
+
+    A registration waits for the host, then for the admin; moves that don't fit where it stands change nothing.
+    """
+    spark = moves.sparkSession
+    at = _folder(spark, "registrations")
+    schema = f"id {dict(moves.dtypes)['id']}, status string"
+
+    def merge(batch: DataFrame, n: int) -> None:
+        old = batch.sparkSession.read.schema(schema).parquet(f"{at}/rows/{n - 1}") if n else batch.select("id", F.lit("pending_host").alias("status")).limit(0)
+        steps = batch.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "move"))), lambda m: m["move"]).alias("moves"))
+        start = F.coalesce("status", F.lit("pending_host"))
+        to = F.aggregate("moves", start, lambda s, m: F.when(s.isin("approved", "rejected"), s).when(m == "no", "rejected").when((s == "pending_host") & (m == "host_yes"), "host_approved").when((s == "host_approved") & (m == "admin_yes"), "approved").otherwise(s))
+        both = old.join(steps, "id", "full").select("id", F.when(F.col("moves").isNull(), F.col("status")).otherwise(to).alias("status"))
+        both.write.mode("overwrite").parquet(f"{at}/rows/{n}")
+
+    query = moves.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(merge).start()
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/rows/{query.lastProgress['batchId']}")
