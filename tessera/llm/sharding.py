@@ -28,29 +28,30 @@ def _binned_rank(rows: DataFrame, by: list[str], bin_: str, order: list[str], na
 def interleave(rows: DataFrame, shards: int, key: str = "doc_id", stratum: str = "source", seed: int = 17) -> DataFrame:
     """Adds shard (0 to shards - 1) and slot (from 0, gapless in each shard) to rows; other columns stay.
 
-    Rows are shuffled by a seeded hash of the key within each stratum; the r-th of n rows has the fractional rank
+    Rows are shuffled by a seeded hash of the key and the row within each stratum; the r-th of n rows has the fractional rank
     (r - 0.5) / n; all rows sorted by it are cut into runs whose lengths differ by one at most. So every shard has each
-    stratum in proportion, one row more or less. A null stratum is a stratum, a null key a key; rows that are equal in
-    both are told apart by nothing, and any of them may come first. The result depends on the rows alone.
+    stratum in proportion, one row more or less. A null stratum is a stratum, a null key a key; rows that are equal in all are
+    told apart by nothing, and any of them may come first. The result depends on the rows alone. Columns named shard or slot
+    are replaced, other names don't matter. An empty table stays empty.
     """
+    others = [c for c in rows.columns if c not in ("shard", "slot")]
     n = rows.count()
     if not n:
-        return rows.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return rows.select(*others, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     bins = -(-n // BIN)
-    s = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_s")
-    known = F.col(stratum).isNotNull().alias("_known")
-    deal = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    work = rows.select("*", s, known, deal.alias("_deal")).withColumn("_bin", F.floor(F.conv(F.substring("_deal", 1, 8), 16, 10).cast("double") / 2**32 * bins).cast("long"))
+    put = rows.select(F.col(key).alias("_key"), F.col(stratum).cast("string").alias("_stratum"), F.xxhash64(*rows.columns).alias("_own"), F.struct(*others).alias("_row"))
+    deal = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_key").cast("string"), F.lit("null")), F.col("_own").cast("string")))
+    work = put.select("_row", "_key", "_own", F.coalesce("_stratum", F.lit("")).alias("_s"), F.col("_stratum").isNotNull().alias("_known"), deal.alias("_deal"))
+    work = work.withColumn("_bin", F.floor(F.conv(F.substring("_deal", 1, 8), 16, 10).cast("double") / 2**32 * bins).cast("long"))
     sizes = work.groupBy("_s", "_known").agg(F.count("*").alias("_n"))
-    work = _binned_rank(work, ["_s", "_known"], "_bin", ["_deal", key], "_rank")
+    work = _binned_rank(work, ["_s", "_known"], "_bin", ["_deal", "_key", "_own"], "_rank")
     part = work.join(sizes, ["_s", "_known"]).withColumn("_part", (F.col("_rank") - F.lit(0.5)) / F.col("_n"))
     part = table(part.drop("_bin", "_n", "_rank").withColumn("_bin", F.least(F.floor(F.col("_part") * bins), F.lit(bins - 1)).cast("long")), "ranks")
-    order = _binned_rank(part, [], "_bin", ["_part", "_deal", "_s", "_known", key], "_rank")
+    order = _binned_rank(part, [], "_bin", ["_part", "_deal", "_s", "_known", "_key", "_own"], "_rank")
     shard = F.floor((F.col("_rank") - 1) * shards / n)
     # The first rank (from 0) of a shard is the smallest whose shard it is.
-    start = F.ceil(F.col("shard") * F.lit(n) / F.lit(shards))
-    out = order.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_rank") - 1 - start).cast("long"))
-    return out.select(*rows.columns, "shard", "slot")
+    start = F.ceil(shard * F.lit(n) / F.lit(shards))
+    return order.select(*[F.col("_row")[c].alias(c) for c in others], shard.cast("int").alias("shard"), (F.col("_rank") - 1 - start).cast("long").alias("slot"))
 
 
 def shard_documents(spark, sf_dir: str, shards: int = 8) -> DataFrame:
