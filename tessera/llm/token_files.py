@@ -211,7 +211,8 @@ def encoder(path: str) -> PieceCache:
 def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int = 0, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the ids of docs (doc_id, text) into files under root and returns their manifest: part, file, docs, tokens.
 
-    Rows are range-partitioned and sorted by doc_id (nulls first; rows that repeat an id by text). A task rolls to a new
+    Rows are range-partitioned and sorted by doc_id (nulls first; rows that repeat an id by a hash of their text, so that one id is
+    no hot task). A task rolls to a new
     file after file_tokens ids. A file is written under a temporary name and renamed to one that its place in the order
     gives, so a task that runs again replaces its own files; only what the manifest names counts.
     """
@@ -249,8 +250,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int =
             roll()
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in files], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["part", "no", "file", "docs", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    sorted_ = rows.sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash")
+    sorted_ = rows.sortWithinPartitions("doc_id", "hash", "text")
     return table(sorted_.mapInArrow(run, "part long, no long, file string, docs long, tokens long"), "manifest")
 
 
