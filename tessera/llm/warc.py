@@ -131,9 +131,13 @@ def read_warc(manifest: DataFrame, root: str) -> DataFrame:
                 rows = []
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
                     for h, block in members(f):
-                        http = block.partition(b"\r\n\r\n")[0].decode()
-                        payload = int(re.search(r"Content-Length: (\d+)", http)[1])
-                        rows.append((number(h["WARC-Record-ID"]), payload, h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], number(h.get("WARC-Refers-To")), h.get("WARC-Target-URI"), name))
+                        http, _, body = block.partition(b"\r\n\r\n")
+                        digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+                        payload = int(re.search(r"Content-Length: (\d+)", http.decode())[1])
+                        # A response holds its payload, which is counted and hashed anew; a revisit has its headers alone.
+                        if h["WARC-Type"] == "response" and (len(body), base32_sha1(body)) != (payload, digest):
+                            raise ValueError(f"{name}: a payload differs from its headers")
+                        rows.append((number(h["WARC-Record-ID"]), payload, digest, h["WARC-Type"], number(h.get("WARC-Refers-To")), h.get("WARC-Target-URI"), name))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file"])
 
