@@ -65,7 +65,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     """The non-zero coordinates and their weights, fitted on at most `sample` labelled documents.
 
     The rows are those with the smallest md5 of their doc_id among labelled ones whose crc32(doc_id as text) mod 3 is not 1;
-    nulls in doc_id or toxic take no part. Only this bounded sample's coordinates reach the driver.
+    nulls in doc_id or toxic take no part, and of rows that repeat a doc_id the smallest text does. Only this bounded sample's coordinates reach the driver.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL AND crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(sample)
@@ -77,6 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), batch.column("toxic")], ["doc_id", "code", "toxic"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    own = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")  # one row for each id
     got = own.mapInArrow(run, "doc_id long, code binary, toxic int").toArrow().sort_by([("doc_id", "ascending"), ("code", "ascending")])
     rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got["code"]]
     w = fit(rows, got["toxic"].to_numpy().astype(float))
