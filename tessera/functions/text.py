@@ -151,3 +151,52 @@ def rarity(legendary: Column, claimed: Column, fingerprinted: Column, edition: C
 
 def rarity_points(rarity_: Column) -> Column:
     return F.when(rarity_ == "legendary", 20).when(rarity_ == "rare", 5).when(rarity_ == "uncommon", 2).otherwise(1)
+
+
+#: Words of colours without a hue, and of cool ones; the hue (in degrees) below which a family ends.
+NEUTRAL = ["clear", "colourless", "colorless", "crystal", "white", "grey", "gray", "black", "smoke"]
+COOL = ["blue", "cobalt", "teal", "green", "aqua", "violet", "purple"]
+HUES = [(15, "red"), (45, "orange"), (70, "yellow"), (170, "green"), (200, "teal"), (260, "blue"), (300, "purple"), (345, "pink")]
+
+
+def colour_family(c: Column) -> Column:
+    """The family of a hex colour by hue; of a word neutral, cool or else warm; empty for nothing."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    raw = F.lower(F.regexp_extract(t, "^#?([0-9a-fA-F]{6}|[0-9a-fA-F]{3})$", 1))
+    h = F.when(F.length(raw) == 3, F.concat(*[F.repeat(F.substring(raw, i, 1), F.lit(2)) for i in (1, 2, 3)])).otherwise(raw)
+    r, g, b = (F.conv(F.substring(h, i, 2), 16, 10).cast("double") / 255 for i in (1, 3, 5))
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = top - low
+    turn = F.when(span == 0, 0.0).when(top == r, (g - b) / span).when(top == g, 2 + (b - r) / span).otherwise(4 + (r - g) / span)
+    degrees = F.pmod(turn / 6, F.lit(1.0)) * 360
+    by_hue = F.coalesce(*[F.when(degrees < d, n) for d, n in HUES], F.lit("red"))
+    of_hex = F.when(top < 0.12, "black").when(F.when(top > 0, span / top).otherwise(0.0) < 0.12, "neutral").otherwise(by_hue)
+    has = lambda words: F.lower(t).rlike("|".join(words))
+    return F.when(raw != "", of_hex).when(t == "", "").when(has(NEUTRAL), "neutral").when(has(COOL), "cool").otherwise("warm")
+
+
+#: Parts of a user agent, and the browser that each tells.
+BROWSERS = [("CriOS", "Chrome"), ("FxiOS", "Firefox"), ("EdgA", "Edge"), ("Edg/", "Edge"), ("SamsungBrowser", "Samsung"), ("Firefox", "Firefox"), ("Chrome", "Chrome"), ("Safari", "Safari")]
+
+
+def device_line(ua: Column, width: Column, height: Column) -> Column:
+    """Model, browser and camera size of a capture device, as far as they are known."""
+    ua = F.coalesce(ua, F.lit(""))
+    inner = F.regexp_extract(ua, r"\(([^)]*)\)", 1)
+    parts = F.transform(F.split(inner, ";"), lambda p: F.trim(p))
+    version = F.get(F.filter(parts, lambda p: F.startswith(p, F.lit("Android"))), 0)
+    model = F.coalesce(F.get(F.filter(parts, lambda p: (p != "") & ~p.isin("Linux", "U", "wv") & ~F.startswith(p, F.lit("Android"))), 0), F.lit("Android"))
+    ios = F.replace(F.nullif(F.regexp_extract(inner, r"OS (\d+[_\d]*)", 1), F.lit("")), F.lit("_"), F.lit("."))
+    apple = F.concat_ws(" · ", F.when(F.contains(inner, F.lit("iPhone")), "iPhone").otherwise("iPad"), F.concat(F.lit("iOS "), ios))
+    kind = F.when(inner == "", None).when(F.contains(inner, F.lit("Android")), F.concat_ws(" · ", model, version)).when(inner.rlike("iPhone|iPad"), apple)
+    kind = kind.when(F.contains(inner, F.lit("Macintosh")), "Mac").when(F.contains(inner, F.lit("Windows")), "Windows").otherwise(F.left(F.get(F.split(inner, ";"), 0), F.lit(40)))
+    browser = F.coalesce(*[F.when(F.contains(ua, F.lit(k)), b) for k, b in BROWSERS])
+    camera = F.when(width > 0, F.concat(width.cast("string"), F.lit("×"), height.cast("string")))
+    return F.left(F.concat_ws(" · ", F.nullif(kind, F.lit("")), browser, camera), F.lit(200))
+
+
+def size_check(foot: Column, height: Column, ref_foot: Column, ref_height: Column, tolerance: float = 0.25) -> Column:
+    """struct<difference, ok>: the larger share by which footprint and height differ; null where nothing was measured on both sides."""
+    apart = lambda a, b: F.when((a > 0) & (b > 0), F.abs(a - b) / F.greatest(a, b))
+    difference = F.round(F.greatest(apart(foot, ref_foot), apart(height, ref_height)), 3)
+    return F.struct(difference.alias("difference"), (difference <= tolerance).alias("ok"))

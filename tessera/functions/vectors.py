@@ -43,3 +43,8 @@ def half_up(c: Column) -> Column:
 
 def degrees_apart(a: Column, b: Column) -> Column:
     return F.abs(F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0)
+
+
+def dhash_sim(distance: Column) -> Column:
+    """1 up to 6 differing bits, 0 from 22 on, linear between."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (22 - distance) / F.lit(16.0)))

@@ -209,3 +209,65 @@ def write_plan(items: DataFrame, live: DataFrame) -> DataFrame:
     has = F.coalesce("qid", F.lit("")) != ""
     action = F.when(F.coalesce("open", F.lit(False)), "skip-unresolved").when(~has & F.col("exists").isNotNull(), "skip-exists").when(~has, "create").when(F.col("content_hash").eqNullSafe(F.col("pushed_hash")), "skip-current").otherwise("update")
     return both.select("key", action.alias("action"))
+
+
+def apply_splits(items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """items (key, status, canonical, qid, different) after a reviewer's decisions (key) that duplicates are things of their own.
+
+    The duplicate stands alone (status split) and names what it was folded into as different; that one names it too, and is changed if
+    it was published. Decisions on items that aren't folded do nothing.
+    """
+    split = items.join(decisions.select("key").distinct(), "key", "left_semi").where("coalesce(canonical, '') <> ''").select("key", F.col("canonical").alias("_from"))
+    kept = split.groupBy(F.col("_from").alias("key")).agg(F.array_sort(F.collect_set("key")).alias("_apart"))
+    both = items.join(split, "key", "left").join(kept, "key", "left")
+    alone = F.col("_from").isNotNull()
+    changed = F.col("_apart").isNotNull() & (F.coalesce("qid", F.lit("")) != "")
+    more = F.array_compact(F.concat(F.array("_from"), F.coalesce("_apart", F.array().cast("array<string>"))))
+    return both.select("key", F.when(alone, "split").when(changed, "changed").otherwise(F.col("status")).alias("status"), F.when(alone, F.lit("")).otherwise(F.col("canonical")).alias("canonical"), "qid", F.array_union("different", more).alias("different"))
+
+
+def select_to_check(items: DataFrame, decided: DataFrame, recheck: bool = False) -> DataFrame:
+    """key, step for each item (key, label, status, qid): known, decided, checked, or ask.
+
+    decided: key, label, status, qid of earlier lookups. An item with an id is known unless the lookup itself set it and everything is
+    rechecked; a person's decision stands; one looked up under the same label is checked unless rechecked. Skipped items and
+    duplicates have no row.
+    """
+    d = decided.select("key", F.col("label").alias("_label"), F.col("status").alias("_status"), F.col("qid").alias("_qid"))
+    both = items.where("status NOT IN ('skipped', 'duplicate')").join(d, "key", "left")
+    has = F.coalesce(F.trim("qid"), F.lit("")) != ""
+    mine = F.coalesce((F.col("_status") == "matched") & (F.col("_qid") == F.col("qid")), F.lit(False))
+    asked = F.col("_status").isNotNull() & (F.col("_status") != "known")
+    step = F.when(has & ~(mine & F.lit(recheck)), "known").when(F.col("_status").isin("confirmed", "rejected"), "decided").when(asked & F.lit(not recheck) & F.col("label").eqNullSafe(F.col("_label")), "checked").otherwise("ask")
+    return both.select("key", step.alias("step"))
+
+
+def valid_proposals(proposals: DataFrame) -> DataFrame:
+    """key, field, value, confidence of the proposals that can be used: a link for website, a handle for instagram, any text for city."""
+    v = F.trim(F.coalesce("value", F.lit("")))
+    handle = F.element_at(F.split(F.regexp_replace(F.regexp_replace(v, "^@+", ""), "/+$", ""), "/"), -1)
+    value = F.when((F.col("field") == "website") & v.rlike("^https?://[^\\s<>\"']{4,500}$"), v).when((F.col("field") == "instagram") & handle.rlike("^[A-Za-z0-9_.]{2,30}$"), handle).when((F.col("field") == "city") & (v != ""), F.left(v, F.lit(120)))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.expr("try_cast(confidence AS double)"), F.lit(0.0))))
+    return proposals.select("key", "field", value.alias("value"), sure.alias("confidence")).where("value IS NOT NULL")
+
+
+def near_anchors(links: DataFrame, anchors: DataFrame, ours: DataFrame) -> DataFrame:
+    """person, n, anchors: people outside who are linked to our anchors, less those we hold; links: person, name, to. ours: id, name."""
+    near = links.join(anchors.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
+    near = near.join(ours.select(F.col("id").alias("person")), "person", "left_anti")
+    near = near.withColumn("_k", norm(F.col("name"))).join(ours.select(norm(F.col("name")).alias("_k")).where("_k <> ''").distinct(), "_k", "left_anti")
+    return near.groupBy("person").agg(F.countDistinct("to").alias("n"), F.array_join(F.array_sort(F.collect_set("to")), ",").alias("anchors"))
+
+
+def import_review(items: DataFrame, sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, report) after a reviewer's sheet (key, label, description, merge_into; blank cells change nothing).
+
+    A row that is merged into another key becomes its duplicate. The report counts edited, merged and unknown rows.
+    """
+    text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    r = sheet.select("key", text("label").alias("_label"), text("description").alias("_description"), text("merge_into").alias("_into"))
+    both = items.join(r, "key", "left")
+    out = both.withColumns({"label": F.coalesce("_label", "label"), "description": F.coalesce("_description", "description"), "canonical": F.coalesce("_into", "canonical"), "status": F.when(F.col("_into").isNotNull(), "duplicate").otherwise(F.col("status"))}).select(*items.columns)
+    seen = r.join(items.select("key", F.col("label").alias("l"), F.col("description").alias("d"), F.lit(True).alias("known")), "key", "left")
+    edited = F.col("known") & ((~F.coalesce(F.col("_label") == F.col("l"), F.col("_label").isNull())) | (~F.coalesce(F.col("_description") == F.col("d"), F.col("_description").isNull())))
+    return out, seen.agg(F.count_if(edited).alias("edited"), F.count_if(F.col("known") & F.col("_into").isNotNull()).alias("merged"), F.count_if(F.col("known").isNull()).alias("unknown"))

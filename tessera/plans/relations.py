@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import commitments as C
 from tessera.operators import graph as N
 from tessera.operators import resolution as E
 from tessera.plans.base import Tables, query
@@ -134,3 +135,51 @@ def decide_links(spark, sf_dir):
     c, s = t["customer"].withColumn("k", F.right("c_name", F.lit(2))), t["supplier"].withColumn("k", F.right("s_name", F.lit(2)))
     found = c.join(s, "k").select(F.col("c_custkey").alias("key"), F.lit("Same Name").alias("label"), F.col("s_suppkey").alias("candidate"), F.lit("same  name").alias("name"), (F.col("c_nationkey") == F.col("s_nationkey")).alias("nation"))
     return E.decide_links(found, ["nation"])
+
+
+@query("WITH i AS (SELECT key, n, CASE WHEN n % 4 = 1 AND n > 0 THEN 'p:' || kind END AS canonical FROM items), s AS (SELECT * FROM i WHERE canonical IS NOT NULL AND n % 3 = 0) SELECT key, CASE WHEN n % 4 = 1 AND n % 3 = 0 AND n > 0 THEN 'split' ELSE 'new' END AS status FROM items")
+def apply_splits(spark, sf_dir):
+    items = Tables(spark, sf_dir).items
+    folded = items.select("key", F.lit("new").alias("status"), F.when((F.col("n") % 4 == 1) & (F.col("n") > 0), F.concat(F.lit("p:"), "kind")).alias("canonical"), F.lit(None).cast("string").alias("qid"), F.array().cast("array<string>").alias("different"))
+    return E.apply_splits(folded, items.where("n % 3 = 0").select("key")).select("key", "status")
+
+
+@query("SELECT key, CASE WHEN n % 5 = 0 THEN 'known' WHEN n % 3 = 0 THEN 'decided' WHEN n % 2 = 0 AND n % 7 <> 0 THEN 'checked' ELSE 'ask' END AS step FROM items WHERE n % 11 <> 0")
+def select_to_check(spark, sf_dir):
+    n = F.col("n")
+    items = Tables(spark, sf_dir).items
+    own = items.select("key", "label", F.when(n % 11 == 0, "skipped").otherwise("new").alias("status"), F.when(n % 5 == 0, "Q1").alias("qid"))
+    decided = items.where("n % 3 = 0 OR n % 2 = 0").select("key", F.when(n % 7 == 0, F.lit("old")).otherwise(F.col("label")).alias("label"), F.when(n % 3 == 0, "rejected").otherwise("none").alias("status"), F.lit("").alias("qid"))
+    return E.select_to_check(own, decided)
+
+
+@query("SELECT n AS key, CASE n % 3 WHEN 0 THEN 'website' WHEN 1 THEN 'instagram' ELSE 'city' END AS field, CASE n % 3 WHEN 0 THEN 'https://x.org/' || n WHEN 1 THEN 'user_' || n ELSE 'Rome' END AS value, CASE n % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS confidence FROM items WHERE kind = 'person' AND NOT (n % 3 = 0 AND n % 2 = 0)")
+def valid_proposals(spark, sf_dir):
+    n = F.col("n")
+    value = F.when(n % 3 == 0, F.when(n % 2 == 0, F.lit("ftp://x")).otherwise(F.concat(F.lit("https://x.org/"), n))).when(n % 3 == 1, F.concat(F.lit("https://www.instagram.com/user_"), n, F.lit("/"))).otherwise(F.lit(" Rome "))
+    sure = F.when(n % 3 == 0, "7").when(n % 3 == 1, "0.5").otherwise("none")
+    kind = F.when(n % 3 == 0, "website").when(n % 3 == 1, "instagram").otherwise("city")
+    return E.valid_proposals(Tables(spark, sf_dir).items.where("kind = 'person'").select(n.alias("key"), kind.alias("field"), value.alias("value"), sure.alias("confidence")))
+
+
+@query("SELECT l_suppkey AS person, count(DISTINCT l_partkey) AS n, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS anchors FROM lineitem WHERE l_partkey % 10 = 0 AND l_suppkey % 3 <> 0 AND l_suppkey % 7 <> 0 GROUP BY 1")
+def near_anchors(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    links = t["lineitem"].select(F.col("l_suppkey").alias("person"), F.concat(F.lit("Name "), "l_suppkey").alias("name"), F.col("l_partkey").cast("string").alias("to"))
+    ours = t["supplier"].where("s_suppkey % 3 = 0 OR s_suppkey % 7 = 0").select(F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey")).otherwise(-1).alias("id"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("NAME  "), "s_suppkey")).alias("name"))
+    return E.near_anchors(links, t["part"].where("p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("id")), ours)
+
+
+@query("SELECT count(*) FILTER (WHERE n % 2 = 0) AS edited, count(*) FILTER (WHERE n % 3 = 0) AS merged, count(*) FILTER (WHERE n % 5 = 0) AS unknown FROM items")
+def review_import(spark, sf_dir):
+    items, n = Tables(spark, sf_dir).items, F.col("n")
+    own = items.select("key", "label", F.lit("d").alias("description"), F.lit(None).cast("string").alias("canonical"), F.lit("new").alias("status"))
+    sheet = items.select("key", F.when(n % 2 == 0, F.concat("label", F.lit(" x"))).otherwise(F.col("label")).alias("label"), F.lit(" ").alias("description"), F.when(n % 3 == 0, "other").alias("merge_into"))
+    sheet = sheet.unionByName(items.where("n % 5 = 0").select(F.concat(F.lit("no:"), "key").alias("key"), "label", F.lit("").alias("description"), F.lit("x").alias("merge_into")))
+    return E.import_review(own, sheet)[1]
+
+
+@query("SELECT l_suppkey AS s, format('0x{:x}', list_reduce(list_prepend(CAST(1 AS HUGEINT), list(CAST(l_partkey + 2 AS HUGEINT))), lambda a, b: (a * b) % 1000000007)) AS product FROM lineitem GROUP BY 1")
+def modular_products(spark, sf_dir):
+    item = Tables(spark, sf_dir)["lineitem"].select(F.col("l_suppkey").alias("s"), F.concat(F.lit("0x"), F.lower(F.hex(F.col("l_partkey") + 2))).alias("c"))
+    return C.modular_product(item, "s", "c", 1_000_000_007)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import vectors as V
 from tessera.operators import tables as R
 from tessera.plans.base import Tables, query
 
@@ -164,3 +165,31 @@ def measures_and_clips(spark, sf_dir):
 def get_rows(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return R.get_rows(t.rows_, t.rows_.where("cast(_row_id AS long) % 4 = 0").unionAll(t.rows_.where("cast(_row_id AS long) % 8 = 0"))).select("_row_id")
+
+
+@query("SELECT p_partkey, ['red', 'green', 'blue', 'neutral', 'black', 'orange', 'pink', 'cool', 'neutral', 'warm', '', 'pink'][CAST(p_partkey % 12 AS INT) + 1] AS family FROM part")
+def colour_families(spark, sf_dir):
+    names = F.array(*map(F.lit, ("#ff0000", "#0f0", "0000ff", "#ffffff", "#050505", "#ffa500", "#ff2080", "Cobalt blue", "smoke", "amber", "", "FF00FF")))
+    return Tables(spark, sf_dir)["part"].select("p_partkey", T.colour_family(F.get(names, (F.col("p_partkey") % 12).cast("int"))).alias("family"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Pixel 8 · Android 14 · Chrome · 1920×1080' WHEN 1 THEN 'iPhone · iOS 17.2 · Safari' WHEN 2 THEN 'Mac · Firefox · 640×480' ELSE '' END AS line FROM customer")
+def device_lines(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    ua = F.when(k == 0, "Mozilla/5.0 (Linux; Android 14; Pixel 8; wv) Chrome/120 Safari/537").when(k == 1, "Mozilla/5.0 (iPhone; CPU iPhone OS 17_2 like Mac OS X) Safari/604").when(k == 2, "Mozilla/5.0 (Macintosh; Intel) Firefox/120")
+    width, height = F.when(k == 0, 1920).when(k == 2, 640), F.when(k == 0, 1080).when(k == 2, 480)
+    return Tables(spark, sf_dir)["customer"].select("c_custkey", T.device_line(ua, width, height).alias("line"))
+
+
+@query("SELECT p_partkey, round(greatest(abs(p_size - 20) / greatest(p_size, 20), CASE WHEN p_partkey % 2 = 0 THEN 0.1 END), 3) AS difference, round(greatest(abs(p_size - 20) / greatest(p_size, 20), CASE WHEN p_partkey % 2 = 0 THEN 0.1 END), 3) <= 0.25 AS ok FROM part WHERE p_size > 0")
+def size_checks(spark, sf_dir):
+    p = Tables(spark, sf_dir)["part"].where("p_size > 0")
+    tall = F.when(F.col("p_partkey") % 2 == 0, F.lit(9.0))
+    return p.select("p_partkey", T.size_check(F.col("p_size"), tall, F.lit(20), F.lit(10.0)).alias("s")).select("p_partkey", "s.*")
+
+
+@query("SELECT o_orderkey, bit_count(xor(o_orderkey, o_custkey)) AS bits, greatest(0, least(1, (22 - bit_count(xor(o_orderkey, o_custkey))) / 16)) AS sim FROM orders")
+def hash_distances(spark, sf_dir):
+    o = Tables(spark, sf_dir)["orders"]
+    bits = V.hamming(F.array(F.lit(0), F.col("o_orderkey").cast("int")), F.array(F.lit(0), F.col("o_custkey").cast("int")))
+    return o.select("o_orderkey", bits.alias("bits"), V.dhash_sim(bits).alias("sim"))
