@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import components, dropped, small, table
+from tessera.llm.tables import components, dropped, joined, small, table
 from tessera.llm.words import U, shingle_hashes, slices, text_bytes, word_hashes
 
 REGISTERS, MANTISSA, ROWS = 256, 10, 5
@@ -33,8 +33,8 @@ _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, (1024, REGISTER
 COLLISION = 2.0**-MANTISSA / 3
 #: Pairs below this estimate can't be similar. Sets in a block of a family.
 NEAR, BLOCK = 0.67, 128
-#: Bands that a similar pair shares at least.
-SHARED = 3
+#: Bands that a similar pair shares at least. Members of a bucket that are compared without a look at its ends first.
+SHARED, FEW = 3, 6
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -207,42 +207,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     known = table(_estimates(first, able), "known")
     tried = known.where(f"est >= {NEAR}")
     sets = sets_of(tried)
-    links = table(_confirmed(tried, sets, percent), "links")
-    root = components(links)
+    root = components(table(_confirmed(tried, sets, percent), "links"))
     ways = F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b"), F.col("lo_fits").alias("fits")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b"), F.col("hi_fits").alias("fits")))
     pairs = members.select(F.explode(ways).alias("p")).select("p.*").where("a < b AND fits").select("a", "b").distinct()
     near = table(_estimates(apart(pairs.join(known, ["a", "b"], "left_anti")), able), "near")
     known, near = known.unionAll(near), near.where(f"est >= {NEAR}")
     sets = sets.unionAll(sets_of(near, but=tried))
     best = near.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b")
-    links = table(links.unionAll(_confirmed(best, sets, percent)), "links")
-    root = components(links)
-    links = table(links.unionAll(_confirmed(apart(near), sets, percent)), "links")
-    root = components(links)
+    root = joined(root, table(_confirmed(best, sets, percent), "links"))
+    root = joined(root, table(_confirmed(apart(near), sets, percent), "links"))
     # What two pivots of a bucket can't decide. Members near a pivot: families of near pairs that still hold several components.
-    links = table(links.unionAll(_family_links(components(near.unionAll(tried)), root, sets, percent)), "links")
-    root = components(links)
+    root = joined(root, table(_family_links(components(near.unionAll(tried)), root, sets, percent), "links"))
     # The others, bucket by bucket. The share of registers that differ is a metric, so two sets whose estimates to a pivot
     # differ by more than 1 - NEAR have an estimate below NEAR themselves: both pivots rule such pairs out unseen.
     named = members.join(root, "node", "left").select("bucket", "node", "lo", "hi", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 3").select("bucket")
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1 AND n > 3").select("bucket", (F.col("n") > FEW).alias("many"))
     inner = table(named.join(mixed, "bucket").where("node <> lo AND node <> hi"), "inner")
-    both_ends = inner.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(inner.select("node", "hi")).distinct()
+    both_ends = inner.where("many").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(inner.where("many").select("node", "hi")).distinct()
     to_pivot = known.unionAll(table(_estimates(both_ends.join(known, ["a", "b"], "left_anti"), able), "to_pivot"))
-    inner = inner.join(to_pivot.toDF("lo", "node", "el"), ["lo", "node"]).join(to_pivot.toDF("node", "hi", "eh"), ["node", "hi"]).join(able.select("node", "n", own_bands.alias("bands")), "node")
+    # Few members are fewer pairs than ends to estimate, so nothing rules their pairs out.
+    inner = inner.join(to_pivot.toDF("lo", "node", "el"), ["lo", "node"], "left").join(to_pivot.toDF("node", "hi", "eh"), ["node", "hi"], "left").join(able.select("node", "n", own_bands.alias("bands")), "node")
     inner = table(inner.select("bucket", "node", "n", "root", "el", "eh", "bands"), "inner")
-    x, y = inner.toDF("bucket", "a", "na", "xa", "la", "ha", "ba"), inner.where(f"el < {NEAR}").toDF("bucket", "b", "nb", "xb", "lb", "hb", "bb")
-    apart_by = f"abs(la - lb) <= {1 - NEAR + 1e-9} AND abs(ha - hb) <= {1 - NEAR + 1e-9}"
+    x, y = inner.toDF("bucket", "a", "na", "xa", "la", "ha", "ba"), inner.where(f"coalesce(el, 0) < {NEAR}").toDF("bucket", "b", "nb", "xb", "lb", "hb", "bb")
+    apart_by = f"coalesce(abs(la - lb) <= {1 - NEAR + 1e-9}, true) AND coalesce(abs(ha - hb) <= {1 - NEAR + 1e-9}, true)"
     # A pair comes up in the first of the buckets that it shares, and in no other.
     same = "zip_with(ba, bb, (p, q) -> p = q)"
     first_shared = f"element_at(ba, cast(array_position({same}, true) AS int)) = bucket AND size(filter({same}, p -> p)) >= {SHARED}"
-    rest = x.join(y, "bucket").where(f"xa <> xb AND {apart_by} AND (la >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {first_shared}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = x.join(y, "bucket").where(f"xa <> xb AND {apart_by} AND (coalesce(la, 0) >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {first_shared}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = table(_estimates(rest, able).where(f"est >= {NEAR}"), "rest")
     dropped(inner)
     dropped(members)
     if not rest.isEmpty():
-        links = links.unionAll(_confirmed(rest, sets_of(rest), percent))
-        root = components(links)
+        root = joined(root, table(_confirmed(rest, sets_of(rest), percent), "links"))
     keyed = nodes.join(root, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(keyed, "set_key", "left")
     whose = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

@@ -88,3 +88,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if found is None:
         found = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found
+
+
+def joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) of what root, an answer of `components`, knows already and of new links (a, b) together."""
+    r = root.select("node", "root")
+    ends = links.select("a", "b").join(r.toDF("a", "xa"), "a", "left").join(r.toDF("b", "xb"), "b", "left")
+    up = components(ends.select(F.coalesce("xa", "a").alias("a"), F.coalesce("xb", "b").alias("b")))
+    old = r.join(up.toDF("root", "_top"), "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return table(old.unionByName(up.join(r.select("node"), "node", "left_anti")), "found")
