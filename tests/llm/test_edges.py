@@ -117,3 +117,15 @@ def test_pipeline_runs_over_odd_documents(spark, tmp_path):
     assert sum(kept[100 + i] for i in range(800) if i % 4) > 590 and all(r.lossless for r in out)
     sizes = {r.doc_id: r.n_bytes for r in out}
     assert sizes[8] == len(prose(50, 8))
+
+
+def test_new_links_join_known_components(spark):
+    from tessera.llm.tables import components, joined
+
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))]
+    df = lambda part: spark.createDataFrame(part, "a long, b long")
+    want = {r.node: r.root for r in components(df(links)).collect()}
+    root = joined(joined(components(df(links[:100])), df(links[100:180])), df(links[180:]))
+    assert {r.node: r.root for r in root.collect()} == want and root.count() == len(want)
+    assert joined(root, df(links).limit(0)).count() == len(want)
