@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import load
+from tessera.llm.tables import dropped, load, table
 from tessera.llm.words import slices
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -145,7 +145,7 @@ def corpus_words(docs: DataFrame) -> list[str]:
     """The words (3 to 24 letters, lower-cased) found most often in docs outside of credential contexts, most frequent first.
 
     What stands in a context isn't counted: a secret in many copies of a document would become a word. Counts are summed where
-    texts are read and again by Spark; at most CORPUS_WORDS words come to the driver.
+    texts are read and again by Spark; CORPUS_WORDS words, those of one range besides and a count for each range come to the driver at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +160,18 @@ def corpus_words(docs: DataFrame) -> list[str]:
                     counts.clear()
         yield out()
 
-    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()]
+    counts = table(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "counts")
+    # In ranges from the most frequent on, of which the first ones hold enough; else every task would send its own most frequent words.
+    ranges = table(counts.repartitionByRange(F.desc("n"), "word").withColumn("part", F.spark_partition_id()), "ranges")
+    last, sofar = -1, 0
+    for last, size in ranges.groupBy("part").count().orderBy("part").collect():
+        sofar += size
+        if sofar >= CORPUS_WORDS:
+            break
+    words = [r.word for r in ranges.where(F.col("part") <= last).orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()]
+    dropped(counts)
+    dropped(ranges)
+    return words
 
 
 KINDS = ("assign", "access", "hex", "guess")

@@ -1,5 +1,9 @@
 """The cost of guessing a value decides, not the classes of its characters; words of the documents are cheap."""
 
+import itertools
+import random
+from collections import Counter
+
 from tessera.llm import secrets
 
 
@@ -15,3 +19,17 @@ def test_values_of_one_class_are_found(spark):
     for i in range(len(values)):
         kind, a, b = next(s.split(":") for s in got[i].spans.split(",") if s.startswith("guess"))
         assert texts[i].endswith(texts[i][int(a) : int(b)]) and int(b) - int(a) >= 14
+
+
+def test_frequent_words_are_those_of_a_plain_count(spark, monkeypatch):
+    rng = random.Random(7)
+    names = ["".join(p) for p in itertools.product("bdk", "aeo", "lmn", "iu")]
+    texts = [" ".join(rng.choices(names, range(1, len(names) + 1), k=40)) for _ in range(60)] + [None, "", "..."]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    counts = Counter(w for t in texts for w in (t or "").split() if w in names)
+    order = sorted((-n, w) for w, n in counts.items() if n >= secrets.OFTEN)
+    assert len({n for n, _ in order}) < len(order)
+    for most in (1, 7, 20, len(order), 20_000):
+        monkeypatch.setattr(secrets, "CORPUS_WORDS", most)
+        assert secrets.corpus_words(docs) == [w for _, w in order][:most]
+    assert secrets.corpus_words(docs.where("text IS NULL")) == []
