@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import warc
+from tessera.llm import fill_middle, warc
 from tessera.llm.decontam import leaks_of
 from tessera.llm.graph_ann import nearest_of
 from tessera.llm.line_dedup import lines_report_of
@@ -93,3 +93,12 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    """Every document cut and reordered for filling in the middle, and the text rebuilt from that."""
+    return fill_middle.fill_middle_of(spark, sf_dir)
+
+
+ORACLES["op11_fill_in_middle"] = fill_middle.ORACLE
