@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import fill_middle, warc
+from tessera.llm import fill_middle, warc, whitening
 from tessera.llm.decontam import leaks_of
 from tessera.llm.graph_ann import nearest_of
 from tessera.llm.line_dedup import lines_report_of
@@ -102,3 +102,9 @@ def op11_fill_in_middle(spark, sf_dir):
 
 
 ORACLES["op11_fill_in_middle"] = fill_middle.ORACLE
+
+
+@query
+def op13_qd_whitening(spark, sf_dir):
+    """Every usable vector on the whitened components of all of them."""
+    return whitening.whitened_of(spark, sf_dir)
