@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import fill_middle, warc, whitening
+from tessera.llm import fill_middle, personal, warc, whitening
 from tessera.llm.decontam import leaks_of
 from tessera.llm.graph_ann import nearest_of
 from tessera.llm.line_dedup import lines_report_of
@@ -108,3 +108,9 @@ ORACLES["op11_fill_in_middle"] = fill_middle.ORACLE
 def op13_qd_whitening(spark, sf_dir):
     """Every usable vector on the whitened components of all of them."""
     return whitening.whitened_of(spark, sf_dir)
+
+
+@query
+def op12_personal_data(spark, sf_dir):
+    """Counts and spans of personal data in every document."""
+    return personal.personal_of(spark, sf_dir)
