@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import norm, split_multi
+from tessera.operators.terms import contained
 from tessera.shared import cut
 
 #: How sure a derived edge is, surest first; which type wins a name.
@@ -129,14 +130,12 @@ def drop_orphans(nodes: DataFrame, edges: DataFrame, keep: tuple[str, ...] = ALO
 def text_mentions(texts: DataFrame, names: DataFrame, least: int = 5) -> DataFrame:
     """id, name_id of the names of `least` letters or more that a text contains (both in lower case, spaces collapsed).
 
-    texts: id, text. names: name_id, name. A text meets only names that begin with one of its runs of `least` letters, so the
-    join is on equal keys; the whole name is then looked for.
+    texts: id, text. names: name_id, name. See terms.contained: one pass over the texts while all names together are small, else a
+    join by each name's rarest run of letters.
     """
-    own = names.select("name_id", norm(F.col("name")).alias("n")).where(F.length("n") >= least).withColumn("g", F.left("n", F.lit(least)))
+    own = names.select("name_id", norm(F.col("name")).alias("p")).where(F.length("p") >= least)
     t = texts.select("id", norm(F.col("text")).alias("t")).where(F.length("t") >= least)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - (least - 1)), lambda i: F.substring("t", i, F.lit(least))))
-    hits = t.select("id", F.explode(grams).alias("g")).join(own, "g").select("id", "name_id", "n").distinct()
-    return hits.join(t, "id").where(F.contains("t", F.col("n"))).select("id", "name_id")
+    return contained(t, own).select("id", "p").distinct().join(own.distinct(), "p").select("id", "name_id").distinct()
 
 
 def build_graph(artists: DataFrame, objects: DataFrame, studios: DataFrame, claims: DataFrame, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
