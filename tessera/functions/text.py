@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What counts as blank in a cell.
 BLANKS = ["", "nan", "none", "null", "n/a", "-", "—"]
 #: What is no name.
 NO_NAMES = ["test", "example", "asdf", "unknown", "n/a", "na", "none", "anonymous", "tbd"]
-#: Latin letters with marks, and what they fold to.
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+def _one_letter() -> tuple[str, str]:
+    """The letters of the Latin blocks that decompose to one ASCII sign and marks, and what is left of each."""
+    plain = lambda i: unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()
+    found = [(chr(i), plain(i)) for lo, hi in ((0xA0, 0x250), (0x1E00, 0x1F00), (0xFF01, 0xFF5F)) for i in range(lo, hi) if len(plain(i)) == 1]
+    return "".join(c for c, _ in found), "".join(p for _, p in found)
+
+
+MARKED, PLAIN = _one_letter()
 
 
 def collapse(c: Column) -> Column:
@@ -24,8 +34,22 @@ def norm(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case, marks stripped from Latin letters, everything else than letters and digits a space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), "[^a-z0-9]+", " "))
+    """Marks stripped from letters of the Latin blocks, other signs beyond ASCII dropped, lower case, and a space for every other run.
+
+    Signs that decompose to several letters (ligatures, fractions) are dropped too: fold_exact spells them out.
+    """
+    ascii_only = F.regexp_replace(F.translate(c, MARKED, PLAIN), r"[^\x00-\x7f]+", "")
+    return F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", " "))
+
+
+@F.arrow_udf(StringType())
+def _decomposed(texts: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(pc.utf8_normalize(texts, form="NFKD"), r"[^\x00-\x7f]+", "")
+
+
+def fold_exact(c: Column) -> Column:
+    """fold by the compatibility decomposition of every sign, in Arrow batches."""
+    return F.trim(F.regexp_replace(F.lower(_decomposed(c)), "[^a-z0-9]+", " "))
 
 
 def name_tokens(c: Column, titles: tuple[str, ...] = ("dr", "mr", "mrs", "ms", "prof")) -> Column:

@@ -55,3 +55,20 @@ def test_longest_matches_take_whole_words(spark):
     got = sorted((r.id, r.start, r.end, r.term_id) for r in terms.longest_matches(texts, "id", "text", vocab).collect())
     assert got == [(1, 0, 12, "kiln-casting"), (1, 17, 21, "kiln-casting"), (1, 22, 27, "glass-a"), (1, 36, 40, "neon"), (4, 0, 6, "neon")]
     assert terms.longest_matches(texts, "id", "text", vocab.where(F.lit(False))).count() == 0
+
+
+def test_folds_equal_unicode_decomposition(spark):
+    import unicodedata
+
+    from tessera.functions import text as T
+
+    def plain(s):
+        return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()).split())
+
+    blocks = [chr(i) for lo, hi in ((0x20, 0x250), (0x300, 0x370), (0x1E00, 0x1F00), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF00, 0xFF60)) for i in range(lo, hi)]
+    texts = [f"a{c}b" for c in blocks] + ["Größe  ÉTÉ", "Å. Møller-Öst", "ﬁn ½ ™", "", "漢字"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(3)
+    got = {r.t: (r.a, r.b) for r in df.select("t", T.fold(F.col("t")).alias("a"), T.fold_exact(F.col("t")).alias("b")).collect()}
+    assert {t: got[t][1] for t in texts} == {t: plain(t) for t in texts} and got[None] == (None, None)
+    single = [t for t, c in zip(texts, blocks, strict=False) if len(unicodedata.normalize("NFKD", c).encode("ascii", "ignore")) <= 1 and (c < "ɐ" or "Ḁ" <= c < "ἀ")]
+    assert len(single) > 700 and {t: got[t][0] for t in single} == {t: plain(t) for t in single}
