@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import norm
 from tessera.operators.games import HELD, rank_board
+from tessera.shared import cut
 
 #: Entries of a maker in a season; letters of a legend; confidence that verifies a claim.
 MAX_ENTRIES, LEGEND_MIN, VERIFIED = 5, 40, 70
@@ -19,41 +20,69 @@ def _first(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), code) for c, code in rules], F.lit(None).cast("string"))
 
 
+def _folded(requests: DataFrame, already: DataFrame, most: int) -> DataFrame:
+    """requests with `held`, `legends` and `before`: what stood of its maker and season when each request came, `before` those taken of the
+    requests with smaller ids.
+
+    requests: id, season_id, artist_uid, object, legendary, sound (whether it may be a legendary). A request is taken if fewer than
+    `most` stand, its object wasn't taken before, and, for a legendary, if it is sound and none stands. Each round finds the next one taken
+    of every maker and season at once, so there are `most` rounds at most and no task holds all of a maker's requests.
+    """
+    keys = ["season_id", "artist_uid"]
+    own = cut(requests.withColumns({"artist_uid": F.coalesce("artist_uid", F.lit("")), "legendary": F.coalesce("legendary", F.lit(False)), "sound": F.coalesce("sound", F.lit(False))}))
+    held = already.withColumn("artist_uid", F.coalesce("artist_uid", F.lit(""))).groupBy(*keys).agg(F.count("*").alias("held"), F.count_if("legendary").alias("legends"))
+    kinds = dict(own.dtypes)
+    state = own.select(*keys).distinct().join(held, keys, "left").fillna(0, ["held", "legends"])
+    state = cut(state.withColumn("taken", F.array().cast(f"array<struct<id: {kinds['id']}, object: {kinds['object']}, legendary: boolean>>")))
+    for _ in range(most):
+        both = own.join(state, keys)
+        later = F.coalesce(F.col("id") > F.array_max(F.transform("taken", lambda t: t["id"])), F.lit(True))
+        open_ = (F.col("held") + F.size("taken") < most) & ~F.exists("taken", lambda t: t["object"] == F.col("object"))
+        legend = ~F.col("legendary") | (F.col("sound") & (F.col("legends") == 0) & ~F.exists("taken", lambda t: t["legendary"]))
+        after = both.where(later & open_ & legend).groupBy(*keys).agg(F.min(F.struct("id", "object", "legendary")).alias("x"))
+        grown = state.join(after, keys, "left").withColumn("taken", F.when(F.col("x").isNotNull(), F.array_append("taken", F.col("x"))).otherwise(F.col("taken")))
+        grown = cut(grown)
+        state = grown.drop("x")
+        if grown.where("x IS NOT NULL").isEmpty():
+            break
+    return own.join(state, keys).withColumn("before", F.filter("taken", lambda t: t["id"] < F.col("id"))).drop("taken")
+
+
 def within_limits(requests: DataFrame, already: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """requests (id, season_id, artist_uid, legendary) with over_entries and over_legendary, in order of id.
 
-    already: season_id, artist_uid, legendary of entries that stand. Requests are counted as if those before them were taken.
+    already: season_id, artist_uid, legendary of entries that stand. Only requests that are taken count for those after them.
     """
-    held = already.groupBy("season_id", "artist_uid").agg(F.count("*").alias("_held"), F.count_if("legendary").alias("_legends"))
-    mine = Window.partitionBy("season_id", "artist_uid").orderBy("id")
-    before = mine.rowsBetween(Window.unboundedPreceding, -1)
-    both = requests.join(held, ["season_id", "artist_uid"], "left").fillna(0, ["_held", "_legends"])
-    legends = F.coalesce(F.sum(F.col("legendary").cast("int")).over(before), F.lit(0)) + F.col("_legends")
-    return both.withColumn("over_entries", F.row_number().over(mine) + F.col("_held") > max_entries).withColumn("over_legendary", F.col("legendary") & (legends > 0)).drop("_held", "_legends")
+    asked = requests.withColumns({"object": F.col("id"), "sound": F.lit(True)})
+    out = _folded(asked, already, max_entries)
+    legends = (F.col("legends") > 0) | F.exists("before", lambda t: t["legendary"])
+    flags = out.select("id", (F.col("held") + F.size("before") >= max_entries).alias("over_entries"), (F.col("legendary") & legends).alias("over_legendary"))
+    return requests.join(flags, "id")
 
 
 def enter(requests: DataFrame, seasons: DataFrame, objects: DataFrame, entries: DataFrame) -> DataFrame:
     """id, reason for each request to enter a piece; null where it is taken.
 
     requests: id, season_id, object_row_id, artist_uid, edition_size, legendary, legend. seasons: season_id, status. objects:
-    object_row_id, owner_uid, fingerprinted (public ones). Reasons in order: no_season, not_open, not_public, not_owner,
-    already_entered, edition, no_fingerprint, no_legend, then the limits too_many and second_legendary among what is left.
+    object_row_id, owner_uid, fingerprinted (public ones). entries: season_id, object_row_id, artist_uid, legendary, status; rejected
+    ones keep their piece from being entered again, but don't count for the limits. Reasons in order: no_season, not_open, not_public,
+    not_owner, already_entered, too_many, and for a legendary edition, no_fingerprint, no_legend, second_legendary. Requests are taken in
+    order of id; one that is refused stands in nobody's way.
     """
-    first = F.row_number().over(Window.partitionBy("season_id", "object_row_id").orderBy("id"))
-    taken = entries.where("coalesce(status, '') <> 'rejected'")
-    r = requests.withColumn("_again", first > 1).join(seasons.select("season_id", F.col("status").alias("_season")), "season_id", "left")
-    r = r.join(objects.select("object_row_id", F.col("owner_uid").alias("_owner"), F.col("fingerprinted").alias("_print")), "object_row_id", "left")
+    r = requests.join(seasons.select("season_id", F.col("status").alias("_season")), "season_id", "left")
+    r = r.join(objects.select("object_row_id", F.col("owner_uid").alias("_owner"), F.coalesce("fingerprinted", F.lit(False)).alias("_print")), "object_row_id", "left")
     r = r.join(entries.select("season_id", "object_row_id", F.lit(True).alias("_entered")).distinct(), ["season_id", "object_row_id"], "left")
-    legend = F.coalesce("legendary", F.lit(False))
-    rules = [
-        (F.col("_season").isNull(), "no_season"), (F.col("_season") != "open", "not_open"), (F.col("_print").isNull() & F.col("_owner").isNull(), "not_public"), (~F.col("_owner").eqNullSafe(F.col("artist_uid")), "not_owner"),
-        (F.col("_entered").isNotNull() | F.col("_again"), "already_entered"), (legend & (F.greatest(F.coalesce("edition_size", F.lit(1)), F.lit(1)) != 1), "edition"),
-        (legend & ~F.coalesce("_print", F.lit(False)), "no_fingerprint"), (legend & (F.length(F.trim(F.coalesce("legend", F.lit("")))) < LEGEND_MIN), "no_legend"),
-    ]
-    checked = r.select("id", "season_id", "artist_uid", legend.alias("legendary"), _first(*rules).alias("reason"))
-    limited = within_limits(checked.where("reason IS NULL"), taken.select("season_id", "artist_uid", "legendary"))
-    late = limited.select("id", _first((F.col("over_entries"), "too_many"), (F.col("over_legendary"), "second_legendary")).alias("reason"))
-    return checked.where("reason IS NOT NULL").select("id", "reason").unionByName(late)
+    edition = F.greatest(F.coalesce("edition_size", F.lit(1)), F.lit(1)) != 1
+    short = F.length(F.trim(F.coalesce("legend", F.lit("")))) < LEGEND_MIN
+    unsound = _first((edition, "edition"), (~F.col("_print"), "no_fingerprint"), (short, "no_legend"))
+    rules = [(F.col("_season").isNull(), "no_season"), (F.col("_season") != "open", "not_open"), (F.col("_print").isNull(), "not_public"), (F.col("artist_uid").isNull() | ~F.col("_owner").eqNullSafe(F.col("artist_uid")), "not_owner"), (F.col("_entered").isNotNull(), "already_entered")]
+    checked = cut(r.select("id", "season_id", "artist_uid", F.col("object_row_id").alias("object"), "legendary", unsound.alias("unsound"), _first(*rules).alias("reason")))
+    stands = entries.where("coalesce(status, '') <> 'rejected'").select("season_id", "artist_uid", "legendary")
+    folded = _folded(checked.where("reason IS NULL").withColumn("sound", F.col("unsound").isNull()), stands, MAX_ENTRIES)
+    again = F.exists("before", lambda t: t["object"] == F.col("object"))
+    second = (F.col("legends") > 0) | F.exists("before", lambda t: t["legendary"])
+    late = F.when(again, "already_entered").when(F.col("held") + F.size("before") >= MAX_ENTRIES, "too_many").when(F.col("legendary"), F.coalesce("unsound", F.when(second, "second_legendary")))
+    return checked.where("reason IS NOT NULL").select("id", "reason").unionByName(folded.select("id", late.alias("reason")))
 
 
 def record_claims(requests: DataFrame, claims: DataFrame, public: DataFrame, held: tuple[str, ...] = HELD) -> DataFrame:

@@ -57,4 +57,11 @@ def retention(spark, sf_dir):
 @query()
 def stream_vote_state(spark, sf_dir):
     toggles = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.lit(1).alias("season_id"), (F.col("user_id") % 40).cast("string").alias("voter_uid"), F.floor(F.col("value")).cast("long").alias("entry_id"))
-    return S.landed(S.vote_state(toggles, 5), "votes")
+    with S.rocksdb(spark):
+        return S.landed(S.vote_state(toggles, 5), "votes")
+
+
+@query("WITH d AS (SELECT CAST(ts AS DATE) AS day FROM events) SELECT day, count(*) AS n FROM d WHERE CAST(day + 4 AS TIMESTAMP) > (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")
+def stream_kept_days(spark, sf_dir):
+    """Events of the days that retention keeps, as a stream with state that ends by timers."""
+    return S.kept_days(_events(spark, sf_dir), 3, S._folder(spark, "kept"))

@@ -23,16 +23,32 @@ def _requests(spark, sf_dir):
     return t, req, seasons, objects
 
 
-@query(f"WITH {_REQ}, c AS (SELECT r.*, CASE WHEN s.season_id IS NULL THEN 'no_season' WHEN s.status <> 'open' THEN 'not_open' WHEN o.object_row_id IS NULL THEN 'not_public' WHEN o.owner_uid <> r.artist_uid THEN 'not_owner' WHEN row_number() OVER (PARTITION BY r.season_id, r.object_row_id ORDER BY id) > 1 THEN 'already_entered' WHEN r.legendary AND edition_size <> 1 THEN 'edition' WHEN r.legendary AND NOT fingerprinted THEN 'no_fingerprint' WHEN r.legendary AND length(legend) < 40 THEN 'no_legend' END AS reason FROM req r LEFT JOIN sea s USING (season_id) LEFT JOIN obj o USING (object_row_id)), l AS (SELECT *, row_number() OVER w AS n, coalesce(sum(CAST(legendary AS INT)) OVER (PARTITION BY season_id, artist_uid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS legends FROM c WHERE reason IS NULL WINDOW w AS (PARTITION BY season_id, artist_uid ORDER BY id)) SELECT id, reason FROM c WHERE reason IS NOT NULL UNION ALL SELECT id, CASE WHEN n > 5 THEN 'too_many' WHEN legendary AND legends > 0 THEN 'second_legendary' END FROM l")
+#: What stands already: every 41st order, by its customer; every third of those was rejected.
+_OLD = "old AS (SELECT CAST(year(o_orderdate) AS INT) AS season_id, CAST(o_orderkey % 4000 AS VARCHAR) AS object_row_id, CAST(o_custkey AS VARCHAR) AS artist_uid, o_orderkey % 2 = 0 AS legendary, CASE WHEN o_orderkey % 3 = 0 THEN 'rejected' ELSE 'approved' END AS status FROM orders WHERE o_orderkey % 41 = 0)"
+#: The fold itself, request by request in each maker's season.
+_FOLD = """g AS (SELECT season_id, artist_uid, count(*) AS held, count(*) FILTER (WHERE legendary) AS legends FROM old WHERE status <> 'rejected' GROUP BY 1, 2),
+ o AS (SELECT c.*, coalesce(g.held, 0) AS held, coalesce(g.legends, 0) AS legends, row_number() OVER (PARTITION BY season_id, artist_uid ORDER BY id) AS rn FROM asked c LEFT JOIN g USING (season_id, artist_uid)),
+ f AS (SELECT season_id, artist_uid, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS l, CAST([] AS VARCHAR[]) AS objects, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS reason, false AS oe, false AS ol FROM o WHERE rn = 1
+  UNION ALL SELECT season_id, artist_uid, rn, CASE WHEN why IS NULL THEN n + 1 ELSE n END, CASE WHEN why IS NULL AND legendary THEN l + 1 ELSE l END, CASE WHEN why IS NULL THEN list_append(objects, object) ELSE objects END, id, why, over_e, over_l
+  FROM (SELECT o.*, f.n, f.l, f.objects, o.held + f.n >= 5 AS over_e, o.legendary AND o.legends + f.l > 0 AS over_l, CASE WHEN list_contains(f.objects, o.object) THEN 'already_entered' WHEN o.held + f.n >= 5 THEN 'too_many' WHEN o.legendary THEN coalesce(o.unsound, CASE WHEN o.legends + f.l > 0 THEN 'second_legendary' END) END AS why
+   FROM f JOIN o ON f.season_id = o.season_id AND f.artist_uid = o.artist_uid AND o.rn = f.rn + 1))"""
+
+
+def _standing(t):
+    o = t["orders"].where("o_orderkey % 41 = 0")
+    return o.select(F.year("o_orderdate").alias("season_id"), (F.col("o_orderkey") % 4000).cast("string").alias("object_row_id"), F.col("o_custkey").cast("string").alias("artist_uid"), (F.col("o_orderkey") % 2 == 0).alias("legendary"), F.when(F.col("o_orderkey") % 3 == 0, "rejected").otherwise("approved").alias("status"))
+
+
+@query(f"WITH RECURSIVE {_REQ}, {_OLD}, c AS (SELECT r.*, r.object_row_id AS object, CASE WHEN edition_size <> 1 THEN 'edition' WHEN NOT fingerprinted THEN 'no_fingerprint' WHEN length(legend) < 40 THEN 'no_legend' END AS unsound, CASE WHEN s.season_id IS NULL THEN 'no_season' WHEN s.status <> 'open' THEN 'not_open' WHEN o.object_row_id IS NULL THEN 'not_public' WHEN o.owner_uid <> r.artist_uid THEN 'not_owner' WHEN EXISTS (SELECT 1 FROM old WHERE old.season_id = r.season_id AND old.object_row_id = r.object_row_id) THEN 'already_entered' END AS reason FROM req r LEFT JOIN sea s USING (season_id) LEFT JOIN obj o USING (object_row_id)), asked AS (SELECT * FROM c WHERE reason IS NULL), {_FOLD} SELECT id, reason FROM c WHERE reason IS NOT NULL UNION ALL SELECT id, reason FROM f WHERE rn > 0")
 def enter_pieces(spark, sf_dir):
     t, req, seasons, objects = _requests(spark, sf_dir)
-    return W.enter(req, seasons, objects, t.entries.limit(0).withColumn("status", F.lit("approved")))
+    return W.enter(req, seasons, objects, _standing(t))
 
 
-@query(f"WITH {_REQ}, l AS (SELECT id, row_number() OVER (PARTITION BY season_id, artist_uid ORDER BY id) > 5 AS over_entries, legendary AND coalesce(sum(CAST(legendary AS INT)) OVER (PARTITION BY season_id, artist_uid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS over_legendary FROM req) SELECT * FROM l")
+@query(f"WITH RECURSIVE {_REQ}, {_OLD}, asked AS (SELECT *, CAST(id AS VARCHAR) AS object, CAST(NULL AS VARCHAR) AS unsound FROM req), {_FOLD} SELECT id, oe AS over_entries, ol AS over_legendary FROM f WHERE rn > 0")
 def entry_limits(spark, sf_dir):
     t, req, _, _ = _requests(spark, sf_dir)
-    return W.within_limits(req, t.entries.limit(0)).select("id", "over_entries", "over_legendary")
+    return W.within_limits(req, _standing(t).where("status <> 'rejected'")).select("id", "over_entries", "over_legendary")
 
 
 @query("WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey AS VARCHAR) AS o, CAST(l_suppkey AS VARCHAR) AS u, least(100, greatest(0, l_quantity * 2.5 - 10)) AS s FROM lineitem), f AS (SELECT o, u, arg_min(s, id) AS first, arg_min(s, id) FILTER (WHERE s >= 70) AS good FROM r GROUP BY 1, 2), c AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS o, CAST(l_suppkey AS VARCHAR) AS u, CASE WHEN l_partkey % 3 = 0 THEN 'verified' ELSE 'pending' END AS old FROM lineitem WHERE l_partkey % 2 = 0) SELECT coalesce(f.o, c.o) AS object_row_id, coalesce(f.u, c.u) AS collector_uid, CASE WHEN good IS NOT NULL AND coalesce(old, '') <> 'verified' THEN 'verified' ELSE coalesce(old, 'pending') END AS status, CASE WHEN good IS NOT NULL AND coalesce(old, '') <> 'verified' THEN good WHEN old IS NOT NULL THEN 50.0 ELSE first END AS confidence, CASE WHEN old IS NULL THEN 'new' WHEN good IS NOT NULL AND old <> 'verified' THEN 'upgraded' ELSE 'kept' END AS outcome FROM f FULL JOIN c ON f.o = c.o AND f.u = c.u")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -76,17 +78,17 @@ class _Votes(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         n = self.count.get()[0] if self.count.exists() else 0
-        for pdf in rows:
-            for id_, entry in pdf.sort_values("id")[["id", "entry_id"]].itertuples(index=False):
-                if self.standing.containsKey((int(entry),)):
-                    self.standing.removeKey((int(entry),))
-                    n, change = n - 1, "removed"
-                elif n < self.cap:
-                    self.standing.updateValue((int(entry),), (int(id_),))
-                    n, change = n + 1, "cast"
-                else:
-                    change = "over_cap"
-                out.append((int(id_), int(key[0]), str(key[1]), int(entry), change))
+        toggles = pd.concat(list(rows))  # a busy voter's rows come in several chunks
+        for id_, entry in toggles.sort_values("id")[["id", "entry_id"]].itertuples(index=False):
+            if self.standing.containsKey((int(entry),)):
+                self.standing.removeKey((int(entry),))
+                n, change = n - 1, "removed"
+            elif n < self.cap:
+                self.standing.updateValue((int(entry),), (int(id_),))
+                n, change = n + 1, "cast"
+            else:
+                change = "over_cap"
+            out.append((int(id_), int(key[0]), str(key[1]), int(entry), change))
         self.count.update((n,))
         yield pd.DataFrame(out, columns=["id", "season_id", "voter_uid", "entry_id", "change"])
 
@@ -94,58 +96,138 @@ class _Votes(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which state with maps and timers needs; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def vote_state(stream: DataFrame, cap: int) -> DataFrame:
     """id, season_id, voter_uid, entry_id, change (cast, removed, over_cap) of each toggle, in order of id within what arrives
-    together. State is kept by voter and season in RocksDB (which the session is set to): a map of standing votes, at most `cap`."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    together. State is kept by voter and season: a map of standing votes, at most `cap`. Start it inside `rocksdb`. A voter's toggles of
+    one micro-batch are in memory together; maxFilesPerTrigger on the source bounds them."""
     own = stream.select("id", F.col("season_id").cast("long").alias("season_id"), "voter_uid", "entry_id").groupBy("season_id", "voter_uid")
     return own.transformWithStateInPandas(_Votes(cap), "id long, season_id long, voter_uid string, entry_id long, change string", "Append", "none")
 
 
-def folded(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key after all that has arrived: each micro-batch is merged into a table of the batches before."""
+class _Days(StatefulProcessor):
+    """The count of a day's events, until the watermark has left the day `keep` days behind."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, day = sum(len(pdf) for pdf in rows), key[0]
+        ends = (day - date(1970, 1, 1)).days + 1 + self.keep
+        if ends * 86_400_000 <= timerValues.getCurrentWatermarkInMs():
+            return
+        n += self.count.get()[0] if self.count.exists() else 0
+        self.count.update((n,))
+        self.handle.registerTimer(ends * 86_400_000)
+        yield pd.DataFrame([(day, n)], columns=["day", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.count.clear()
+        yield pd.DataFrame([(key[0], 0)], columns=["day", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def kept_days(stream: DataFrame, keep: int, at: str, watermark: str = "1 day") -> DataFrame:
+    """day (UTC), n of the days with events that the watermark has not left `keep` days behind, after all that has arrived at any call.
+
+    State lives below `at` and goes on with the next call; a day's state is deleted by its timer. Events later than the watermark allows,
+    those of days already dropped among them, change nothing.
+    """
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("ts") / 86400).cast("int")).alias("day")
+    counted = stream.select("ts", day).withWatermark("ts", watermark).groupBy("day")
+    with rocksdb(stream.sparkSession):
+        changes = counted.transformWithStateInPandas(_Days(keep), "day date, n long", "Update", "eventTime")
+        return folded(changes, "days", ["day"], None, at).where("n > 0")
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, object]:
+    """The numbered tables below a folder, and their paths; Spark marks whole ones with _SUCCESS."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    whole = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return {int(p.getName()): p for p in whole}
+
+
+def _put(spark: SparkSession, df: DataFrame, folder: str, n: int) -> None:
+    """df as table n; those before n - 1 are deleted, as a batch that is run again reads n - 1."""
+    df.write.mode("overwrite").parquet(f"{folder}/{n}")
+    for old, path in _versions(spark, folder).items():
+        if old < n - 1:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _before(spark: SparkSession, folder: str, n: int, schema) -> DataFrame | None:
+    """The newest table before n: batches without rows make none."""
+    older = [v for v in _versions(spark, folder) if v < n]
+    return spark.read.schema(schema).parquet(f"{folder}/{max(older)}") if older else None
+
+
+def merged(stream: DataFrame, at: str, schema, merge: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """The table that merge(table so far or None, micro-batch) makes of all that has arrived, at this call and at those before it with the
+    same `at`, where the stream's progress and two tables are kept."""
     spark = stream.sparkSession
-    at = _folder(spark, name)
+    folder = f"{at}/rows"
+    step = lambda batch, n: _put(batch.sparkSession, merge(_before(batch.sparkSession, folder, n, schema), batch), folder, n)
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(step).start().awaitTermination()
+    return _before(spark, folder, 1 << 62, schema) or spark.createDataFrame([], schema)
+
+
+def folded(stream: DataFrame, name: str, keys: list[str], order: str | None, at: str | None = None) -> DataFrame:
+    """The last row of each key after all that has arrived: by `order`, or the later batch's without one. With `at` a later call goes on
+    where the last one ended."""
+    where, last = at or _folder(stream.sparkSession, name), [F.desc(order)] if order else []
 
-    def merge(batch: DataFrame, n: int) -> None:
-        both = batch if n == 0 else batch.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows/{n - 1}").unionByName(batch)
-        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-        both.withColumn("_n", last).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{at}/rows/{n}")
+    def merge(table: DataFrame | None, batch: DataFrame) -> DataFrame:
+        both = batch.withColumn("_new", F.lit(1))
+        both = table.withColumn("_new", F.lit(0)).unionByName(both) if table is not None else both
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(*last, F.desc("_new")))
+        return both.withColumn("_n", first).where("_n = 1").drop("_n", "_new")
 
-    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(merge).start()
-    query.awaitTermination()
-    last = query.lastProgress
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows/{last['batchId']}")
+    return merged(stream, where, stream.schema, merge, "update" if order is None else "append")
 
 
-def latest_per_source(stream: DataFrame, source: str, order: str) -> DataFrame:
+def latest_per_source(stream: DataFrame, source: str, order: str, at: str | None = None) -> DataFrame:
     """The newest value of each source: what a page shows while a source is silent."""
-    return folded(stream, "latest", [source], order)
+    return folded(stream, "latest", [source], order, at)
 
 
-def publish_feed(decisions: DataFrame, base: DataFrame, key: str) -> DataFrame:
+def publish_feed(decisions: DataFrame, base: DataFrame, key: str, at: str | None = None) -> DataFrame:
     """The rows of base whose last decision (a stream of key, status, seq) is to approve them."""
-    last = folded(decisions, "decisions", [key], "seq")
+    last = folded(decisions, "decisions", [key], "seq", at)
     return base.join(last.where("status = 'approved'").select(key), key, "left_semi")
 
 
-def registration_state(moves: DataFrame) -> DataFrame:
+def registration_state(moves: DataFrame, at: str | None = None) -> DataFrame:
     """id, status of registrations after a stream of moves (id, seq, move): host_yes, admin_yes, no.
 
     A registration waits for the host, then for the admin; moves that don't fit where it stands change nothing.
     """
-    spark = moves.sparkSession
-    at = _folder(spark, "registrations")
     schema = f"id {dict(moves.dtypes)['id']}, status string"
 
-    def merge(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.schema(schema).parquet(f"{at}/rows/{n - 1}") if n else batch.select("id", F.lit("pending_host").alias("status")).limit(0)
+    def merge(table: DataFrame | None, batch: DataFrame) -> DataFrame:
+        old = table if table is not None else batch.select("id", F.lit("pending_host").alias("status")).limit(0)
         steps = batch.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "move"))), lambda m: m["move"]).alias("moves"))
         start = F.coalesce("status", F.lit("pending_host"))
         to = F.aggregate("moves", start, lambda s, m: F.when(s.isin("approved", "rejected"), s).when(m == "no", "rejected").when((s == "pending_host") & (m == "host_yes"), "host_approved").when((s == "host_approved") & (m == "admin_yes"), "approved").otherwise(s))
-        both = old.join(steps, "id", "full").select("id", F.when(F.col("moves").isNull(), F.col("status")).otherwise(to).alias("status"))
-        both.write.mode("overwrite").parquet(f"{at}/rows/{n}")
+        return old.join(steps, "id", "full").select("id", F.when(F.col("moves").isNull(), F.col("status")).otherwise(to).alias("status"))
 
-    query = moves.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(merge).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{at}/rows/{query.lastProgress['batchId']}")
+    return merged(moves, at or _folder(moves.sparkSession, "registrations"), schema, merge)
