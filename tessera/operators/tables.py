@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tessera.functions.text import collapse, valid_point
+from tessera.functions.text import valid_point
+from tessera.shared import cut
 
 #: Housekeeping columns; parts of names whose columns aren't public.
 HOUSEKEEPING = ("_row_id", "_source_file", "_source_sheet", "_imported_at")
@@ -95,18 +98,38 @@ def append_submissions(base: DataFrame, batch: DataFrame, many: tuple[str, ...]
     return base.unionByName(put.withColumn("status", F.lit("pending")) if "status" in base.columns else put, allowMissingColumns=True)
 
 
-def import_csv(base: DataFrame, sheet: DataFrame, key: str = "_row_id") -> tuple[DataFrame, DataFrame]:
-    """(base with the sheet's rows upserted, report: updated, added, skipped). Foreign columns are ignored; blank cells keep the old
-    value; rows without any filled cell of a known column are skipped. New keys are the sheet's, or a hash of the row."""
-    known = [c for c in sheet.columns if c in base.columns and c != key]
-    text = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in known}
-    rows = sheet.select(F.nullif(F.trim(F.col(key).cast("string")), F.lit("")).alias(key), *[text[c].cast(base.schema[c].dataType).alias(f"_{c}") for c in known])
-    filled = reduce(lambda a, b: a | b, [F.col(f"_{c}").isNotNull() for c in known], F.lit(False))
-    rows = rows.withColumn("_filled", filled).withColumn(key, F.coalesce(key, F.left(F.sha1(F.to_json(F.struct(*[f"_{c}" for c in known]))), F.lit(16))))
-    kept = rows.where("_filled").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(f"_{known[0]}")))).where("_n = 1").drop("_n", "_filled") if known else rows.limit(0).drop("_filled")
-    both = base.withColumn("_old", F.lit(True)).join(kept.withColumn("_new", F.lit(True)), key, "full")
-    report = both.agg(F.count_if(F.col("_old") & F.col("_new")).alias("updated"), F.count_if(F.col("_old").isNull()).alias("added")).crossJoin(rows.agg(F.count_if(~F.col("_filled")).alias("skipped")))
-    return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in known else F.col(c) for c in base.columns]), report
+def import_csv(base: DataFrame, sheet: DataFrame, key: str = "_row_id", order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base with the sheet's rows upserted, report: updated, added, skipped, approvals: row_id, status of every touched row).
+
+    Rows go in the order of `order`, a column of the sheet, else as it is read. A known id is updated, and blank cells overwrite; a new
+    one is added, unless all its cells are blank: such rows are skipped. The second row of a new id updates the first, so of rows that
+    repeat an id the last stands. Rows without an id are added each under an id of their own, equal ones too. Columns that base
+    doesn't have, and those that begin with an underscore, are ignored. Cells that aren't of a column's type are null there, and null
+    text cells are empty.
+    """
+    known = [c for c in sheet.columns if c in base.columns and c != key and not c.startswith("_")]
+    if not known:
+        raise ValueError(f"none of the columns {', '.join(sheet.columns[:8])} is one of the table's")
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in known}
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    own = F.nullif(F.trim(F.col(key).cast("string")), F.lit("")) if key in sheet.columns else F.lit(None).cast("string")
+    rows = sheet.select(own.alias("_id"), at.alias("_at"), F.struct(*[text[c].alias(c) for c in known]).alias("_v"), reduce(lambda a, b: a | b, [F.trim(text[c]) != "" for c in known]).alias("_filled"))
+    rows = cut(rows.withColumn("_id", F.coalesce("_id", F.left(F.sha1(F.concat_ws("|", F.lit("csv"), F.col("_at").cast("string"), F.to_json("_v"))), F.lit(16)))))
+    old = base.select(F.col(key).cast("string").alias("_id"), F.lit(True).alias("_old")).distinct()
+    per = rows.groupBy("_id").agg(F.max_by("_v", "_at").alias("_v"), F.count("*").alias("_n"), F.min(F.when(F.col("_filled"), F.col("_at"))).alias("_first")).join(old, "_id", "left")
+    per = cut(per.withColumn("_old", F.coalesce("_old", F.lit(False))))
+    # Rows of a new id before its first filled one are skipped.
+    early = rows.join(per.where("NOT _old").select("_id", F.col("_first").alias("_f")), "_id").groupBy("_id").agg(F.count_if(F.col("_f").isNull() | (F.col("_at") < F.col("_f"))).alias("_early"))
+    counts = per.join(early, "_id", "left").fillna(0, ["_early"])
+    add = ~F.col("_old") & F.col("_first").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    report = counts.agg(total(F.when(F.col("_old"), F.col("_n")).when(add, F.col("_n") - F.col("_early") - 1).otherwise(0)).alias("updated"), F.count_if(add).alias("added"), total(F.col("_early")).alias("skipped"))
+    touched = per.where("_old OR _first IS NOT NULL")
+    put = {c: F.col(f"_v.{c}") if base.schema[c].dataType.simpleString() == "string" else F.col(f"_v.{c}").try_cast(base.schema[c].dataType) for c in known}
+    both = base.withColumn("_id", F.col(key).cast("string")).join(touched.select("_id", "_v"), "_id", "full")
+    hit = F.col("_v").isNotNull()
+    out = both.select(*[F.coalesce(F.col(key), F.col("_id").cast(base.schema[key].dataType)).alias(key) if c == key else F.when(hit, put[c]).otherwise(F.col(c)).alias(c) if c in known else F.col(c) for c in base.columns])
+    return out, report, touched.select(F.col("_id").alias("row_id"), F.lit("approved").alias("status"))
 
 
 def export_csv(df: DataFrame, path: str, key: str = "_row_id") -> None:
@@ -198,14 +221,54 @@ def geojson(df: DataFrame, lat: str, lng: str, properties: list[str]) -> DataFra
     return df.where(valid_point(F.col(lat), F.col(lng))).select(F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
-def ics_events(df: DataFrame) -> DataFrame:
-    """id, entry: a calendar entry of each row with a start (id, title, starts, ends as days); all-day, so the end is the day after."""
-    esc = lambda c: F.regexp_replace(F.regexp_replace(collapse(c), r"([\;,])", r"\\$1"), "\n", r"\\n")
+def _escaped(c):
+    """A text value of a calendar: backslashes, semicolons, commas and line ends are escaped."""
+    for sign, by in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+        c = F.replace(c, F.lit(sign), F.lit(by))
+    return c
+
+
+@F.arrow_udf(StringType())
+def _line(texts: pa.Array) -> pa.Array:
+    """Lines of over 73 bytes go on in the next, after a space: each takes as many of the next 72 characters as fit into 73 bytes."""
+
+    def one(text: str) -> str:
+        parts = []
+        while len(text.encode()) > 73:
+            k = len(text[:72].encode()[:73].decode(errors="ignore"))
+            parts.append(text[:k])
+            text = " " + text[k:]
+        return "\r\n".join([*parts, text])
+
+    return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
+
+
+def ics_events(df: DataFrame, domain: str = "registry.example", stamp: str | None = None) -> DataFrame:
+    """id, entry: a calendar entry of each row with a start (id, title, starts, ends as days; description, url, location where df has them).
+
+    All-day, so the end is the day after. Values are escaped, lines are folded and end in CR LF. stamp: when the entries were made,
+    as yyyyMMddTHHmmssZ.
+    """
     day = lambda c: F.date_format(c, "yyyyMMdd")
-    lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("id").cast("string")), F.concat(F.lit("SUMMARY:"), esc(F.col("title"))), F.concat(F.lit("DTSTART;VALUE=DATE:"), day("starts")), F.concat(F.lit("DTEND;VALUE=DATE:"), day(F.date_add(F.greatest(F.coalesce("ends", "starts"), F.col("starts")), 1))), F.lit("END:VEVENT")]
+    value = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", _line(F.concat(F.lit(f"{c.upper()}:"), _escaped(F.col(c).cast("string")))))
+    lines = [
+        F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("id").cast("string"), F.lit(f"@{domain}")), F.lit(f"DTSTAMP:{stamp}") if stamp else F.lit(None).cast("string"), F.concat(F.lit("DTSTART;VALUE=DATE:"), day("starts")),
+        F.concat(F.lit("DTEND;VALUE=DATE:"), day(F.date_add(F.greatest(F.coalesce("ends", "starts"), F.col("starts")), 1))), _line(F.concat(F.lit("SUMMARY:"), _escaped(F.coalesce("title", F.lit(""))))), *(value(c) for c in ("description", "url", "location") if c in df.columns),
+        F.lit("TRANSP:TRANSPARENT"), F.lit("END:VEVENT"),
+    ]
     return df.where("starts IS NOT NULL").select("id", F.concat_ws("\r\n", *lines).alias("entry"))
 
 
+def ics_calendar(events: DataFrame, name: str, product: str = "registry") -> DataFrame:
+    """n, line: a calendar's frame around the entries of `ics_events`, in order of id; written in order of n they are one file."""
+    head = ["BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:-//{product}//EN", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", f"X-WR-CALNAME:{name}"]
+    spark = events.sparkSession
+    frame = spark.createDataFrame([(0, None, "\r\n".join(head)), (2, None, "END:VCALENDAR")], "part int, id string, line string")
+    every = frame.unionByName(events.select(F.lit(1).alias("part"), F.col("id").cast("string").alias("id"), F.col("entry").alias("line")))
+    ranged = every.repartitionByRange("part", "id").sortWithinPartitions("part", "id")
+    return ranged.select(F.monotonically_increasing_id().alias("n"), "line")
+
+
 def jsonld(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, document: a linked-data object for each node; edges are arrays of ids by type, in order."""
     own = edges.groupBy("src", "type").agg(F.array_sort(F.collect_set("dst")).alias("ids")).groupBy("src").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "ids")))).alias("links"))

@@ -35,22 +35,33 @@ def privacy_project(spark, sf_dir):
     return R.privacy_project(c)
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS _row_id, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0 THEN 'new' ELSE o_orderpriority END AS o_orderpriority FROM orders UNION ALL SELECT 'n' || CAST(o_orderkey AS VARCHAR), 'new' FROM orders WHERE o_orderkey % 50 = 0")
-def import_sheet(spark, sf_dir):
-    base = Tables(spark, sf_dir).rows_.select("_row_id", "o_orderpriority")
+def _sheet(spark, sf_dir):
+    """Orders, and a sheet: known ids with new and blank cells, some of them twice, new ids whose first row is blank, blank ones, and rows without id."""
+    base = Tables(spark, sf_dir).rows_.select("_row_id", "o_orderpriority", F.lit("kept").alias("_note"))
     k = F.col("_row_id").cast("long")
-    sheet = base.where(k % 7 == 0).select("_row_id", F.when(k % 3 != 0, "new").otherwise("  ").alias("o_orderpriority"), F.lit("x").alias("foreign"))
-    sheet = sheet.unionByName(base.where(k % 50 == 0).select(F.concat(F.lit("n"), "_row_id").alias("_row_id"), F.lit("new").alias("o_orderpriority"), F.lit("x").alias("foreign")))
-    return R.import_csv(base, sheet)[0]
+    put = lambda where, id_, value, part: base.where(where).select(id_.alias("_row_id"), value.alias("o_orderpriority"), F.lit("x").alias("foreign"), F.lit("lost").alias("_note"), (k * 10 + part).alias("seq"))
+    none = F.lit(None).cast("string")
+    sheet = put(k % 7 == 0, F.concat(F.lit(" "), "_row_id"), F.when(k % 5 == 0, "  ").otherwise("new"), 1).unionByName(put(k % 21 == 0, F.col("_row_id"), F.lit("again"), 2))
+    sheet = sheet.unionByName(put(k % 50 == 0, F.concat(F.lit("n"), "_row_id"), none, 3)).unionByName(put(k % 50 == 0, F.concat(F.lit("n"), "_row_id"), F.lit("new"), 4))
+    return base, sheet.unionByName(put(k % 60 == 0, F.concat(F.lit("b"), "_row_id"), F.lit(""), 5)).unionByName(put(k % 80 == 0, F.lit(" "), F.lit("loose"), 6))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS _row_id, CASE WHEN o_orderkey % 21 = 0 THEN 'again' WHEN o_orderkey % 35 = 0 THEN '  ' WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderpriority END AS o_orderpriority, 'kept' AS _note FROM orders UNION ALL SELECT 'n' || CAST(o_orderkey AS VARCHAR), 'new', NULL FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'own', 'loose', NULL FROM orders WHERE o_orderkey % 80 = 0")
+def import_sheet(spark, sf_dir):
+    base, sheet = _sheet(spark, sf_dir)
+    out = R.import_csv(base, sheet, order="seq")[0]
+    return out.withColumn("_row_id", F.when(F.col("o_orderpriority") == "loose", "own").otherwise(F.col("_row_id")))
 
 
-@query("SELECT count(*) FILTER (WHERE o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0) AS updated, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS added, count(*) FILTER (WHERE o_orderkey % 7 = 0 AND o_orderkey % 3 = 0) AS skipped FROM orders")
+@query("SELECT count(*) FILTER (WHERE o_orderkey % 7 = 0) + count(*) FILTER (WHERE o_orderkey % 21 = 0) AS updated, count(*) FILTER (WHERE o_orderkey % 50 = 0) + count(*) FILTER (WHERE o_orderkey % 80 = 0) AS added, count(*) FILTER (WHERE o_orderkey % 50 = 0) + count(*) FILTER (WHERE o_orderkey % 60 = 0) AS skipped FROM orders")
 def import_report(spark, sf_dir):
-    base = Tables(spark, sf_dir).rows_.select("_row_id", "o_orderpriority")
-    k = F.col("_row_id").cast("long")
-    sheet = base.where(k % 7 == 0).select("_row_id", F.when(k % 3 != 0, "new").alias("o_orderpriority"))
-    sheet = sheet.unionByName(base.where(k % 50 == 0).select(F.concat(F.lit("n"), "_row_id").alias("_row_id"), F.lit("new").alias("o_orderpriority")))
-    return R.import_csv(base, sheet)[1]
+    return R.import_csv(*_sheet(spark, sf_dir), order="seq")[1]
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS row_id, 'approved' AS status FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'n' || CAST(o_orderkey AS VARCHAR), 'approved' FROM orders WHERE o_orderkey % 50 = 0")
+def import_approvals(spark, sf_dir):
+    base, sheet = _sheet(spark, sf_dir)
+    return R.import_csv(base, sheet.where("trim(_row_id) <> ''"), order="seq")[2]
 
 
 @query("SELECT p_partkey, 'pending' AS status, p_type || ' | ' || p_brand AS tags FROM part UNION ALL SELECT -1 - p_partkey, 'approved', p_type FROM part")
@@ -116,9 +127,10 @@ def geojson(spark, sf_dir):
     return R.geojson(c, "lat", "lng", ["c_name"])
 
 
-@query("SELECT o_orderkey AS id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || o_orderkey || chr(13) || chr(10) || 'SUMMARY:A\\, b\; ' || o_orderpriority || chr(13) || chr(10) || 'DTSTART;VALUE=DATE:' || strftime(o_orderdate, '%Y%m%d') || chr(13) || chr(10) || 'DTEND;VALUE=DATE:' || strftime(CAST(o_orderdate AS DATE) + 1, '%Y%m%d') || chr(13) || chr(10) || 'END:VEVENT' AS entry FROM orders")
+@query(r"""SELECT o_orderkey AS id, array_to_string(['BEGIN:VEVENT', 'UID:' || o_orderkey || '@registry.example', 'DTSTART;VALUE=DATE:' || strftime(o_orderdate, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(CAST(o_orderdate AS DATE) + 1, '%Y%m%d'),
+ 'SUMMARY:A\\b\,  c\; ' || o_orderpriority || '\nnext', 'DESCRIPTION:' || repeat('x', 60) || chr(13) || chr(10) || ' ' || repeat('x', 40), 'TRANSP:TRANSPARENT', 'END:VEVENT'], chr(13) || chr(10)) AS entry FROM orders""")
 def ics_events(spark, sf_dir):
-    o = Tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("id"), F.concat(F.lit("A,  b; "), "o_orderpriority").alias("title"), F.to_date("o_orderdate").alias("starts"), F.lit(None).cast("date").alias("ends"))
+    o = Tables(spark, sf_dir)["orders"].select(F.col("o_orderkey").alias("id"), F.concat(F.lit("A\\b,  c; "), "o_orderpriority", F.lit("\nnext")).alias("title"), F.to_date("o_orderdate").alias("starts"), F.lit(None).cast("date").alias("ends"), F.repeat(F.lit("x"), F.lit(100)).alias("description"))
     return R.ics_events(o)
 
 

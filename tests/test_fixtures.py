@@ -53,13 +53,34 @@ def test_slugs():
     assert tables.slug_columns(["Artist Name", "artist-name", "2nd place", "", "é", "x" * 60]) == ["artist_name", "artist_name_2", "c_2nd_place", "col", "col_2", "x" * 48]
 
 
-def test_import_keeps_old_values_of_blank_cells(spark):
-    base = spark.createDataFrame([("1", "a", 1.0), ("2", "b", 2.0)], "_row_id string, name string, size double")
-    sheet = spark.createDataFrame([("1", " ", "7"), ("3", "c", None), ("2", "", ""), (None, "d", "4")], "_row_id string, name string, size string")
-    out, report = tables.import_csv(base, sheet)
-    rows = {r._row_id: (r.name, r.size) for r in out.collect()}
-    assert rows["1"] == ("a", 7.0) and rows["2"] == ("b", 2.0) and rows["3"] == ("c", None) and len(rows) == 4
-    assert tuple(report.first()) == (1, 2, 1)
+def test_imports_go_row_by_row(spark):
+    base = spark.createDataFrame([("1", "a", 1.0, "n"), ("2", "b", 2.0, "n"), ("3", "c", 3.0, "n")], "_row_id string, name string, size double, _note string")
+    sheet = spark.createDataFrame([
+        (0, "1", " ", "7", "z"), (1, None, "d", "4", "z"), (2, "9", "", None, "z"), (3, "9", "e", "x", "z"), (4, "9", "", "", "z"), (5, "2", "p", "1", "z"), (6, "2", "q", "2", "z"), (7, " ", "d", "4", "z"), (8, None, " ", "", "z"), (9, "8", "", "", "z"),
+    ], "n long, _row_id string, name string, size string, _note string")
+    out, report, approvals = tables.import_csv(base, sheet, order="n")
+    rows = {r._row_id: (r.name, r.size, r._note) for r in out.collect()}
+    loose = [i for i in rows if len(i) == 16]
+    assert {i: v for i, v in rows.items() if i not in loose} == {"1": (" ", 7.0, "n"), "2": ("q", 2.0, "n"), "3": ("c", 3.0, "n"), "9": ("", None, None)}
+    assert [rows[i] for i in loose] == [("d", 4.0, None)] * 2 and tuple(report.first()) == (4, 3, 3)
+    assert {r.row_id for r in approvals.collect()} == {"1", "2", "9", *loose}
+    with pytest.raises(ValueError):
+        tables.import_csv(base, sheet.select("_row_id", "_note"))
+
+
+def test_calendars_escape_and_fold(spark):
+    from datetime import date
+
+    titles = ["a\\b; c,d", "x\ny\r\nz", "é" * 60, "w" * 64, "w" * 65, "w" * 66, None, "漢" * 100, "a" + "🙂" * 40]
+    df = spark.createDataFrame([(i, t, date(2024, 2, 29), None, "http://x/" + "q" * 150) for i, t in enumerate(titles)] + [(99, "no date", None, None, "")], "id long, title string, starts date, ends date, url string")
+    got = {r.id: r.entry for r in tables.ics_events(df, stamp="20240101T000000Z").collect()}
+    assert set(got) == set(range(len(titles))) and "SUMMARY:a\\\\b\\; c\\,d\r\n" in got[0] and "SUMMARY:x\\ny\\nz\r\n" in got[1] and "DTEND;VALUE=DATE:20240301\r\n" in got[0] and "DTSTAMP:20240101T000000Z" in got[0]
+    for i, t in enumerate(titles):
+        assert all(len(line.encode()) <= 73 for line in got[i].split("\r\n"))
+        assert f"SUMMARY:{(t or '')}" in got[i].replace("\r\n ", "") or i < 2
+    assert "SUMMARY:" + "w" * 65 + "\r\n" in got[4] and "SUMMARY:" + "w" * 64 + "\r\n ww\r\n" in got[5]
+    lines = [r.line for r in tables.ics_calendar(tables.ics_events(df), "Calls").orderBy("n").collect()]
+    assert lines[0].startswith("BEGIN:VCALENDAR\r\nVERSION:2.0") and lines[-1] == "END:VCALENDAR" and len(lines) == len(titles) + 2
 
 
 def test_csv_and_snapshots_round_trip(spark, tmp_path):
