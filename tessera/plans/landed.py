@@ -80,3 +80,58 @@ def corpus_records(spark, sf_dir):
 def corpus_left_out(spark, sf_dir):
     """What was left out of them, by reason."""
     return _landed(spark, sf_dir)[1]
+
+
+#: Types of parts are the techniques; every second brand is a trait, whose facet is its first letters.
+_REPLIES = """p AS (SELECT p_partkey AS id, p_type, p_brand, p_size % 12 / 10.0 AS c, p_partkey % 5 AS how FROM part),
+brands AS (SELECT DISTINCT p_brand FROM part WHERE CAST(right(p_brand, 1) AS INT) % 2 = 0)"""
+
+
+def _replies(spark, sf_dir: str):
+    p = Tables(spark, sf_dir)["part"]
+    how, q = F.col("p_partkey") % 5, lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    score = F.round(F.col("p_size") % 12 / 10.0, 1).cast("string")
+    listed = F.concat(F.lit('Here {it} is: ```json {"techniques": [{"label": '), q(F.upper("p_type")), F.lit(', "confidence": '), score, F.lit('}, "Odd words"], "traits": {"any": ['), q(F.col("p_brand")), F.lit(']}, "caveats": ["a", null, "b"]} ```'))
+    mapped = F.concat(F.lit('{"techniques": {'), q(F.col("p_type")), F.lit(': "'), score, F.lit('"}, "traits": ['), q(F.lower("p_brand")), F.lit(', '), q(F.lower("p_brand")), F.lit("]}"))
+    single = F.concat(F.lit('{"techniques": '), q(F.concat(F.lit("  "), F.col("p_type"))), F.lit(', "evidence": "seen"}'))
+    reply = F.when(how == 0, listed).when(how == 1, mapped).when(how == 2, single).when(how == 3, F.substring(listed, 1, 60)).otherwise(F.lit(None))
+    techniques = p.select("p_type").distinct().select(F.col("p_type").alias("term"), F.col("p_type").alias("label"))
+    traits = p.select("p_brand").distinct().where("CAST(right(p_brand, 1) AS INT) % 2 = 0").select(F.col("p_brand").alias("term"), F.col("p_brand").alias("label"), F.left("p_brand", F.lit(2)).alias("facet"))
+    from tessera.operators.replies import normalise_replies
+
+    return normalise_replies(p.select(F.col("p_partkey").alias("id"), reply.alias("reply")), "id", "reply", techniques, traits)
+
+
+@query(f"""WITH {_REPLIES} SELECT id, CASE WHEN how < 2 THEN p_type || ':' || printf('%.2f', least(1, c)) WHEN how = 2 THEN p_type || ':0.50' ELSE '' END AS techniques, CASE WHEN how < 2 AND b.p_brand IS NOT NULL THEN left(p.p_brand, 2) || '=' || p.p_brand || ':0.50' ELSE '' END AS traits,
+ CASE WHEN how = 0 THEN concat_ws('|', 'Odd words', CASE WHEN b.p_brand IS NULL THEN p.p_brand END) WHEN how = 1 AND b.p_brand IS NULL THEN lower(p.p_brand) ELSE '' END AS unmapped, CASE WHEN how = 0 THEN 'a; b' ELSE '' END AS caveats, CASE WHEN how = 2 THEN 'seen' ELSE '' END AS evidence FROM p LEFT JOIN brands b ON b.p_brand = p.p_brand""")
+def model_replies(spark, sf_dir):
+    """Replies in several forms, one of them cut off, against vocabularies of types and brands."""
+    told = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(x["label"], F.lit(":"), F.format_string("%.2f", x["confidence"]))), "|")
+    traits = F.array_join(F.transform(F.map_entries("traits"), lambda e: F.concat(e["key"], F.lit("="), told(e["value"]))), "|")
+    return _replies(spark, sf_dir).select("id", told(F.col("techniques")).alias("techniques"), traits.alias("traits"), F.array_join("unmapped", "|").alias("unmapped"), "caveats", F.array_join("evidence", "|").alias("evidence"))
+
+
+_CELLS = "c AS (SELECT p_partkey AS id, p_type || '; ' || p_brand || ' | x ' || lower(p_type) || ' y (a, b)' AS cell, p_type, p_brand FROM part)"
+
+
+def _resolved(spark, sf_dir: str) -> DataFrame:
+    from tessera.operators.terms import resolve_terms, vocabulary
+
+    p = Tables(spark, sf_dir)["part"]
+    cell = F.concat("p_type", F.lit("; "), "p_brand", F.lit(" | x "), F.lower("p_type"), F.lit(" y (a, b)"))
+    none = F.lit(None).cast("array<string>")
+    terms = p.select("p_type").distinct().select(F.concat(F.lit("t:"), "p_type").alias("id"), F.col("p_type").alias("label"), none.alias("alternatives"), none.alias("old"))
+    return resolve_terms(p.select(F.col("p_partkey").alias("id"), cell.alias("cell")), "id", "cell", vocabulary(terms))
+
+
+@query(f"WITH {_CELLS} SELECT id, 0 AS n, p_type AS part, 't:' || p_type AS term_id, 'label' AS how FROM c UNION ALL SELECT id, 1, p_brand, NULL, NULL FROM c UNION ALL SELECT id, 2, 'x ' || lower(p_type) || ' y (a, b)', 't:' || p_type, 'contained' FROM c")
+def resolved_terms(spark, sf_dir):
+    """Parts of cells as terms: whole, unknown, and found inside."""
+    return _resolved(spark, sf_dir)
+
+
+@query("SELECT p_brand AS part, count(*) AS n FROM part GROUP BY 1")
+def unknown_terms(spark, sf_dir):
+    from tessera.operators.terms import unknown_terms as unknown
+
+    return unknown(_resolved(spark, sf_dir))
