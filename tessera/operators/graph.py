@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import norm, split_multi
+from tessera.functions.text import collapse, norm, split_multi
 from tessera.operators.terms import contained
 from tessera.shared import cut
 
@@ -138,33 +138,60 @@ def text_mentions(texts: DataFrame, names: DataFrame, least: int = 5) -> DataFra
     return contained(t, own).select("id", "p").distinct().join(own.distinct(), "p").select("id", "name_id").distinct()
 
 
-def build_graph(artists: DataFrame, objects: DataFrame, studios: DataFrame, claims: DataFrame, similar: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, label, type; edges: src, dst, type, confidence, weight) by rule.
+def build_graph(submissions: DataFrame, directory: DataFrame, studios: DataFrame, objects: DataFrame, lineage: DataFrame, claims: DataFrame, similar: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, label, type, source; edges: src, dst, type, confidence, weight, relation) of gated tables, by rule.
 
-    artists: id, name, techniques, studio, mentor, bio. objects: id, title, maker, techniques. studios: id, name. claims:
-    object_id, collector_uid, collector_name, status. similar: a, b, similarity of objects. Rules: uses (listed techniques),
-    made_by (the maker's name), based_at (the studio's name, or its name in the bio), studied_under (the mentor's name, or an
-    artist's name in the bio after structured ones), similar_to, collected_by (held claims). A name that several have goes to
-    the smallest id. Edges whose end is no node are left out.
+    submissions: name, techniques (apart by " | "), studied_under, text. directory: name, technique, text. studios: name. objects: id,
+    title, maker, techniques (apart by commas or bars), locations (an array, of their events). lineage: student, mentor, relation. claims:
+    object_id, collector_uid, collector_name, status. similar: a, b, similarity of objects. labels: label, the spelling of techniques.
+
+    People, studios and techniques are one node for each name (any case, spaces collapsed), in the spelling of the first source that has
+    it: submission, directory, object, lineage; of one source's the smallest. Rules: uses; made_by, whoever made a piece; based_at, a studio's
+    name in an event's place or in a person's text; studied_under, a lineage row, or a known person's name in what a submission says of
+    its teachers; similar_to; collected_by, held claims. Names of fewer than five letters aren't looked for in texts. Of equal edges the
+    surest stands. Techniques and studios without an edge are left out.
     """
-    a = artists.select(F.concat(F.lit("artist:"), F.col("id").cast("string")).alias("id"), F.col("name").alias("label"), F.lit("artist").alias("type"), "techniques", "studio", "mentor", "bio")
-    o = objects.select(F.concat(F.lit("object:"), F.col("id").cast("string")).alias("id"), F.col("title").alias("label"), F.lit("object").alias("type"), "techniques", "maker")
-    s = studios.select(F.concat(F.lit("studio:"), F.col("id").cast("string")).alias("id"), F.col("name").alias("label"), F.lit("studio").alias("type"))
-    edge = lambda df, src, dst, kind, sure, weight=None: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"), (F.lit(1.0) if weight is None else F.col(weight)).cast("double").alias("weight"))
-    by_name = lambda df: df.groupBy(norm(F.col("label")).alias("k")).agg(F.min("id").alias("dst")).where("k <> ''")
-    uses = a.select("id", "techniques").unionByName(o.select("id", "techniques")).select("id", F.explode(split_multi(F.col("techniques"))).alias("t"))
-    uses = uses.withColumn("dst", F.concat(F.lit("technique:"), norm(F.col("t"))))
-    techniques = uses.groupBy(F.col("dst").alias("id")).agg(F.min("t").alias("label")).withColumn("type", F.lit("technique"))
-    known_a, known_s = by_name(a), by_name(s)
-    named = lambda df, col, known: df.withColumn("k", norm(F.col(col))).join(known, "k")
-    mentions = lambda known: text_mentions(a.select("id", F.col("bio").alias("text")), known.select(F.col("dst").alias("name_id"), F.col("k").alias("name")))
-    held = claims.where(F.col("status").isin("verified", "approved") & (F.coalesce("collector_uid", F.lit("")) != "")).select(F.concat(F.lit("object:"), F.col("object_id").cast("string")).alias("id"), F.concat(F.lit("collector:"), F.col("collector_uid")).alias("dst"), "collector_name")
-    held = held.join(o.select("id"), "id", "left_semi")
-    collectors = held.groupBy(F.col("dst").alias("id")).agg(F.coalesce(F.min("collector_name"), F.lit("a collector")).alias("label")).withColumn("type", F.lit("collector"))
-    edges = [edge(uses, "id", "dst", "uses", "structured"), edge(named(o, "maker", known_a), "id", "dst", "made_by", "structured"), edge(named(a, "studio", known_s), "id", "dst", "based_at", "structured"), edge(mentions(known_s), "id", "name_id", "based_at", "text")]
-    edges += [edge(named(a, "mentor", known_a), "id", "dst", "studied_under", "structured"), edge(mentions(known_a), "id", "name_id", "studied_under", "text"), edge(held, "id", "dst", "collected_by", "structured")]
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), norm(F.col(c)))
+    named = lambda df, c: df.where(F.coalesce(norm(F.col(c)), F.lit("")) != "")
+    edge = lambda df, src, dst, kind, sure, weight=None, relation=None: df.select(
+        F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence"), (F.lit(1.0) if weight is None else F.col(weight)).cast("double").alias("weight"), (F.col(relation) if relation else F.lit(None)).cast("string").alias("relation"))
+    subs, known = (named(df, "name").withColumn("id", key("artist", "name")) for df in (submissions, directory))
+    pieces = objects.where(F.coalesce(F.col("id").cast("string"), F.lit("")) != "").withColumn("id", F.concat(F.lit("object:"), F.col("id").cast("string")))
+    made = named(pieces, "maker").withColumn("dst", key("artist", "maker"))
+    taught = named(named(lineage, "student"), "mentor").where(norm(F.col("student")) != norm(F.col("mentor"))).select(key("artist", "student").alias("id"), key("artist", "mentor").alias("dst"), "student", "mentor", F.coalesce(F.nullif(F.trim("relation"), F.lit("")), F.lit("Studied under")).alias("relation"))
+    people = [subs.select("id", F.col("name").alias("label"), F.lit(0).alias("k")), known.select("id", F.col("name").alias("label"), F.lit(1).alias("k")), made.select(F.col("dst").alias("id"), F.col("maker").alias("label"), F.lit(2).alias("k"))]
+    people += [taught.select(F.col(i).alias("id"), F.col(c).alias("label"), F.lit(3).alias("k")) for i, c in (("id", "student"), ("dst", "mentor"))]
+    first = lambda frames: reduce(DataFrame.unionByName, frames).withColumn("label", collapse(F.col("label"))).groupBy("id").agg(F.min(F.struct("k", "label")).alias("f"))
+    artists = cut(first(people).select("id", "f.label", F.element_at(F.array(*map(F.lit, ("submission", "directory", "object", "lineage"))), F.col("f.k") + 1).alias("source")))
+    shops = cut(named(studios, "name").select(key("studio", "name").alias("id"), "name").groupBy("id").agg(F.min(collapse(F.col("name"))).alias("label")))
+
+    words = subs.select("id", F.explode(F.split("techniques", r" \| ")).alias("t")).unionAll(known.select("id", F.col("technique").alias("t"))).unionAll(pieces.select("id", F.explode(split_multi(F.col("techniques"), "[,|]")).alias("t")))
+    uses = named(words, "t").withColumn("dst", key("technique", "t"))
+    techniques = uses.groupBy(F.col("dst").alias("id")).agg(F.min(collapse(F.col("t"))).alias("label"))
+    if labels is not None:
+        spelt = labels.groupBy(key("technique", "label").alias("id")).agg(F.min("label").alias("own"))
+        techniques = techniques.join(spelt, "id", "left").select("id", F.coalesce("own", "label").alias("label"))
+
+    def mentions(texts: DataFrame, nodes: DataFrame, low) -> DataFrame:
+        """id, dst: the nodes whose label stands in a text of texts (id, t)."""
+        own = nodes.select(F.col("id").alias("dst"), F.lower("label").alias("p")).where(F.length("p") >= 5)
+        return contained(texts.select("id", low(F.col("t")).alias("t")), own).select("id", "p").distinct().join(own, "p").select("id", "dst").distinct()
+
+    places = pieces.select("id", F.explode("locations").alias("t"))
+    texts = subs.select("id", F.col("text").alias("t")).unionAll(known.select("id", F.col("text").alias("t")))
+    held = claims.where(F.col("status").isin("verified", "approved") & (F.coalesce(F.trim("collector_uid"), F.lit("")) != "")).select(F.concat(F.lit("object:"), F.col("object_id").cast("string")).alias("id"), F.concat(F.lit("collector:"), F.trim("collector_uid")).alias("dst"), "collector_name")
+    held = held.join(pieces.select("id"), "id", "left_semi")
+    collectors = held.groupBy(F.col("dst").alias("id")).agg(F.coalesce(F.min(F.nullif(collapse(F.col("collector_name")), F.lit(""))), F.lit("a collector")).alias("label"))
+    edges = [
+        edge(uses, "id", "dst", "uses", "structured"), edge(made, "id", "dst", "made_by", "structured"), edge(mentions(places, shops, norm), "id", "dst", "based_at", "event"), edge(taught, "id", "dst", "studied_under", "structured", relation="relation"),
+        edge(mentions(subs.select("id", F.col("studied_under").alias("t")), artists, F.lower), "id", "dst", "studied_under", "text"), edge(mentions(texts, shops, F.lower), "id", "dst", "based_at", "text"), edge(held, "id", "dst", "collected_by", "structured"),
+    ]
     if similar is not None:
         edges.append(edge(similar.select(F.concat(F.lit("object:"), F.col("a").cast("string")).alias("id"), F.concat(F.lit("object:"), F.col("b").cast("string")).alias("dst"), F.round("similarity", 3).alias("w")), "id", "dst", "similar_to", "fingerprint", "w"))
     found = dedupe_edges(reduce(DataFrame.unionByName, edges).where("src <> dst"))
-    nodes = reduce(DataFrame.unionByName, [x.select("id", "label", "type") for x in (a, o, s, techniques, collectors)])
+    none = F.lit(None).cast("string")
+    titled = pieces.select("id", F.coalesce(F.nullif(collapse(F.col("title")), F.lit("")), F.lit("Untitled")).alias("label")).dropDuplicates(["id"])
+    nodes = artists.select("id", "label", F.lit("artist").alias("type"), "source")
+    for df, kind in ((titled, "object"), (shops, "studio"), (techniques, "technique"), (collectors, "collector")):
+        nodes = nodes.unionByName(df.select("id", "label", F.lit(kind).alias("type"), none.alias("source")))
     return drop_orphans(nodes, found), found

@@ -11,28 +11,33 @@ from tessera.operators import resolution as E
 from tessera.plans.base import Tables, query
 
 _N = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
-_GRAPH = f"""a AS (SELECT 'artist:' || id AS id, {_N.format("name")} AS k, * EXCLUDE (id) FROM people), o AS (SELECT 'object:' || id AS id, * EXCLUDE (id) FROM pieces), s AS (SELECT 'studio:' || id AS id, {_N.format("name")} AS k FROM studios_),
- ka AS (SELECT k, min(id) AS dst FROM a GROUP BY 1), ks AS (SELECT k, min(id) AS dst FROM s GROUP BY 1),
- uses AS (SELECT id AS src, 'technique:' || lower(trim(unnest(string_split_regex(techniques, '[,|;]')))) AS dst FROM (SELECT id, techniques FROM a UNION ALL SELECT id, techniques FROM o)),
+_GRAPH = f"""sub AS (SELECT 'artist:' || {_N.format("name")} AS id, * EXCLUDE (id) FROM people WHERE CAST(id AS INT) % 2 = 0), dir AS (SELECT 'artist:' || {_N.format("name")} AS id, name, split_part(techniques, ',', 1) AS technique, bio FROM people WHERE CAST(id AS INT) % 2 = 1),
+ o AS (SELECT 'object:' || id AS id, title, techniques, maker, CASE WHEN CAST(id AS INT) % 10 = 0 THEN 'near  SUPPLIER#00000000' || CAST(id AS INT) % 7 || ' yard' END AS place FROM pieces), li AS (SELECT 'artist:' || {_N.format("name")} AS id, 'artist:' || {_N.format("mentor")} AS dst, name, mentor FROM people WHERE {_N.format("name")} <> {_N.format("mentor")}),
+ art AS (SELECT id FROM sub UNION SELECT id FROM dir UNION SELECT 'artist:' || {_N.format("maker")} FROM o UNION SELECT id FROM li UNION SELECT dst FROM li), sh AS (SELECT DISTINCT 'studio:' || {_N.format("name")} AS id, {_N.format("name")} AS k FROM studios_),
+ uses AS (SELECT id AS src, 'technique:' || {_N.format("techniques")} AS dst FROM sub UNION SELECT id, 'technique:' || {_N.format("technique")} FROM dir UNION SELECT id, 'technique:' || {_N.format("techniques")} FROM o),
  held AS (SELECT DISTINCT 'object:' || object_id AS src, 'collector:' || collector_uid AS dst FROM found_by WHERE status IN ('verified', 'approved')),
- e AS (SELECT src, dst, 'uses' AS type, 0 AS sure FROM uses WHERE dst <> 'technique:' UNION ALL SELECT o.id, ka.dst, 'made_by', 0 FROM o JOIN ka ON {_N.format("o.maker")} = ka.k
-  UNION ALL SELECT a.id, ks.dst, 'based_at', 0 FROM a JOIN ks ON {_N.format("a.studio")} = ks.k UNION ALL SELECT a.id, ks.dst, 'based_at', 3 FROM a JOIN ks ON length(ks.k) >= 5 AND contains({_N.format("a.bio")}, ks.k)
-  UNION ALL SELECT a.id, ka.dst, 'studied_under', 0 FROM a JOIN ka ON {_N.format("a.mentor")} = ka.k UNION ALL SELECT a.id, ka.dst, 'studied_under', 3 FROM a JOIN ka ON length(ka.k) >= 5 AND contains({_N.format("a.bio")}, ka.k)
-  UNION ALL SELECT src, dst, 'collected_by', 0 FROM held WHERE src IN (SELECT id FROM o)),
- ge AS (SELECT src, dst, type, CASE min(sure) WHEN 0 THEN 'structured' ELSE 'text' END AS confidence FROM e WHERE src <> dst GROUP BY 1, 2, 3)"""
+ e AS (SELECT src, dst, 'uses' AS type, 'structured' AS sure FROM uses UNION ALL SELECT id, 'artist:' || {_N.format("maker")}, 'made_by', 'structured' FROM o UNION ALL SELECT o.id, sh.id, 'based_at', 'event' FROM o JOIN sh ON contains({_N.format("place")}, k)
+  UNION ALL SELECT id, dst, 'studied_under', 'structured' FROM li UNION ALL SELECT sub.id, art.id, 'studied_under', 'text' FROM sub JOIN art ON length(art.id) >= 12 AND contains(lower(bio), art.id[8:]) UNION ALL SELECT t.id, sh.id, 'based_at', 'text' FROM (SELECT id, bio FROM sub UNION ALL SELECT id, bio FROM dir) t JOIN sh ON contains(lower(bio), k)
+  UNION ALL SELECT src, dst, 'collected_by', 'structured' FROM held WHERE src IN (SELECT id FROM o)),
+ ge AS (SELECT src, dst, type, min(CASE sure WHEN 'structured' THEN 0 WHEN 'event' THEN 1 ELSE 3 END) AS k FROM e WHERE src <> dst GROUP BY 1, 2, 3)"""
 
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     t = Tables(spark, sf_dir)
-    return N.build_graph(t.people, t.pieces, t.studios_, t.found_by)
+    people = t.people.withColumn("text", F.col("bio"))
+    even = F.col("id").cast("int") % 2 == 0
+    place = F.concat(F.lit("near  SUPPLIER#00000000"), (F.col("id").cast("int") % 7).cast("string"), F.lit(" yard"))
+    pieces = t.pieces.withColumn("locations", F.when(F.col("id").cast("int") % 10 == 0, F.array(place)))
+    lineage = t.people.select(F.col("name").alias("student"), "mentor", F.lit("Apprenticed").alias("relation"))
+    return N.build_graph(people.where(even).withColumn("studied_under", F.col("bio")), people.where(~even).withColumn("technique", F.split("techniques", ",")[0]), t.studios_, pieces, lineage, t.found_by)
 
 
-@query(f"WITH {_GRAPH} SELECT * FROM ge")
+@query(f"WITH {_GRAPH} SELECT src, dst, type, CASE k WHEN 0 THEN 'structured' WHEN 1 THEN 'event' ELSE 'text' END AS confidence, CASE WHEN type = 'studied_under' AND k = 0 THEN 'Apprenticed' END AS relation FROM ge")
 def graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[1].drop("weight")
 
 
-@query(f"WITH {_GRAPH}, ends AS (SELECT src AS id FROM ge UNION SELECT dst FROM ge) SELECT type, count(*) AS n FROM (SELECT id, 'artist' AS type FROM a UNION ALL SELECT id, 'object' FROM o UNION ALL SELECT id, 'studio' FROM s WHERE id IN (SELECT id FROM ends) UNION ALL SELECT DISTINCT dst, 'technique' FROM uses WHERE dst <> 'technique:' UNION ALL SELECT DISTINCT dst, 'collector' FROM held WHERE src IN (SELECT id FROM o)) GROUP BY 1")
+@query(f"WITH {_GRAPH}, ends AS (SELECT src AS id FROM ge UNION SELECT dst FROM ge) SELECT type, count(*) AS n FROM (SELECT id, 'artist' AS type FROM art UNION ALL SELECT id, 'object' FROM o UNION ALL SELECT id, 'studio' FROM sh WHERE id IN (SELECT id FROM ends) UNION ALL SELECT DISTINCT dst, 'technique' FROM uses UNION ALL SELECT DISTINCT dst, 'collector' FROM held WHERE src IN (SELECT id FROM o)) GROUP BY 1")
 def graph_nodes(spark, sf_dir):
     return _graph(spark, sf_dir)[0].groupBy("type").agg(F.count("*").alias("n"))
 
