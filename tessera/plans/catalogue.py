@@ -504,6 +504,6 @@ def stream_first_seen(spark, sf_dir):
     return S.landed(S.first_seen(S.arrived(spark, f"{sf_dir}/events.parquet"), ["user_id", "event_type"], "3650 days"), "seen")
 
 
-from tessera.plans import comparison, landed, matching, relations, staging, streams, tables, workflow  # noqa: E402, F401
+from tessera.plans import comparison, landed, matching, records, relations, staging, streams, tables, workflow  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]
