@@ -16,6 +16,8 @@ from tessera.operators.graph import components
 #: Titles before a name; the ratio of near names.
 TITLES = r"^(mr|mrs|ms|dr|prof|sir|dame)\.? +"
 NEAR = 0.94
+#: Kinds of items that are looked through for duplicates.
+KINDS = ("person", "studio", "place", "school", "museum", "funder", "show")
 
 
 def pick_canonical(items: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -72,25 +74,33 @@ def _same(items: DataFrame, key: str, *by: str) -> DataFrame:
 
 
 def near_names(df: DataFrame, key: str, name: str, block: str, threshold: float = NEAR) -> DataFrame:
-    """a, b: keys whose names differ, begin alike (block) and are near: all but one of their words are shared, or one name's words
-    are all in the other, and the ratio reaches the threshold. Such names share a word, so distinct names meet by block and word."""
-    names = df.select(block, F.col(name).alias("n"), F.col(key).alias("k")).where("n <> ''").groupBy(block, "n").agg(F.min("k").alias("k")).withColumn("w", F.split("n", " "))
-    spread = names.withColumn("part", F.explode(F.array_distinct("w")))
-    x, y = spread.toDF("block", "na", "ka", "wa", "part"), spread.toDF("block", "nb", "kb", "wb", "part")
-    shares = F.size(F.array_except("wa", "wb")) + F.size(F.array_except("wb", "wa"))
-    inside = (F.size(F.array_except("wa", "wb")) == 0) | (F.size(F.array_except("wb", "wa")) == 0)
-    most = 2 * F.least(F.length("na"), F.length("nb")) / (F.length("na") + F.length("nb"))
-    pairs = x.join(y, ["block", "part"]).where("na < nb").where((shares <= 1) | inside).where(most >= threshold).select("na", "nb", "ka", "kb").distinct()
+    """a, b, ratio: keys whose names differ, begin alike (block) and are near: one's words are all among the other's (names that differ in
+    at most one word are so too), and the ratio reaches the threshold.
+
+    So the name with fewer words meets those that have its rarest word and a length that the ratio allows: a word that most names
+    share brings hardly any pairs.
+    """
+    names = df.select(F.col(block).alias("block"), F.col(name).alias("n"), F.col(key).alias("k")).where("n <> ''").groupBy("block", "n").agg(F.min("k").alias("k")).withColumn("w", F.array_distinct(F.split("n", " ")))
+    spread = names.withColumn("part", F.explode("w"))
+    often = spread.groupBy("block", "part").agg(F.count("*").alias("often"))
+    rare = spread.join(often, ["block", "part"]).groupBy("block", "n", "k", "w").agg(F.min(F.struct("often", "part"))["part"].alias("part"))
+    size = F.length("n")
+    fits = F.sequence(F.ceil(size * threshold / (2 - threshold) - 1e-9), F.floor(size * (2 - threshold) / threshold + 1e-9))
+    x = rare.withColumn("size", F.explode(fits)).toDF("block", "na", "ka", "wa", "part", "size")
+    y = spread.withColumn("size", size.cast("long")).toDF("block", "nb", "kb", "wb", "part", "size")
+    pairs = x.join(y, ["block", "part", "size"]).where("na <> nb AND size(array_except(wa, wb)) = 0")
+    flip = F.col("na") > F.col("nb")
+    pairs = pairs.select(*(F.when(flip, F.col(f"{c}b")).otherwise(F.col(f"{c}a")).alias(f"{c}a") for c in "nk"), *(F.when(flip, F.col(f"{c}a")).otherwise(F.col(f"{c}b")).alias(f"{c}b") for c in "nk")).distinct()
     return pairs.withColumn("ratio", ratio("na", "nb")).where(F.col("ratio") >= threshold).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "ratio")
 
 
-def cluster_items(items: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """items (key, kind, label, city) with cluster: the smallest key of those that are the same.
+def cluster_items(items: DataFrame, links: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """items (key, kind, label, city) with cluster: the smallest key of those that are the same; items of other kinds are their own.
 
     The same are: equal names (studios: and city; all of a name if it has one city at most), a shared link (links: key, link),
     and near names that begin with the same letter. Kinds never mix.
     """
-    own = items.withColumn("name", name_key(F.col("label"))).withColumn("city", F.coalesce("city", F.lit("")))
+    own = items.where(F.col("kind").isin(*kinds)).withColumn("name", name_key(F.col("label"))).withColumn("city", F.coalesce("city", F.lit("")))
     studio = F.col("kind") == "studio"
     placed = own.withColumn("_city", F.when(studio, F.col("city")).otherwise(""))
     edges = [_same(placed, "key", "kind", "_city", "name")]

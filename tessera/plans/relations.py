@@ -61,19 +61,30 @@ def text_mentions(spark, sf_dir):
     return N.text_mentions(t.people.select("id", F.col("bio").alias("text")), t["supplier"].select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name")))
 
 
-@query("WITH k AS (SELECT *, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS name FROM items WHERE kind <> 'person'), f AS (SELECT key, min(key) OVER (PARTITION BY kind, CASE WHEN kind = 'studio' THEN city ELSE '' END, array_to_string(list_sort(string_split(name, ' ')), ' ')) AS cluster FROM k) SELECT * FROM f")
+_KEYED = "k AS (SELECT *, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS name FROM items), named AS (SELECT *, CASE WHEN kind IN ('person', 'studio') THEN concat_ws('|', kind, CASE WHEN kind = 'studio' THEN city ELSE '' END, array_to_string(list_sort(string_split(name, ' ')), ' ')) ELSE key END AS g FROM k)"
+
+
+@query(f"WITH {_KEYED} SELECT key, min(key) OVER (PARTITION BY g) AS cluster FROM named")
 def cluster_items(spark, sf_dir):
-    items = Tables(spark, sf_dir).items.where("kind <> 'person'")
-    return E.cluster_items(items).select("key", "cluster")
+    return E.cluster_items(Tables(spark, sf_dir).items).select("key", "cluster")
 
 
-@query("WITH l AS (SELECT key, CASE WHEN n % 3 = 0 THEN 'web:' || city END AS link FROM items WHERE kind = 'studio'), g AS (SELECT link, min(key) AS root FROM l WHERE link IS NOT NULL GROUP BY 1) SELECT key, coalesce(root, key) AS cluster FROM l LEFT JOIN g USING (link)")
+#: Every item of the link or of its name belongs to one group; studios' names are their own, persons share names, and links join the two.
+@query(f"WITH RECURSIVE {_KEYED}, l AS (SELECT key, CASE WHEN kind = 'studio' AND n % 3 = 0 THEN 'web:' || city END AS link FROM items), e AS (SELECT DISTINCT a.key AS a, b.first AS b FROM named a JOIN (SELECT g, min(key) AS first FROM named GROUP BY 1) b USING (g) UNION SELECT l.key, m.first FROM l JOIN (SELECT link, min(key) AS first FROM l WHERE link IS NOT NULL GROUP BY 1) m USING (link)), ed AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS key, a AS pos FROM ed UNION SELECT w.key, ed.b FROM w JOIN ed ON w.pos = ed.a) SELECT key, min(pos) AS cluster FROM w GROUP BY 1")
 def cluster_by_links(spark, sf_dir):
-    items = Tables(spark, sf_dir).items.where("kind = 'studio'")
-    links = items.where("n % 3 = 0").select("key", F.concat(F.lit("web:"), "city").alias("link"))
+    items = Tables(spark, sf_dir).items
+    links = items.where("kind = 'studio' AND n % 3 = 0").select("key", F.concat(F.lit("web:"), "city").alias("link"))
     return E.cluster_items(items, links).select("key", "cluster")
 
 
+@query("SELECT 'reg:person:' || c_custkey AS key, min('reg:person:' || c_custkey) OVER (PARTITION BY c_custkey % 700) AS cluster FROM customer")
+def near_name_clusters(spark, sf_dir):
+    """Names with and without one more word: near, unlike those that share all words but a number."""
+    label = F.concat(F.lit("Maker Long Name Number "), (F.col("c_custkey") % 700).cast("string"), F.when(F.col("c_custkey") % 3 == 0, " b").otherwise(""))
+    people = Tables(spark, sf_dir)["customer"].select(F.concat(F.lit("reg:person:"), F.col("c_custkey").cast("string")).alias("key"), F.lit("person").alias("kind"), label.alias("label"), F.lit("").alias("city"))
+    return E.cluster_items(people).select("key", "cluster")
+
+
 @query("WITH l AS (SELECT DISTINCT lower(c_name) AS n, min(c_custkey) AS key FROM customer GROUP BY 1), r AS (SELECT lower(s_name) AS n, min(s_suppkey) AS s FROM supplier GROUP BY 1) SELECT key, s FROM l LEFT JOIN r ON replace(l.n, 'customer', 'supplier') = r.n")
 def match_by_name(spark, sf_dir):
     t = Tables(spark, sf_dir)
