@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,14 +90,30 @@ def resolve_nodes(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     return by_id.unionByName(named_hit.join(by_id.select("ref"), "ref", "left_anti"))
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, most: int = 64) -> DataFrame:
-    """step (from 0), id, label, type of the nodes on a shortest undirected path; no rows if there is none within `most` steps.
+def path_edges(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """step (from 0), and the edges between each node of a shortest_path and the next, in whichever direction they go."""
+    own = path.select("step", F.col("id").alias("a"))
+    pairs = own.join(own.select((F.col("step") - 1).alias("step"), F.col("a").alias("b")), "step")
+    ends = pairs.select("step", F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(pairs.select("step", F.col("b").alias("src"), F.col("a").alias("dst")))
+    return F.broadcast(ends).join(edges, ["src", "dst"]).select("step", *edges.columns)
+
+
+def neighbor_edges(edges: DataFrame, near: DataFrame, start: str, depth: int = 1) -> DataFrame:
+    """The edges that `neighbors` goes along: those with an end fewer than `depth` steps away."""
+    inner = near.where(F.col("distance") < max(1, min(depth, 4))).select("id")
+    inner = inner.unionAll(edges.sparkSession.createDataFrame([(start,)], "id string"))
+    hit = edges.join(inner.select(F.col("id").alias("src")), "src", "left_semi").unionByName(edges.join(inner.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    return hit.distinct()
+
+
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
+    """step (from 0), id, label, type of the nodes on a shortest undirected path; no rows if there is none (within `most` steps, where given).
 
     A breadth-first frontier with the smallest parent of each node; steps are checkpointed and end when `end` is reached.
     """
     links = cut(undirected(edges))
     seen = cut(nodes.where(F.col("id") == start).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("step")))
-    for step in range(1, most + 1):
+    for step in count(1) if most is None else range(1, most + 1):
         if not seen.where(F.col("a") == end).isEmpty():
             break
         front = seen.where(F.col("step") == step - 1).select(F.col("a").alias("parent"))

@@ -279,3 +279,46 @@ def mean_histogram(views: DataFrame, owner: str, histogram: str) -> DataFrame:
     each = views.where(F.size(histogram) > 0).select(owner, F.posexplode(histogram).alias("at", "x"))
     means = each.groupBy(owner, "at").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return means.groupBy(owner).agg((-F.max(F.struct("m", (-F.col("at")).alias("at")))["at"]).alias("dominant"))
+
+
+def best_cut(bench: DataFrame) -> DataFrame:
+    """cut, recall, false_accept_rate, youden of the row of `match_bench` with the largest youden, the lowest on ties; no row without pairs of
+    both kinds."""
+    sound = bench.where("tp + fn > 0 AND fp + tn > 0")
+    best = sound.orderBy(F.desc("youden"), "cut").limit(1)
+    return best.select("cut", F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 3).alias("recall"), F.round(F.col("fp") / (F.col("fp") + F.col("tn")), 3).alias("false_accept_rate"), F.round("youden", 3).alias("youden"))
+
+
+def bench_report(pairs: DataFrame) -> DataFrame:
+    """One row of how verdicts did over pairs (q, r, q_label, r_label, confidence, verdict) of sessions, each with its object's label:
+    positives, negatives, the verdicts of either, precision, recall, false_accept_rate, minimum, maximum, median and mean of the scores of
+    either, separation (the least score of the same less the largest of others), piece_pairs, false_piece_pairs and rate_upper_95.
+
+    Sessions of one piece aren't independent, so false accepts are counted by pairs of pieces too; without any in n, 3 / n bounds their
+    rate with 95 % (null otherwise).
+    """
+    same, said = F.col("q_label") == F.col("r_label"), F.col("verdict")
+    own = pairs.where("q <> r").withColumn("same", same).withColumn("piece", F.when(~same, F.struct(F.least("q_label", "r_label").alias("a"), F.greatest("q_label", "r_label").alias("b"))))
+    n = lambda yes, verdict: F.count_if((F.col("same") == yes) & (said == verdict))
+    of = lambda yes: F.when(F.col("same") == yes, F.col("confidence"))
+    stats = [f(of(yes)).alias(f"{side}_{name}") for yes, side in ((True, "same"), (False, "other")) for f, name in ((F.min, "min"), (F.max, "max"), (F.median, "median"), (lambda c: F.round(F.avg(c), 1), "mean"))]
+    sums = own.agg(
+        F.count_if("same").alias("positives"), F.count_if(~F.col("same")).alias("negatives"), n(True, "match").alias("true_accepts"), n(False, "match").alias("false_accepts"), n(False, "nomatch").alias("true_rejects"), n(True, "inconc").alias("positives_inconclusive"), n(False, "inconc").alias("negatives_inconclusive"),
+        n(True, "insufficient").alias("positives_insufficient"), n(False, "insufficient").alias("negatives_insufficient"), *stats, F.countDistinct("piece").alias("piece_pairs"), F.countDistinct(F.when(said == "match", F.col("piece"))).alias("false_piece_pairs"),
+    )
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 3))
+    c = F.col
+    return sums.withColumns({
+        "precision": share(c("true_accepts"), c("true_accepts") + c("false_accepts")), "recall": share(c("true_accepts"), c("positives")), "false_accept_rate": share(c("false_accepts"), c("negatives")), "separation": c("same_min") - c("other_max"),
+        "rate_upper_95": F.when((c("piece_pairs") > 0) & (c("false_piece_pairs") == 0), F.round(3 / c("piece_pairs"), 3)),
+    })
+
+
+def bench_extremes(pairs: DataFrame, k: int = 10) -> DataFrame:
+    """kind (worst_negative or weakest_positive), rank, q, r, confidence, verdict: the k pairs that come nearest to a wrong verdict, either way."""
+    own = pairs.where("q <> r").withColumn("same", F.col("q_label") == F.col("r_label"))
+    out = []
+    for same, kind, order in ((False, "worst_negative", F.desc("confidence")), (True, "weakest_positive", F.asc("confidence"))):
+        few = own.where(F.col("same") == same).orderBy(order, "q", "r").limit(k)
+        out.append(few.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(order, "q", "r")).alias("rank"), "q", "r", "confidence", "verdict"))
+    return out[0].unionByName(out[1])

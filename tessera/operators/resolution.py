@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from tessera.functions.text import fold, norm
 from tessera.operators.graph import components
+from tessera.shared import cut
 
 #: Titles before a name; the ratio of near names.
 TITLES = r"^(mr|mrs|ms|dr|prof|sir|dame)\.? +"
@@ -281,3 +282,47 @@ def import_review(items: DataFrame, sheet: DataFrame) -> tuple[DataFrame, DataFr
     seen = r.join(items.select("key", F.col("label").alias("l"), F.col("description").alias("d"), F.lit(True).alias("known")), "key", "left")
     edited = F.col("known") & ((~F.coalesce(F.col("_label") == F.col("l"), F.col("_label").isNull())) | (~F.coalesce(F.col("_description") == F.col("d"), F.col("_description").isNull())))
     return out, seen.agg(F.count_if(edited).alias("edited"), F.count_if(F.col("known") & F.col("_into").isNotNull()).alias("merged"), F.count_if(F.col("known").isNull()).alias("unknown"))
+
+
+#: Sources of items, the most trusted first; others come after.
+SOURCES = {"artists": 0, "profiles": 1, "artist_submissions": 2, "artists_legacy": 3, "museum_artists": 4, "commissions": 5, "lineage_submissions": 6, "objects": 7, "studios": 0, "studio_submissions": 1, "studios_directory_legacy": 2, "season_entries": 3}
+KEY_PROP = "registry key"
+
+
+def fold_clusters(items: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items: key, status, canonical, cluster, note, aliases; claims: key, n, prop, kind, value, extra, quals) after clusters were folded.
+
+    items: key, kind, label, description, aliases, tbl, status, qid, cluster (of cluster_items). Of a cluster's members one that is published (has
+    a qid) is canonical, else the one of the most trusted source, then with most claims, then the longest description, then the smallest
+    key. Others become its duplicates, but for those a reviewer has split off. The canonical item gains their claims, labels and aliases that
+    it doesn't have, and their keys; if it was pushed and gains anything it is changed. Who is alone again after having been a
+    duplicate is ready, if published, else new. Other claims stay as they are, so do those of duplicates.
+    """
+    n = claims.groupBy("key").agg(F.count("*").alias("_claims"))
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SOURCES.items() for x in kv)), F.col("tbl")), F.lit(50))
+    has = F.coalesce("qid", F.lit("")) != ""
+    order = F.struct((~has).alias("a"), rank.alias("b"), (-F.coalesce("_claims", F.lit(0))).alias("c"), (-F.length(F.coalesce("description", F.lit("")))).alias("d"), "key")
+    own = items.join(n, "key", "left").withColumn("_order", order)
+    best = own.groupBy("cluster").agg(F.min("_order")["key"].alias("_best"), F.count("*").alias("_members"))
+    own = own.join(best, "cluster")
+    alone, first, split = F.col("_members") == 1, F.col("key") == F.col("_best"), F.col("status") == "split"
+    duplicate = ~alone & ~first & ~split
+    own = cut(own.withColumn("_dup", duplicate))
+    dup = own.where("_dup").select("key", F.col("_best").alias("to"), "label", "aliases", "qid")
+    same = ["prop", "kind", "value", "extra", "quals"]
+    moved = claims.where(F.col("prop") != KEY_PROP).join(dup.select("key", "to"), "key").select(F.col("to").alias("key"), F.lit(1).alias("_part"), F.concat(F.col("key"), F.lpad("n", 9, "0")).alias("_at"), *same)
+    keys = dup.select(F.col("to").alias("key"), F.lit(2).alias("_part"), F.col("key").alias("_at"), F.lit(KEY_PROP).alias("prop"), F.lit("ext").alias("kind"), F.col("key").alias("value"), F.lit(None).cast("string").alias("extra"), F.array().cast(dict(claims.dtypes)["quals"]).alias("quals"))
+    kept = claims.select("key", F.lit(0).alias("_part"), F.lpad("n", 9, "0").alias("_at"), *same)
+    every = kept.unionByName(moved).unionByName(keys).groupBy("key", *same).agg(F.min(F.struct("_part", "_at")).alias("_o"))
+    gained = every.where("_o._part > 0").select("key").distinct().withColumn("_gained", F.lit(True))
+    folded = every.select("key", F.row_number().over(Window.partitionBy("key").orderBy("_o", "prop", "value")).alias("n"), *same)
+    names = dup.select(F.col("to").alias("key"), F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("x")).where("coalesce(x, '') <> ''").groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("_more"))
+    out = own.join(names, "key", "left").join(gained, "key", "left")
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    more = F.filter(F.coalesce("_more", F.array().cast("array<string>")), lambda x: (x != F.col("label")) & ~F.array_contains(aliases, x))
+    status = F.when(F.col("_dup"), "duplicate").when(alone & (F.col("status") == "duplicate"), F.when(has, "ready").otherwise("new")).when((F.col("status") == "pushed") & (F.col("_gained") | (F.size(more) > 0)), "changed").otherwise(F.col("status"))
+    other = own.select(F.col("key").alias("_best"), F.col("qid").alias("_qid"))
+    out = out.join(other, "_best")
+    both = has & (F.coalesce("_qid", F.lit("")) != "") & (F.col("qid") != F.col("_qid"))
+    note = F.when(F.col("_dup"), F.when(both, F.concat(F.lit("also published as "), "qid")).otherwise(F.concat(F.lit("same "), "kind", F.lit(" as "), "_best")))
+    return out.select("key", status.alias("status"), F.when(F.col("_dup"), F.col("_best")).alias("canonical"), F.when(~alone, F.concat(F.lit("c:"), "_best")).alias("cluster"), note.alias("note"), F.when(F.col("_dup"), aliases).otherwise(F.concat(aliases, more)).alias("aliases")), folded

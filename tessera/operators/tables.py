@@ -147,6 +147,16 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("inferSchema", False).parquet(folder).groupBy(F.col("stamp").cast("string").alias("stamp")).agg(F.count("*").alias("n_rows")).orderBy(F.desc("stamp"))
 
 
+def prune(spark: SparkSession, folder: str, keep: int = 8) -> list[str]:
+    """Deletes all but the newest `keep` snapshots below a folder; the stamps that went."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(((s.getPath().getName().removeprefix("stamp="), s.getPath()) for s in fs.listStatus(path) if s.getPath().getName().startswith("stamp=")), key=lambda x: x[0], reverse=True)
+    for _, old in found[keep:]:
+        fs.delete(old, True)
+    return sorted(stamp for stamp, _ in found[keep:])
+
+
 def restore(spark: SparkSession, folder: str, stamp: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/stamp={stamp}")
 

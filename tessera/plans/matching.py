@@ -108,3 +108,11 @@ def assign_frames(spark, sf_dir):
 def match_bench(spark, sf_dir):
     scored = _matched(spark, sf_dir).select(F.col("confidence").alias("score"), (F.floor(F.col("q") / 100) == F.floor(F.col("r") / 100)).alias("same"))
     return M.match_bench(scored)
+
+
+@query(f"WITH {_AGG}, v AS (SELECT *, q // 100 = r // 100 AS same, CASE WHEN confidence >= 70 AND views_matched >= 3 THEN 'match' WHEN confidence < 40 AND views_matched < 2 THEN 'nomatch' ELSE 'inconc' END AS verdict FROM v1) SELECT count(*) FILTER (WHERE same) AS positives, count(*) FILTER (WHERE NOT same) AS negatives, count(*) FILTER (WHERE same AND verdict = 'match') AS true_accepts, count(*) FILTER (WHERE NOT same AND verdict = 'match') AS false_accepts, count(*) FILTER (WHERE NOT same AND verdict = 'nomatch') AS true_rejects, min(confidence) FILTER (WHERE same) - max(confidence) FILTER (WHERE NOT same) AS separation, round(avg(confidence) FILTER (WHERE NOT same), 1) AS other_mean, median(confidence) FILTER (WHERE same) AS same_median, count(DISTINCT (least(q // 100, r // 100), greatest(q // 100, r // 100))) FILTER (WHERE NOT same) AS piece_pairs FROM v")
+def bench_report(spark, sf_dir):
+    """How verdicts did over all pairs of captures and objects."""
+    label = lambda c: F.floor(F.col(c) / 100).alias(f"{c}_label")
+    pairs = _matched(spark, sf_dir).select("q", "r", label("q"), label("r"), "confidence", M.verdict(F.col("confidence"), F.col("views_matched"), F.lit(8)).alias("verdict"))
+    return M.bench_report(pairs).select("positives", "negatives", "true_accepts", "false_accepts", "true_rejects", "separation", "other_mean", "same_median", "piece_pairs")

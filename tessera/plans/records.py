@@ -77,3 +77,17 @@ def frames_in_sql(spark, sf_dir):
     prints = v.groupBy(F.floor(F.col("vec_id") / 10).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", frame.alias("f")))), lambda x: x["f"]).alias("frames"))
     prints = prints.select("id", F.to_json(F.struct("frames")).alias("fp"))
     return spark.sql("SELECT id, seq, cell, round(aggregate(emb, 0D, (a, x) -> a + x), 4) AS total FROM {prints}, LATERAL frames(fp, 'emb') f", prints=prints)
+
+
+@query("WITH p AS (SELECT c_custkey AS id, c_custkey % 300 AS g, CASE WHEN c_custkey % 5 = 0 THEN 'artists' ELSE 'objects' END AS tbl, CASE WHEN c_custkey % 11 = 0 THEN 'Q' || c_custkey ELSE '' END AS qid, 1 + c_custkey % 3 AS n FROM customer), k AS (SELECT *, 'k' || lpad(CAST(id AS VARCHAR), 9, '0') AS key FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY qid = '', CASE tbl WHEN 'artists' THEN 0 ELSE 7 END, -n, key) AS r, count(*) OVER (PARTITION BY g) AS m FROM k), f AS (SELECT g, min(key) FILTER (WHERE r = 1) AS best, max(n) AS claims, count(*) - 1 AS extra FROM o GROUP BY 1) SELECT o.key, CASE WHEN m > 1 AND r > 1 THEN 'duplicate' ELSE 'new' END AS status, CASE WHEN m > 1 AND r > 1 THEN best END AS canonical, CAST(CASE WHEN r = 1 THEN claims + extra ELSE n END AS BIGINT) AS n_claims FROM o JOIN f USING (g)")
+def fold_clusters(spark, sf_dir):
+    """Clusters of customers folded: published first, then by source, claims and key; canonical items gain claims and keys."""
+    from tessera.operators import resolution as E
+
+    c = Tables(spark, sf_dir)["customer"].select(F.col("c_custkey").alias("id"))
+    key = F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 9, "0"))
+    none = F.array().cast("array<string>")
+    items = c.select(key.alias("key"), F.lit("person").alias("kind"), F.lit("same").alias("label"), F.lit("").alias("description"), none.alias("aliases"), F.when(F.col("id") % 5 == 0, "artists").otherwise("objects").alias("tbl"), F.lit("new").alias("status"), F.when(F.col("id") % 11 == 0, F.concat(F.lit("Q"), "id")).otherwise("").alias("qid"), (F.col("id") % 300).cast("string").alias("cluster"))
+    claims = c.select(key.alias("key"), F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("id") % 3)).alias("n")).select("key", F.col("n").cast("int").alias("n"), F.concat(F.lit("p"), "n").alias("prop"), F.lit("string").alias("kind"), F.lit("v").alias("value"), F.lit(None).cast("string").alias("extra"), F.array().cast("array<struct<prop: string, kind: string, value: string, extra: string>>").alias("quals"))
+    out, folded = E.fold_clusters(items, claims)
+    return out.join(folded.groupBy("key").agg(F.count("*").alias("n_claims")), "key").select("key", "status", "canonical", "n_claims")
