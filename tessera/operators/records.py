@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import norm
@@ -177,3 +177,48 @@ def reprocess_report(done: DataFrame, columns: list[str], by: list[str]) -> Data
         F.count("*").alias("n"), F.count_if(F.col("old").isNull() & F.col("new").isNotNull()).alias("gained"), F.count_if(F.col("old").isNotNull() & F.col("new").isNull()).alias("lost"), F.count_if(F.col("old") != F.col("new")).alias("changed"),
         F.avg("e").alias("mean_error"), F.avg(F.abs("e")).alias("mean_abs_error"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("w")).alias("was_abs_error"), F.count_if(F.abs("e") < F.abs("w")).alias("better"),
     )
+
+
+def review_table(items: DataFrame, claims: DataFrame, hidden: tuple[str, ...] = ("registry key",), props: list[str] | None = None) -> DataFrame:
+    """A row for each item: key, label, description, and a column for each property with its values, joined by " | " in order; item values
+    as key [label].
+
+    props: the properties, in order; without them, those that the items use, most used first and then by name (a job of its own, as a
+    table's columns must be known). Items without a value have an empty text there.
+    """
+    own = claims.join(items.select("key"), "key", "left_semi").where(~F.col("prop").isin(*hidden))
+    if props is None:
+        props = [r["prop"] for r in own.groupBy("prop").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prop").collect()]
+    label = items.select(F.col("key").alias("value"), F.col("label").alias("_label"))
+    told = own.join(label, "value", "left").withColumn("t", F.when((F.col("kind") == "item") & (F.col("_label") != ""), F.concat("value", F.lit(" ["), "_label", F.lit("]"))).otherwise(F.col("value")))
+    wide = told.groupBy("key").pivot("prop", props).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), " | "))
+    return items.select("key", "label", "description").join(wide, "key", "left").fillna("", props)
+
+
+def filter_pieces(pieces: DataFrame, q: str = "", maker: str = "", piece: str = "", searched: tuple[str, ...] = ("title", "maker", "techniques", "year", "description")) -> DataFrame:
+    """The pieces of an id, of a maker (any case and spaces), and with q inside one of the searched columns; what is blank isn't asked for."""
+    low = lambda t: " ".join(t.split()).lower()
+    if piece.strip():
+        pieces = pieces.where(F.col("_row_id").cast("string") == piece.strip())
+    if low(maker):
+        pieces = pieces.where(norm(F.col("maker")) == low(maker))
+    if low(q):
+        pieces = pieces.where(reduce(lambda a, b: a | b, [F.coalesce(F.contains(norm(F.col(c).cast("string")), F.lit(low(q))), F.lit(False)) for c in searched if c in pieces.columns]))
+    return pieces
+
+
+def board_listing(df: DataFrame, tbl: str, approvals: DataFrame, order: str = "_imported_at") -> DataFrame:
+    """The approved rows of a form's table with their id and public columns, newest first."""
+    yes = approvals.where((F.col("tbl") == tbl) & (F.col("status") == "approved")).select(F.col("row_id").alias("_row_id"))
+    return df.join(yes, "_row_id", "left_semi").orderBy(F.desc_nulls_last(order), "_row_id").select("_row_id", *public_of(df))
+
+
+def read_studio_summaries(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
+    """source (the file's name), ok, and a column for each of aliases: the first of its keys that is a number in a landed JSON summary, else 0.
+
+    A file is one document; ok tells whether it is an object. Texts that look like numbers don't count, as with the sources' own contract.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("source"), F.try_parse_json("value").alias("v"))
+    number = lambda k: F.when(F.regexp_extract(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")), "^[A-Z]+", 0).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("v", f"$.{k}", "double"))
+    ok = F.coalesce(F.try_variant_get("v", "$", "map<string, variant>").isNotNull(), F.lit(False))
+    return files.select("source", ok.alias("ok"), *[F.coalesce(*map(number, keys), F.lit(0.0)).alias(name) for name, keys in aliases.items()])

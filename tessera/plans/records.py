@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import tables as table_functions
 from tessera.operators import records as R
+from tessera.operators import staging as S
 from tessera.plans.base import Tables, query
-from tessera.plans.staging import _CLAIMS, _DUCK, _ITEMS, _NORM, _staged, _tables
+from tessera.plans.staging import _CLAIMS, _DUCK, _ITEMS, _NORM, _SLUG, _staged, _tables, _vocab
+from tessera.shared import cut
 
 _CTES = f"{_ITEMS[5:].rsplit('SELECT * FROM it', 1)[0].rstrip()}, {_CLAIMS[5:].split(', c AS (', 1)[1].rsplit(')', 1)[0].join(('cl AS (', ')'))}"
 _FACTS = f"""WITH {_CTES}, f AS (SELECT DISTINCT * FROM cl WHERE prop NOT IN ('content hash', 'image URL', 'described at URL'))
@@ -91,3 +93,24 @@ def fold_clusters(spark, sf_dir):
     claims = c.select(key.alias("key"), F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("id") % 3)).alias("n")).select("key", F.col("n").cast("int").alias("n"), F.concat(F.lit("p"), "n").alias("prop"), F.lit("string").alias("kind"), F.lit("v").alias("value"), F.lit(None).cast("string").alias("extra"), F.array().cast("array<struct<prop: string, kind: string, value: string, extra: string>>").alias("quals"))
     out, folded = E.fold_clusters(items, claims)
     return out.join(folded.groupBy("key").agg(F.count("*").alias("n_claims")), "key").select("key", "status", "canonical", "n_claims")
+
+
+@query(f"WITH {_DUCK} SELECT 'reg:studios:' || _row_id AS key, name AS label, 'reg:place:' || {_SLUG.format("city")} || ' [' || city || ']' AS \"located in\", CASE WHEN lng <> '999' AND (lat <> '0' OR lng <> '0') THEN format('{{:.5f}},{{:.5f}}', CAST(lat AS DOUBLE), CAST(lng AS DOUBLE)) ELSE '' END AS coordinates, founded[7:] || '-00-00' AS inception FROM st")
+def review_pivot(spark, sf_dir):
+    """Studios with a column for each property, as reviewers get them."""
+    s = S.stage({"studios": _tables(spark, sf_dir)["studios"]}, _vocab(spark))
+    out = R.review_table(cut(s.items), cut(s.claims), props=["located in", "coordinates", "inception"])
+    return out.where("startswith(key, 'reg:studios:')").drop("description")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS _row_id, p_name AS title FROM part WHERE contains(lower(p_name), 'blue') AND p_brand = 'Brand#4'")
+def filter_pieces(spark, sf_dir):
+    p = Tables(spark, sf_dir)["part"].select(F.col("p_partkey").cast("string").alias("_row_id"), F.upper("p_name").alias("title"), "p_name", F.concat(F.lit(" "), F.lower("p_brand")).alias("maker"))
+    return R.filter_pieces(p, q=" Blue ", maker="BRAND#4").select("_row_id", F.col("p_name").alias("title"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS _row_id, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
+def board_listing(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = t.rows_.select("_row_id", "o_orderpriority", F.lit("a@b.c").alias("contact_email"), F.col("o_totalprice").alias("_imported_at"))
+    return R.board_listing(rows, "orders", t.approvals)

@@ -84,3 +84,24 @@ def test_frames_in_sql(spark):
     assert spark.sql("SELECT count(*) FROM prints, LATERAL frames(fp, '') f").first()[0] == 2
     with pytest.raises(Exception, match="no such fields"):
         spark.sql("SELECT * FROM frames('{}', 'zzz')").collect()
+
+
+def test_review_tables(spark):
+    items = spark.createDataFrame([("a", "A", "x"), ("b", "B", None), ("c", "", "y")], "key string, label string, description string")
+    claims = spark.createDataFrame([("a", 2, "p", "item", "b", None, []), ("a", 1, "p", "item", "c", None, []), ("a", 3, "p", "string", "b", None, []), ("b", 1, "q", "time", "2024", "9", []), ("b", 2, "registry key", "ext", "z", None, []), ("zz", 1, "r", "string", "v", None, [])], f"key string, n int, prop string, kind string, value string, extra string, quals {QUAL}")
+    out = R.review_table(items, claims)
+    assert out.columns == ["key", "label", "description", "p", "q"]
+    assert {r.key: (r.p, r.q) for r in out.collect()} == {"a": ("c | b [B] | b", ""), "b": ("", "2024"), "c": ("", "")}
+
+
+def test_pieces_boards_and_summaries(spark, tmp_path):
+    pieces = spark.createDataFrame([("1", "Blue  Vase", "Ann Lee", "Cane", None), ("2", "Cup", "ann  lee", None, "50% blue"), ("3", None, None, "x", None)], "_row_id string, title string, maker string, techniques string, description string")
+    ids = lambda **k: sorted(r._row_id for r in R.filter_pieces(pieces, **k).collect())
+    assert ids() == ["1", "2", "3"] and ids(q=" BLUE ") == ["1", "2"] and ids(q="blue vase", maker="ANN LEE") == ["1"] and ids(piece=" 2 ") == ["2"] and ids(q="%x") == []
+    rows = spark.createDataFrame([("1", "old", "a@b", 1), ("2", "new", "c@d", 5), ("3", "no", None, 9), ("4", "undated", None, None)], "_row_id string, title string, email string, _imported_at int")
+    approvals = spark.createDataFrame([("jobs", "1", "approved"), ("jobs", "2", "approved"), ("jobs", "3", "rejected"), ("other", "3", "approved"), ("jobs", "4", "approved")], "tbl string, row_id string, status string")
+    assert [tuple(r) for r in R.board_listing(rows, "jobs", approvals).collect()] == [("2", "new"), ("1", "old"), ("4", "undated")]
+    for name, text in (("a.json", '{"kwh": 3.5, "count": 2, "cost": "7"}'), ("b.json", '{"energy_kwh": 1, "kwh": 9}'), ("c.json", "[1]"), ("d.json", "broken {")):
+        (tmp_path / name).write_text(text)
+    got = R.read_studio_summaries(spark, str(tmp_path), {"firings": ["firings", "count"], "energy": ["energy_kwh", "kwh"], "cost": ["cost_usd", "cost"]})
+    assert sorted(map(tuple, got.collect())) == [("a", True, 2.0, 3.5, 0.0), ("b", True, 0.0, 1.0, 0.0), ("c", False, 0.0, 0.0, 0.0), ("d", False, 0.0, 0.0, 0.0)]
