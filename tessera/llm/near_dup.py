@@ -33,6 +33,8 @@ _PROBES = np.random.default_rng(20240229).integers(0, REGISTERS, (1024, REGISTER
 COLLISION = 2.0**-MANTISSA / 3
 #: Pairs below this estimate can't be similar. Sets in a block of a family.
 NEAR, BLOCK = 0.67, 128
+#: Registers that sets of such an estimate have in common at least.
+AGREE = next(c for c in range(REGISTERS + 1) if (c / REGISTERS - COLLISION) / (1 - COLLISION) >= NEAR)
 #: Bands that a similar pair shares at least. Members of a bucket that are compared without a look at its ends first.
 SHARED, FEW = 3, 6
 
@@ -96,6 +98,25 @@ def _estimates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, est double")
 
 
+def _lanes(nodes: DataFrame) -> DataFrame:
+    """(node, lanes): the registers of each node as whole numbers of four each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<i8")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (REGISTERS // 4), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "lanes"])
+
+    return nodes.select("node", "registers").mapInArrow(run, "node long, lanes array<long>")
+
+
+def _agree(x: str, y: str) -> str:
+    """SQL: how many registers two `lanes` have in common. Of four at a time two have room to carry where they differ."""
+    mask, carry = 0x0000FFFF0000FFFF, 0x0001000000010000
+    apart = lambda v: f"bit_count((({v} & {mask}L) + {mask}L) & {carry}L)"
+    return f"{REGISTERS} - aggregate(zip_with({x}, {y}, (p, q) -> {apart('(p ^ q)')} + {apart('shiftrightunsigned(p ^ q, 16)')}), 0, (s, d) -> s + d)"
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
 
@@ -226,15 +247,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     both_ends = inner.where("many").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(inner.where("many").select("node", "hi")).distinct()
     to_pivot = known.unionAll(table(_estimates(both_ends.join(known, ["a", "b"], "left_anti"), able), "to_pivot"))
     # Few members are fewer pairs than ends to estimate, so nothing rules their pairs out.
-    inner = inner.join(to_pivot.toDF("lo", "node", "el"), ["lo", "node"], "left").join(to_pivot.toDF("node", "hi", "eh"), ["node", "hi"], "left").join(able.select("node", "n", own_bands.alias("bands")), "node")
-    inner = table(inner.select("bucket", "node", "n", "root", "el", "eh", "bands"), "inner")
-    x, y = inner.toDF("bucket", "a", "na", "xa", "la", "ha", "ba"), inner.where(f"coalesce(el, 0) < {NEAR}").toDF("bucket", "b", "nb", "xb", "lb", "hb", "bb")
+    inner = inner.join(to_pivot.toDF("lo", "node", "el"), ["lo", "node"], "left").join(to_pivot.toDF("node", "hi", "eh"), ["node", "hi"], "left").join(able.select("node", "n", own_bands.alias("bands")), "node").join(_lanes(able), "node")
+    inner = table(inner.select("bucket", "node", "n", "root", "el", "eh", "bands", "lanes"), "inner")
+    x, y = inner.toDF("bucket", "a", "na", "xa", "la", "ha", "ba", "ra"), inner.where(f"coalesce(el, 0) < {NEAR}").toDF("bucket", "b", "nb", "xb", "lb", "hb", "bb", "rb")
     apart_by = f"coalesce(abs(la - lb) <= {1 - NEAR + 1e-9}, true) AND coalesce(abs(ha - hb) <= {1 - NEAR + 1e-9}, true)"
     # A pair comes up in the first of the buckets that it shares, and in no other.
     same = "zip_with(ba, bb, (p, q) -> p = q)"
     first_shared = f"element_at(ba, cast(array_position({same}, true) AS int)) = bucket AND size(filter({same}, p -> p)) >= {SHARED}"
-    rest = x.join(y, "bucket").where(f"xa <> xb AND {apart_by} AND (coalesce(la, 0) >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {first_shared}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = table(_estimates(rest, able).where(f"est >= {NEAR}"), "rest")
+    # The join itself looks at the registers, so that no pair that they rule out becomes a row.
+    rest = x.join(y, "bucket").where(f"xa <> xb AND {apart_by} AND (coalesce(la, 0) >= {NEAR} OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {first_shared} AND {_agree('ra', 'rb')} >= {AGREE}")
+    rest = table(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest")
     dropped(inner)
     dropped(members)
     if not rest.isEmpty():
