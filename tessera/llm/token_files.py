@@ -26,6 +26,12 @@ from tessera.llm.words import U, _power_tables, mix, slices
 MAGIC, SAMPLE = b"WVM1", 512
 #: Ids that close a file; a document is never split, so a very long one makes a longer file.
 FILE_TOKENS = 2_000_000
+#: Bytes of text that are encoded together.
+TOGETHER = 1 << 20
+
+
+def _narrow(bits: int) -> type:
+    return np.uint16 if bits <= 16 else np.uint32
 
 
 class WaveletFile:
@@ -42,9 +48,9 @@ class WaveletFile:
     def build(cls, ids: np.ndarray, doc_ids: np.ndarray, ends: np.ndarray) -> WaveletFile:
         bits = max(1, int(ids.max(initial=0)).bit_length())
         planes = np.zeros((bits, -(-len(ids) // 8)), np.uint8)
-        row = ids.astype(np.uint32)
+        row = ids.astype(_narrow(bits))
         for level in range(bits):
-            one = (row >> np.uint32(bits - 1 - level)) & np.uint32(1) == 1
+            one = (row & row.dtype.type(1 << (bits - 1 - level))).astype(bool)
             planes[level] = np.packbits(one)
             row = np.concatenate([row[~one], row[one]])
         return cls(len(ids), bits, planes, doc_ids, ends)
@@ -104,15 +110,15 @@ class WaveletFile:
 
     def ids(self) -> np.ndarray:
         """All ids in order: undo the stable sorts from the last level to the first."""
-        row = np.zeros(self.n, np.uint32)
+        row = np.zeros(self.n, _narrow(self.bits))
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n).astype(bool)
             before = np.empty_like(row)
             zeros = int(self.zeros[level])
             before[~one] = row[:zeros]
-            before[one] = row[zeros:] | np.uint32(1 << (self.bits - 1 - level))
+            before[one] = row[zeros:] | row.dtype.type(1 << (self.bits - 1 - level))
             row = before
-        return row
+        return row.astype(np.uint32)
 
 
 class PieceCache:
@@ -134,6 +140,12 @@ class PieceCache:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Classes of code points below 0x250: 0 other, 1 letter, 2 number, 3 white space.
         self.kind = np.array([1 if regex.match(r"\p{L}", chr(c)) else 2 if regex.match(r"\p{N}", chr(c)) else 3 if regex.match(r"\s", chr(c)) else 0 for c in range(0x250)], np.uint8)
+        # The id of a line break, if this tokenizer takes it for a piece of its own before and after all kinds of others.
+        probe = ["a", " b", "1", " 2", ".", " ,", "é", " ("]
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        lone = ids("\n")
+        pairs = [(x, y) for x in probe for y in probe]
+        self.line_break = lone[0] if len(lone) == 1 and all(ids(f"{x}\n{y}") == [*ids(x), *lone, *ids(y)] for x, y in pairs) else None
         self.clear()
 
     def clear(self) -> None:
@@ -142,6 +154,23 @@ class PieceCache:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _pieces(self, pieces: list[str], white: np.ndarray) -> list[bytes]:
+        """The ids of pieces, each for itself. Those that aren't white space are encoded in one text of lines: a line break is a piece
+        of its own between them, and its id occurs in none of them."""
+        out: list[bytes | None] = [None] * len(pieces)
+        signs = np.flatnonzero(~white).tolist()
+        if signs:
+            ids = np.frombuffer(self.whole("\n".join([pieces[i] for i in signs])), "<u4")
+            breaks = np.flatnonzero(ids == self.line_break) if self.line_break is not None else ids[:0]
+            if len(breaks) == len(signs) - 1:
+                raw, ends = ids.tobytes(), [*(breaks * 4).tolist(), len(ids) * 4]
+                for i, a, b in zip(signs, [0, *(x + 4 for x in ends[:-1])], ends, strict=True):
+                    out[i] = raw[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
@@ -179,9 +208,10 @@ class PieceCache:
             self.clear()
         keys = distinct.tolist()
         new = [j for j, k in enumerate(keys) if k not in self.known]
-        pieces = [code[at[first[j]] : ends[first[j]]].tobytes().decode("utf-32-le", "surrogatepass") for j in new]
-        for j, e in zip(new, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[keys[j]] = np.array(e.ids, "<u4").tobytes()
+        text, where = code.tobytes().decode("utf-32-le", "surrogatepass"), first[new]
+        pieces = [text[a:b] for a, b in zip(at[where].tolist(), ends[where].tolist(), strict=True)]
+        white = kind[ends[where] - 1] == 3
+        self.known.update(zip([keys[j] for j in new], self._pieces(pieces, white), strict=True))
         found = [self.known[k] for k in keys]
         sizes = np.array([len(x) for x in found]) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
@@ -237,7 +267,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int =
             files.append((part, len(files), os.path.basename(name), len(doc_ids), len(flat)))
             ids, doc_ids, sizes, count = [], [], [], 0
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=TOGETHER):
             known = batch.column("doc_id").is_valid().to_pylist()
             for d, ok, x in zip(batch.column("doc_id").fill_null(0).to_pylist(), known, encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids.append(x + struct.pack("<I", end_id))
