@@ -17,6 +17,8 @@ from tessera.shared import cut
 #: Titles before a name; the ratio of near names.
 TITLES = r"^(mr|mrs|ms|dr|prof|sir|dame)\.? +"
 NEAR = 0.94
+#: Letters of a name up to which no other name's ratio is rounded to 100.0.
+SETTLED = 900
 #: Kinds of items that are looked through for duplicates.
 KINDS = ("person", "studio", "place", "school", "museum", "funder", "show")
 
@@ -133,14 +135,23 @@ def reconcile(queries: DataFrame, items: DataFrame, top: int = 5, least: float =
 
     100 for the label, 99 for an alias, else the best ratio in percent, 90 at least if all words of the query are in the label.
     A query meets the names that share a word or the first two letters with it. Two exact candidates match neither.
+
+    Equal names meet first. A query that has `top` equal labels meets no others, as none can come before those; else a ratio
+    is counted only where the lengths of both names let it reach `least`.
     """
     parts = lambda c: F.array_distinct(F.concat(F.split(c, " "), F.array(F.left(c, F.lit(2)))))
     q = queries.select("query", norm(F.col("query")).alias("nq")).where("nq <> ''").distinct()
-    names = items.select("key", "label", F.explode(F.concat(F.array(F.struct(norm(F.col("label")).alias("n"), F.lit(True).alias("own"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(norm(a).alias("n"), F.lit(False).alias("own"))))).alias("a")).select("key", "label", "a.*")
-    met = q.withColumn("part", F.explode(parts(F.col("nq")))).join(names.withColumn("part", F.explode(parts(F.col("n")))), "part").select("query", "nq", "key", "label", "n", "own").distinct()
+    names = items.select("key", "label", F.explode(F.concat(F.array(F.struct(norm(F.col("label")).alias("n"), F.lit(True).alias("own"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(norm(a).alias("n"), F.lit(False).alias("own"))))).alias("a")).select("key", "label", "a.*").where("n IS NOT NULL")
+    labels = names.where("own").select("key", F.col("n").alias("nq")).distinct().groupBy("nq").agg(F.count("*").alias("equal"))
+    told = q.join(labels, "nq", "left").withColumn("settled", F.coalesce((F.col("equal") >= top) & (F.length("nq") <= SETTLED), F.lit(False)))
+    equal = told.where("settled").join(names.withColumnRenamed("n", "nq"), "nq").select("query", "key", "label", F.when(F.col("own"), 100.0).otherwise(99.0).alias("s"))
+    open_ = told.where("NOT settled").select("query", "nq")
+    met = open_.withColumn("part", F.explode(parts(F.col("nq")))).join(names.withColumn("part", F.explode(parts(F.col("n")))), "part").select("query", "nq", "key", "label", "n", "own").distinct()
     subset = F.col("own") & (F.size(F.array_except(F.split("nq", " "), F.split("n", " "))) == 0)
-    share = F.when(F.col("nq") == F.col("n"), F.when(F.col("own"), 100.0).otherwise(99.0)).otherwise(F.greatest(100 * ratio("nq", "n"), F.when(subset, 90.0).otherwise(0.0)))
-    scored = met.withColumn("s", share).groupBy("query", "key", "label").agg(F.round(F.max("s"), 1).alias("score")).where(F.col("score") >= least)
+    x, y = F.length("nq"), F.length("n")
+    met = met.withColumn("subset", subset).where(F.col("subset") | (200 * F.least(x, y) >= (least - 1) * (x + y)))
+    share = F.when(F.col("nq") == F.col("n"), F.when(F.col("own"), 100.0).otherwise(99.0)).otherwise(F.greatest(100 * ratio("nq", "n"), F.when(F.col("subset"), 90.0).otherwise(0.0)))
+    scored = equal.unionByName(met.select("query", "key", "label", share.alias("s"))).groupBy("query", "key", "label").agg(F.round(F.max("s"), 1).alias("score")).where(F.col("score") >= least)
     by = Window.partitionBy("query").orderBy(F.desc("score"), "label", "key")
     best = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     exact = F.count_if(F.col("score") >= 99).over(Window.partitionBy("query"))
