@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from tessera.operators import matching as M
 DESCRIPTORS = {"dino_p": ("emb_p", "vector"), "dino": ("emb", "vector"), "color_p": ("chist_p", "histogram"), "color": ("chist", "histogram"), "dhash": ("dhash", "bits")}
 FALLBACK = ("color_p", "color", "dhash", "dino_p", "dino")
 MIN_SHOTS, COLOUR_SEEN, SHARP, THIN_RATING = 3, 0.5, 12, 75
+#: Frames in a block of objects.
+FRAMES = 1024
 #: Differing bits up to which hashes are the same, and from which on they have nothing in common.
 SAME_BITS, OTHER_BITS = 6, 22
 
@@ -139,12 +142,16 @@ def _scored(q: list[dict], r: list[dict], rules: str) -> list[dict]:
 SCORES = "array<struct<descriptor: string, shots_with: int, views_with: int, sims: array<double>, views_matched: int, pose_used: boolean, turn: int>>"
 
 
-def scores(captures: DataFrame, refs: DataFrame, pairs: DataFrame, rules: str = "v2") -> DataFrame:
-    """q, r, each side's fields and `scores`, one struct a descriptor, for pairs (q, r) of captures and refs (id, fp).
+def scores(captures: DataFrame, refs: DataFrame, pairs: DataFrame | None, rules: str = "v2") -> DataFrame:
+    """q, r, each side's fields and `scores`, one struct a descriptor, for pairs (q, r) of captures and refs (id, fp); without pairs for all.
 
     Both sides' frames meet in Arrow batches (bounded in bytes by Spark), a pair at a time; pairs of one object come together, so
     that it is made ready once.
     """
+    if pairs is None:
+        if rules == "v1":
+            return _all_scores(captures, refs)
+        pairs = M.candidate_pairs(*(df.select(F.col("id").alias("owner")) for df in (captures, refs)))
     own = lambda df, side: df.select(F.col("id").alias(side), F.col("fp").alias(f"{side}_fp")).select(side, frames_of(F.col(f"{side}_fp")).alias(f"{side}_frames"), *_facts(side))
     both = pairs.select("q", "r").distinct().join(own(captures, "q"), "q").join(own(refs, "r"), "r")
     kept = [c for c in both.columns if not c.endswith("_frames")]
@@ -160,6 +167,111 @@ def scores(captures: DataFrame, refs: DataFrame, pairs: DataFrame, rules: str =
     return both.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + f", scores {SCORES}")
 
 
+class _Objects:
+    """A block's objects: `code` is each frame's object; `some` are those that have frames, which begin at `starts`."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.rows, frames = rows, rows.column("frames")
+        counts = pc.list_value_length(frames).to_numpy()
+        self.code, self.some = np.repeat(np.arange(len(counts)), counts), np.flatnonzero(counts)
+        self.sizes = counts[self.some]
+        self.ends = np.concatenate([[0], np.cumsum(counts)])
+        self.starts = self.ends[self.some]
+        flat = frames.flatten()
+        self.cells = M.codes(flat.field("cell"))
+        self.sides, self.have = {}, {}
+        for name, (field, kind) in DESCRIPTORS.items():
+            lists = flat.field(field)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            self.have[name] = np.bincount(self.code[size > 0], minlength=len(counts))
+            self.sides[name] = _words(lists, size) if kind == "bits" else _unit_views(lists, size, kind)
+
+    def chunks(self, width: int) -> Iterator[tuple[int, int]]:
+        """Runs of objects (from, to) whose products with `width` frames, and whose pairs, can be held at once."""
+        first = 0
+        for k in range(1, len(self.ends)):
+            if k == len(self.ends) - 1 or (self.ends[k + 1] - self.ends[first]) * width > M.PRODUCTS:
+                yield first, k
+                first = k
+
+
+def _words(lists: pa.ListArray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the lists hold two words, and these as one number."""
+    at = np.flatnonzero(size >= 2)
+    own = lists.take(pa.array(at))
+    hi, lo = (pc.fill_null(pc.list_element(own, k), 0).to_numpy().astype(np.uint64) & np.uint64(0xFFFFFFFF) for k in (0, 1))
+    return at, hi << np.uint64(32) | lo
+
+
+def _unit_views(lists: pa.ListArray, size: np.ndarray, kind: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """matching.units of the lists without nulls, NaN and infinities, centred if they are histograms."""
+    flat = pc.fill_null(lists.flatten(), float("nan")).to_numpy()
+    broken = np.unique(pc.list_parent_indices(lists).to_numpy()[~np.isfinite(flat)])
+    sound = np.setdiff1d(np.flatnonzero(size), broken)
+    out = {}
+    for d, (i, m) in M.units(lists.take(pa.array(sound))).items():
+        m = m - m.mean(axis=1, keepdims=True) if kind == "histogram" else m
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        out[d] = (sound[i], m / np.where(norm > 0, norm, 1))
+    return out
+
+
+def _like(x: tuple, y: tuple, lo: int, hi: int, width: int) -> np.ndarray:
+    """`similarities` of hashes lo to hi with all others."""
+    out, (i, a), (j, b) = np.zeros((hi - lo, width)), x, y
+    p, q = np.searchsorted(i, [lo, hi])
+    apart = np.bitwise_count(a[p:q, None] ^ b[None, :]).astype(float)
+    out[np.ix_(i[p:q] - lo, j)] = np.clip((OTHER_BITS - apart) / (OTHER_BITS - SAME_BITS), 0, 1)
+    return out
+
+
+def _all_scores(captures: DataFrame, refs: DataFrame) -> DataFrame:
+    """`scores` (v1) of every capture with every other object: blocks of objects meet, and each descriptor's products are made at once."""
+    own = lambda df, side: df.where("id IS NOT NULL").select("id", F.col("fp").alias(f"{side}_fp")).select("id", frames_of(F.col(f"{side}_fp")).alias("frames"), *_facts(side))
+    left, right = own(captures, "q"), own(refs, "r")
+    kept = {side: [c for c in df.columns if c.startswith(f"{side}_")] for side, df in (("q", left), ("r", right))}
+    schema = f"q {dict(left.dtypes)['id']}, r {dict(right.dtypes)['id']}, " + "".join(f"{c} {kind}, " for side, df in (("q", left), ("r", right)) for c, kind in df.dtypes if c in kept[side]) + f"scores {SCORES}"
+    names = list(DESCRIPTORS)
+
+    def pairs(x: _Objects, y: _Objects) -> Iterator[pa.RecordBatch]:
+        width, others, every = len(y.code), y.rows.num_rows, len(names)
+        ids = pa.concat_arrays([x.rows.column("id"), y.rows.column("id")]).dictionary_encode().indices.to_numpy()
+        other = ids[: x.rows.num_rows, None] != ids[None, x.rows.num_rows :]
+        for first, to in x.chunks(max(width, others)):
+            lo, hi = int(x.ends[first]), int(x.ends[to])
+            found = [(np.zeros(0, int), np.zeros(0), np.zeros(0, int))]
+            for d, name in enumerate(names if hi > lo and width else []):
+                a, b = x.sides[name], y.sides[name]
+                s = _like(a, b, lo, hi, width) if isinstance(a, tuple) else M.products(a, b, lo, hi, width)
+                a, b = ({}, {}) if isinstance(a, tuple) else (a, b)
+                i, r, j, v = M.first_best(s, lo, a, b, y.starts, y.sizes, M.STRONG - 1e-4)
+                v = np.array([round(z, 4) for z in v.tolist()], float)
+                i, r, j, v = i[v >= M.STRONG], r[v >= M.STRONG], j[v >= M.STRONG], v[v >= M.STRONG]
+                found.append((((x.code[i + lo] - first) * others + y.some[r]) * every + d, v, y.cells[j]))
+            key, v, cell = (np.concatenate(c) for c in zip(*found, strict=True))
+            strong, matched = M.lists_by(key, (to - first) * others * every, v, cell)
+            q, r = np.nonzero(other[first:to])
+            at = ((q * others + r)[:, None] * every + np.arange(every)).ravel()
+            q = q + first
+            counts = [pa.array(np.stack([side.have[n] for n in names])[:, k].T.ravel(), pa.int32()) for side, k in ((x, q), (y, r))]
+            each = pa.StructArray.from_arrays(
+                [pa.array(np.tile(names, len(q)), pa.string()), *counts, strong.take(pa.array(at)), pa.array(matched[at], pa.int32()), pa.array(np.zeros(len(at), bool)), pa.nulls(len(at), pa.int32())],
+                ["descriptor", "shots_with", "views_with", "sims", "views_matched", "pose_used", "turn"],
+            )
+            scored = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * every, pa.int32()), each)
+            facts = [side.rows.column(c).take(pa.array(k)) for side, k, s in ((x, q, "q"), (y, r, "r")) for c in ("id", *kept[s])]
+            cut = 1 + len(kept["q"])
+            yield pa.RecordBatch.from_arrays([facts[0], facts[cut], *facts[1:cut], *facts[cut + 1 :], scored], ["q", "r", *kept["q"], *kept["r"], "scores"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from pairs(*(_Objects(M.unpack(batch, c, k)) for c in ("x_rows", "y_rows")))
+
+    x, y = (M.blocks(df, "id", "frames", side, M.BLOCK, numbers=FRAMES) for df, side in ((left, "x"), (right, "y")))
+    return M.met(x, y).mapInArrow(run, schema)
+
+
 def _facts(side: str) -> list[Column]:
     fp, frames = F.col(f"{side}_fp"), frames_of(F.col(f"{side}_fp"))
     size = fp["metadata"]["dimensions_mm"]
@@ -197,9 +309,10 @@ def _judged(s: Column, rules: str, effort_: Column, shots: Column) -> Column:
     )
 
 
-def compare(captures: DataFrame, refs: DataFrame, pairs: DataFrame, rules: str = "v2", descriptor: str | None = None, least_effort: int | None = None) -> DataFrame:
+def compare(captures: DataFrame, refs: DataFrame, pairs: DataFrame | None = None, rules: str = "v2", descriptor: str | None = None, least_effort: int | None = None) -> DataFrame:
     """q, r, descriptor, confidence, verdict, quality, spread, views_matched, strong, pose_used, turn, shots, effort, size_ok,
-    size_difference, size_conflict, breakdown, reasons, caveats for each pair (q, r) of captures and refs (id, fp a FINGERPRINT).
+    size_difference, size_conflict, breakdown, reasons, caveats for each pair (q, r) of captures and refs (id, fp a FINGERPRINT); without
+    pairs for every capture with every other object.
 
     rules: "v1" gives each shot its best view, "v2" pairs one to one and knows "insufficient". descriptor overrides the choice of the
     deciding one; if the chosen one can't be compared the first of FALLBACK that can is taken. least_effort stands for the count of

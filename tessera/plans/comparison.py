@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import comparison as C
-from tessera.operators import matching as M
 from tessera.plans.base import Tables, query
 
 #: Frames are the vectors of one label and run of 100 ids; even ones the capture, odd ones the registered object.
@@ -51,10 +50,6 @@ def _objects(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return own.where("half = 0").drop("half"), own.where("half = 1").drop("half")
 
 
-def _pairs(captures: DataFrame, refs: DataFrame) -> DataFrame:
-    return M.candidate_pairs(captures.select(F.col("id").alias("owner")), refs.select(F.col("id").alias("owner")))
-
-
 def _told(compared: DataFrame) -> DataFrame:
     return compared.select("q", "r", "descriptor", "confidence", "verdict", "views_matched", "strong", "size_ok", F.array_join("reasons", "|").alias("reasons"), F.array_join("caveats", "|").alias("caveats"))
 
@@ -63,7 +58,7 @@ def _told(compared: DataFrame) -> DataFrame:
 def compare_objects(spark, sf_dir):
     """Every capture with every registered object by the older rules: five descriptors, headline, size, coded reasons."""
     captures, refs = _objects(spark, sf_dir)
-    return _told(C.compare(captures, refs, _pairs(captures, refs), "v1"))
+    return _told(C.compare(captures, refs, rules="v1"))
 
 
 @query()
